@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import vectors
+from fieldloom.llm import lookalikes, vectors
 from fieldloom.runtime import table
 
 K, FLOOR = 5, 0.88
@@ -22,12 +22,21 @@ def p1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "rank", F.col("neighbour").alias("neighbour_id"), F.round("cos", 4).alias("similarity"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.same_look_pairs(table(spark, sf_dir, "dictionary_fields"), "row_id", ["description", "question_text"])
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts of every row in their one form."""
+    return lookalikes.spelled(table(spark, sf_dir, "dictionary_fields").select("row_id", "description", "question_text"), ["description", "question_text"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clusters(table(spark, sf_dir, "field_vectors"), FLOOR, 5)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_topk, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found)}
 
 
 def oracle_sql() -> dict[str, str]:
