@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import lookalikes, vectors
+from fieldloom.llm import lookalikes, mixing, packing, tokens, vectors
 from fieldloom.runtime import table
 
 K, FLOOR = 5, 0.88
@@ -35,8 +35,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clusters(table(spark, sf_dir, "field_vectors"), FLOOR, 5)
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r["container_kind"]: r["capacity_tokens"] for r in table(spark, sf_dir, "container_sizes").limit(100).collect()}
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), _capacities(spark, sf_dir))
+    return packed.withColumnsRenamed({"kind": "container_kind", "id": "doc_id", "n": "n_tokens"})
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _capacities(spark, sf_dir)
+    return packing.report(packing.pack(table(spark, sf_dir, "documents"), sizes), sizes)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokens.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", "n", keep_text=False)
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).withColumnsRenamed({"id": "doc_id", "n": "n_tokens"})
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens that each source reached in each mix."""
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found, p7_packed, p7_report, p8_mixed, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
