@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import lookalikes, mixing, packing, tokens, vectors
+from fieldloom.llm import lookalikes, matching, mixing, packing, tokens, vectors
 from fieldloom.runtime import table
 
 K, FLOOR = 5, 0.88
@@ -35,6 +35,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clusters(table(spark, sf_dir, "field_vectors"), FLOOR, 5)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match(table(spark, sf_dir, "field_references")).select(F.col("a").alias("ref_id_a"), F.col("b").alias("ref_id_b"))
+
+
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with their confidence."""
+    return matching.match(table(spark, sf_dir, "field_references")).withColumnsRenamed({"a": "ref_id_a", "b": "ref_id_b"})
+
+
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r["container_kind"]: r["capacity_tokens"] for r in table(spark, sf_dir, "container_sizes").limit(100).collect()}
 
@@ -64,7 +73,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found, p7_packed, p7_report, p8_mixed, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found, p6_found, p6_matches, p7_packed, p7_report, p8_mixed, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
