@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import lookalikes, matching, mixing, packing, tokens, vectors
+from fieldloom.llm import lookalikes, matching, mixing, packing, personal, tokens, vectors
 from fieldloom.runtime import table
 
 K, FLOOR = 5, 0.88
@@ -72,8 +72,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "pii_type", "start_at")
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders for personal data."""
+    return personal.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found, p6_found, p6_matches, p7_packed, p7_report, p8_mixed, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found, p6_found, p6_matches, p7_packed, p7_report, p8_mixed, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
