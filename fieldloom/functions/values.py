@@ -1,0 +1,146 @@
+"""Value domains: option lists, units, recodes, formulas."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_PAIR = "array<struct<code:string,label:string>>"
+
+
+def _pairs(parts: Column, code, label) -> Column:
+    return F.transform(parts, lambda p: F.struct(F.trim(code(p)).alias("code"), F.trim(label(p)).alias("label")))
+
+
+def _at_least_two(pairs: Column) -> Column:
+    kept = F.filter(pairs, lambda p: (p["code"] != "") & (p["label"] != ""))
+    return F.when(F.size(kept) >= 2, kept)
+
+
+def parse_options(encoding: Column) -> Column:
+    """Options (code, label) of an encoding in one of five formats, tried in order; an empty array if none holds.
+
+    ``(c) label | ..``; ``c=label|..``; ``X_1, label | ..``; ``label|label``; ``Yes/No``.
+    The last two number their options from 1.
+    """
+    raw = F.trim(encoding)
+    parts = F.filter(F.transform(F.split(raw, r"\|"), F.trim), lambda p: p != "")
+    bracketed = F.when(F.forall(parts, lambda p: p.rlike(r"^\([^()]*\)")), _at_least_two(_pairs(parts, lambda p: F.regexp_extract(p, r"^\(([^()]*)\)", 1), lambda p: F.regexp_replace(p, r"^\([^()]*\)", ""))))
+    equals = F.when(F.forall(parts, lambda p: p.contains("=")), _at_least_two(_pairs(parts, lambda p: F.substring_index(p, "=", 1), lambda p: F.regexp_replace(p, "^[^=]*=", ""))))
+    code = r"^[A-Za-z0-9_-]*[0-9_][A-Za-z0-9_-]*,"
+    comma = F.when(F.forall(parts, lambda p: p.rlike(code)), _at_least_two(_pairs(parts, lambda p: F.substring_index(p, ",", 1), lambda p: F.regexp_replace(p, "^[^,]*,", ""))))
+    number = lambda ps: F.transform(ps, lambda p, i: F.struct((i + 1).cast("string").alias("code"), F.trim(p).alias("label")))
+    piped = F.when(F.size(parts) >= 2, number(parts))
+    slashes = F.split(raw, "/")
+    slash = F.when((F.size(parts) == 1) & F.size(slashes).between(2, 3) & F.forall(slashes, lambda p: (F.length(F.trim(p)) <= 20) & F.trim(p).rlike("^[A-Z][A-Za-z ]+$")), number(slashes))
+    return F.coalesce(bracketed, equals, comma, piped, slash, F.array().cast(_PAIR))
+
+
+#: unit spelling: family, canonical unit, factor and offset to the family's base (fixed values of the SI and usual conversions).
+UNITS = [
+    ("kg", "mass", "kg", 1.0, 0.0), ("g", "mass", "g", 0.001, 0.0), ("lb", "mass", "lb", 0.45359237, 0.0), ("lbs", "mass", "lb", 0.45359237, 0.0),
+    ("m", "length", "m", 1.0, 0.0), ("cm", "length", "cm", 0.01, 0.0), ("mm", "length", "mm", 0.001, 0.0), ("in", "length", "in", 0.0254, 0.0), ("ft", "length", "ft", 0.3048, 0.0), ("µm", "length", "µm", 0.000001, 0.0),
+    ("s", "time", "s", 1.0, 0.0), ("ms", "time", "ms", 0.001, 0.0), ("min", "time", "min", 60.0, 0.0), ("minutes", "time", "min", 60.0, 0.0), ("h", "time", "h", 3600.0, 0.0), ("days", "time", "d", 86400.0, 0.0), ("years", "time", "a", 31557600.0, 0.0),
+    ("°c", "temperature", "°C", 1.0, 0.0), ("°f", "temperature", "°F", 0.5555555555555556, -17.777777777777779),
+    ("g/l", "mass concentration", "g/L", 1.0, 0.0), ("mg/l", "mass concentration", "mg/L", 0.001, 0.0), ("µg/l", "mass concentration", "µg/L", 0.000001, 0.0), ("mg/dl", "mass concentration", "mg/dL", 0.01, 0.0),
+    ("mmol/l", "amount concentration", "mmol/L", 1.0, 0.0), ("nmol/l", "amount concentration", "nmol/L", 0.000001, 0.0), ("µmol/l", "amount concentration", "µmol/L", 0.001, 0.0),
+    ("mmhg", "pressure", "mmHg", 1.0, 0.0), ("kpa", "pressure", "kPa", 7.50061683, 0.0), ("beats/min", "rate", "beats/min", 1.0, 0.0), ("kg/m²", "ratio", "kg/m²", 1.0, 0.0), ("%", "share", "%", 0.01, 0.0),
+]
+
+
+def unit_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(UNITS, "spelling string, family string, unit string, factor double, base_offset double")
+
+
+def canonical_units(df: DataFrame, unit: str, prefix: str = "") -> DataFrame:
+    """``df`` with family, unit, factor and offset to the family's base; nulls for spellings that aren't known."""
+    u = F.broadcast(unit_table(df.sparkSession)).withColumnsRenamed({"family": f"{prefix}family", "unit": f"{prefix}canonical", "factor": f"{prefix}factor", "base_offset": f"{prefix}offset", "spelling": f"{prefix}spelling"})
+    return df.join(u, F.lower(F.trim(F.col(unit))) == F.col(f"{prefix}spelling"), "left").drop(f"{prefix}spelling")
+
+
+def conversion(source: tuple[Column, Column], target: tuple[Column, Column]) -> tuple[Column, Column]:
+    """(factor, offset) that take a source value to the target unit, from (factor, offset) pairs to the base."""
+    factor = F.round(source[0] / target[0], 10)
+    return factor, F.round((source[1] - target[1]) / target[0], 10)
+
+
+def is_identity(factor: Column, offset: Column, tol: float = 1e-9) -> Column:
+    return (F.abs(factor - 1) <= tol) & (F.abs(offset) <= tol)
+
+
+def recode(code: Column, rules: Mapping[str, str], otherwise: Column | None = None) -> Column:
+    """``rules`` keys: a code, ``a,b`` for a set, ``lo:hi`` for a range of numbers; value NA gives null. First match wins."""
+    out = None
+    for left, right in rules.items():
+        if ":" in left:
+            lo, hi = left.split(":")
+            test = code.try_cast("double").between(float(lo), float(hi))
+        else:
+            test = code.isin([x.strip() for x in left.split(",")])
+        to = F.lit(None).cast("string") if right == "NA" else F.lit(right)
+        out = F.when(test, to) if out is None else out.when(test, to)
+    rest = otherwise if otherwise is not None else F.lit(None).cast("string")
+    return rest if out is None else out.otherwise(rest)
+
+
+_CALLS = {"abs": F.abs, "sqrt": F.sqrt, "log": F.ln, "exp": F.exp, "round": F.bround, "min": F.least, "max": F.greatest}
+_OPS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Pow: F.pow, ast.Mod: lambda a, b: a % b}
+
+
+def formula_names(formula: str) -> set[str]:
+    tree = ast.parse(formula, mode="eval")
+    called = {n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
+    return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} - called
+
+
+def compile_formula(formula: str, inputs: Mapping[str, Column]) -> Column:
+    """Arithmetic over named inputs as one Column; ValueError for anything else than numbers, inputs and a few functions.
+
+    A division by zero gives null.
+    """
+
+    def build(n: ast.AST) -> Column:
+        if isinstance(n, ast.Expression):
+            return build(n.body)
+        if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)) and not isinstance(n.value, bool):
+            return F.lit(float(n.value))
+        if isinstance(n, ast.Name) and n.id in inputs:
+            return inputs[n.id].cast("double")
+        if isinstance(n, ast.BinOp) and type(n.op) in _OPS:
+            return _OPS[type(n.op)](build(n.left), build(n.right))
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, (ast.USub, ast.UAdd)):
+            return -build(n.operand) if isinstance(n.op, ast.USub) else build(n.operand)
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in _CALLS and not n.keywords:
+            return _CALLS[n.func.id](*(build(a) for a in n.args))
+        raise ValueError(f"not allowed in a formula: {ast.dump(n)[:80]}")
+
+    return build(ast.parse(formula, mode="eval"))
+
+
+def ordinal_fill(source: list[str], target: list[str], known: Mapping[str, str]) -> dict[str, str]:
+    """Complete a recode between two whole-number scales of one length when at least two known pairs lie on the diagonal and none off it."""
+    try:
+        s, t = sorted(source, key=int), sorted(target, key=int)
+    except ValueError:
+        return dict(known)
+    line = dict(zip(s, t, strict=False))
+    on = [k for k, v in known.items() if line.get(k) == v]
+    if len(s) != len(t) or len(on) < 2 or len(on) < len(known):
+        return dict(known)
+    return line
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Null for a zero vector."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
