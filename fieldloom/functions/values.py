@@ -27,7 +27,7 @@ def parse_options(encoding: Column) -> Column:
     The last two number their options from 1.
     """
     raw = F.trim(encoding)
-    parts = F.filter(F.transform(F.split(raw, r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     bracketed = F.when(F.forall(parts, lambda p: p.rlike(r"^\([^()]*\)")), _at_least_two(_pairs(parts, lambda p: F.regexp_extract(p, r"^\(([^()]*)\)", 1), lambda p: F.regexp_replace(p, r"^\([^()]*\)", ""))))
     equals = F.when(F.forall(parts, lambda p: p.contains("=")), _at_least_two(_pairs(parts, lambda p: F.substring_index(p, "=", 1), lambda p: F.regexp_replace(p, "^[^=]*=", ""))))
     code = r"^[A-Za-z0-9_-]*[0-9_][A-Za-z0-9_-]*,"

@@ -190,9 +190,9 @@ def vectors_without_fields(spark, d):
     return v.select("dictionary_name", "variable_name").subtract(f.select("cohort", "variable_name"))
 
 
-@query("""SELECT variable_name FROM (SELECT variable_name FROM field_references INTERSECT SELECT variable_name FROM dictionary_fields)""")
-def names_in_both(spark, d):
-    return table(spark, d, "field_references").select("variable_name").intersect(table(spark, d, "dictionary_fields").select("variable_name"))
+@query("""SELECT dictionary_name FROM field_references INTERSECT SELECT cohort FROM dictionary_fields""")
+def dictionaries_in_both(spark, d):
+    return table(spark, d, "field_references").select("dictionary_name").intersect(table(spark, d, "dictionary_fields").select("cohort"))
 
 
 def _tree(spark, d):
@@ -211,9 +211,9 @@ def category_closure(spark, d):
 
 
 @query("""WITH a AS (SELECT row_id, cohort, description AS rest, '' AS path FROM dictionary_fields WHERE description IS NOT NULL),
- s1 AS (SELECT row_id, cohort, path || '\\' || trim(split_part(rest, ',', 1)) AS path, trim(substr(rest, strpos(rest, ',') + 1)) AS rest FROM a WHERE contains(rest, ',')),
+ s1 AS (SELECT row_id, cohort, path || '\\' || trim(split_part(rest, ',', 1), ' ') AS path, trim(substr(rest, strpos(rest, ',') + 1), ' ') AS rest FROM a WHERE contains(rest, ',')),
  l1 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cohort, path) AS n FROM s1) WHERE n >= 2),
- s2 AS (SELECT row_id, cohort, path || '\\' || trim(split_part(rest, ',', 1)) AS path, trim(substr(rest, strpos(rest, ',') + 1)) AS rest FROM l1 WHERE contains(rest, ',')),
+ s2 AS (SELECT row_id, cohort, path || '\\' || trim(split_part(rest, ',', 1), ' ') AS path, trim(substr(rest, strpos(rest, ',') + 1), ' ') AS rest FROM l1 WHERE contains(rest, ',')),
  l2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cohort, path) AS n FROM s2) WHERE n >= 2),
  u AS (SELECT row_id, 1 AS level, cohort, path, rest FROM l1 UNION ALL SELECT row_id, 2, cohort, path, rest FROM l2)
  SELECT row_id, CAST(level AS INTEGER) AS level, '_SYNTHETIC_' || substr(sha256(concat_ws('\\', cohort, path)), 1, 8) AS parent_name, rest AS suffix FROM u""")
@@ -289,11 +289,11 @@ def recode_coverage(spark, d):
     return g.select("o_orderstatus", "n", F.round(F.col("c") / F.col("n"), 6).alias("coverage"), (F.col("c") / F.col("n") < 0.8).alias("needs_review"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge, round(l_extendedprice / nullif(l_quantity - 1, 0), 4) AS per_unit FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) * (1 - l_discount) * (1 + l_tax) AS charge, CAST(l_extendedprice AS DOUBLE) / nullif(CAST(l_quantity AS DOUBLE) - 1, 0) AS per_unit FROM lineitem""")
 def formula_eval(spark, d):
     t = table(spark, d, "lineitem")
     names = {"price": F.col("l_extendedprice"), "disc": F.col("l_discount"), "tax": F.col("l_tax"), "q": F.col("l_quantity")}
-    return t.select("l_orderkey", "l_linenumber", F.round(vx.compile_formula("price * (1 - disc) * (1 + tax)", names), 4).alias("charge"), F.round(vx.compile_formula("price / (q - 1)", names), 4).alias("per_unit"))
+    return t.select("l_orderkey", "l_linenumber", vx.compile_formula("price * (1 - disc) * (1 + tax)", names).alias("charge"), vx.compile_formula("price / (q - 1)", names).alias("per_unit"))
 
 
 @query("""SELECT l_returnflag, round(avg(CASE WHEN abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount)) <= greatest(1e-6 * abs(l_extendedprice), 1e-9) THEN 1.0 ELSE 0.0 END), 6) AS right_share,
