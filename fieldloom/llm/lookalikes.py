@@ -94,7 +94,8 @@ def home(text: str) -> str:
     """The script of most letters of a plain text that have no look-alike; '-' where there are none."""
     if text.isascii():
         return "L" if _FIXED["L"].search(text) else "-"
-    counts = {s: len(p.findall(text)) for s, p in _FIXED.items()}
+    bare = unicodedata.normalize("NFD", text)  # a letter with an accent has the look-alikes of the bare one
+    counts = {s: len(p.findall(bare)) for s, p in _FIXED.items()}
     best = max(counts, key=counts.get)
     return best if counts[best] else "-"
 

@@ -35,6 +35,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clusters(table(spark, sf_dir, "field_vectors"), FLOOR, 5)
 
 
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster with its size and the names of its three most typical members."""
+    v = table(spark, sf_dir, "field_vectors")
+    out = vectors.describe(v, vectors.clusters(v, FLOOR, 5), "variable_name")
+    return out.withColumn("typical", F.array_join("typical", ", "))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(table(spark, sf_dir, "field_references")).select(F.col("a").alias("ref_id_a"), F.col("b").alias("ref_id_b"))
 
@@ -83,7 +90,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found, p6_found, p6_matches, p7_packed, p7_report, p8_mixed, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_topk, p3_found, p3_forms, p4_found, p4_clusters, p6_found, p6_matches, p7_packed, p7_report, p8_mixed, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
