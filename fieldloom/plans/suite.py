@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import text as tx
 from fieldloom.functions import values as vx
 from fieldloom.operators import dictionary as dx
+from fieldloom.operators import families as fx
 from fieldloom.operators import groups as gx
 from fieldloom.operators import retrieval as rx
 from fieldloom.operators.graph import connected_components
@@ -581,6 +582,47 @@ def group_diverse_topk(spark, d):
     return m.select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "group_rank", "inside")
 
 
+@query(f"""WITH t AS (SELECT DISTINCT units AS g, description AS l FROM dictionary_fields WHERE units IS NOT NULL AND description IS NOT NULL), k AS (SELECT g, l, list_distinct({_TOK.format('l', 1)}) AS ts FROM t),
+ n AS (SELECT g, count(*) AS n FROM k GROUP BY g HAVING count(*) >= 8), d AS (SELECT g, w, count(*) AS df FROM (SELECT g, unnest(ts) AS w FROM k) GROUP BY ALL),
+ w AS (SELECT g, n, list(w ORDER BY w) AS tw FROM d JOIN n USING (g) WHERE df >= 0.3 * n GROUP BY ALL HAVING count(*) >= 2),
+ f AS (SELECT k.g, n, tw, list_sort(list_filter(ts, lambda x: NOT list_contains(tw, x))) AS slot FROM k JOIN w USING (g) WHERE len(list_intersect(ts, tw)) = len(tw)),
+ o AS (SELECT g, n, tw, count(*) AS fits, count(DISTINCT list_aggregate(slot, 'string_agg', ' ')) AS n_slots FROM f WHERE len(slot) BETWEEN 1 AND 12 GROUP BY ALL)
+ SELECT g AS units, list_aggregate(tw, 'string_agg', ' ') AS template, n AS n_members, n_slots FROM o WHERE n_slots >= 8 AND fits >= 0.1 * n""")
+def enumerated_families(spark, d):
+    return fx.enumerated_families(table(spark, d, "dictionary_fields"), "units", "description", 8, 0.3, 2, 12, 0.1)
+
+
+@query("""WITH t AS (SELECT cohort, lower(regexp_extract(variable_name, '^(.*?)[._]?([0-9]+)$', 1)) AS stem, TRY_CAST(regexp_extract(variable_name, '^(.*?)[._]?([0-9]+)$', 2) AS BIGINT) AS num, variable_name FROM dictionary_fields WHERE regexp_matches(variable_name, '[A-Za-z].*[0-9]$')),
+ o AS (SELECT cohort, stem, num, min(variable_name) AS c FROM t GROUP BY ALL) SELECT cohort, stem, count(*) AS n_columns, string_agg(c, ',' ORDER BY num NULLS FIRST, c) AS columns FROM o GROUP BY ALL HAVING count(*) >= 2""")
+def wide_to_long_specs(spark, d):
+    return fx.wide_to_long_specs(table(spark, d, "dictionary_fields"), "cohort", "variable_name", "row_id", 2)
+
+
+@query("SELECT row_id, count(*) OVER (PARTITION BY encoding_id) >= 8 AS magnet FROM dictionary_fields")
+def magnet_flags(spark, d):
+    return fx.magnets(table(spark, d, "dictionary_fields").select("row_id", "encoding_id"), "encoding_id").select("row_id", "magnet")
+
+
+@query("""WITH o AS (SELECT DISTINCT data_type AS k, lower(trim(regexp_replace(units, '\s+', ' ', 'g'))) AS l FROM dictionary_fields WHERE units IS NOT NULL AND data_type IS NOT NULL), f AS (SELECT DISTINCT data_type AS k, lower(trim(regexp_replace(units, '\s+', ' ', 'g'))) AS l FROM field_references WHERE units IS NOT NULL AND data_type IS NOT NULL),
+ c AS (SELECT o.k, count(*) AS n_observed, round(count(f.l) / count(*), 6) AS coverage FROM o LEFT JOIN f ON o.k = f.k AND o.l = f.l GROUP BY o.k), e AS (SELECT data_type AS k FROM dictionary_fields WHERE data_type IS NOT NULL UNION SELECT data_type FROM field_references WHERE data_type IS NOT NULL)
+ SELECT e.k AS data_type, coalesce(n_observed, 0) AS n_observed, coalesce(coverage, 1.0) AS coverage FROM e LEFT JOIN c ON e.k = c.k""")
+def label_coverage(spark, d):
+    pick = lambda t: table(spark, d, t).where("data_type is not null").select("data_type", "units")
+    return fx.label_coverage(pick("dictionary_fields"), pick("field_references"), "data_type", "units")
+
+
+@query("""SELECT row_id, CASE WHEN len(regexp_extract_all(description, '[0-9]+(?:\.[0-9]+)?')) = 1 THEN TRY_CAST(regexp_extract_all(description, '[0-9]+(?:\.[0-9]+)?')[1] AS DOUBLE) END AS cut,
+ coalesce(least(1.0, greatest(0.0, TRY_CAST(encoding_id AS DOUBLE) / 2000)), 0.0) AS confidence FROM dictionary_fields""")
+def cut_points(spark, d):
+    return table(spark, d, "dictionary_fields").select("row_id", fx.cut_point(F.col("description")).alias("cut"), fx.clamp(F.col("encoding_id").try_cast("double") / 2000).alias("confidence"))
+
+
+@query("""SELECT event_id, CAST(1 AS INTEGER) AS pos, '{"k": ' || json_extract_string(props, '$.k') || '}' AS object FROM events""")
+def salvaged_answers(spark, d):
+    t = table(spark, d, "events").select("event_id", F.concat(F.lit("answer: ["), F.col("props"), F.lit(', {"cut": ')).alias("answer"))
+    return fx.salvaged(t, "event_id", "answer")
+
+
 @query()
 def chunk_oversized(spark, d):
     """Average-linkage bisection has no SQL form; it is tested against brute force on small groups."""

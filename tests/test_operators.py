@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import text as tx
 from fieldloom.functions import values as vx
 from fieldloom.operators import dictionary as dx
+from fieldloom.operators import families as fx
 from fieldloom.operators import groups as gx
 from fieldloom.operators import retrieval as rx
 from fieldloom.operators.graph import connected_components
@@ -105,3 +106,12 @@ def test_fuse_keeps_zero_scores(spark):
     a = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (1, 3, 0.0)], "q int, d int, score double")
     b = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0), (1, 3, 0.0)], "q int, d int, score double")
     assert [r.d for r in rx.fuse(a, b, 2).orderBy("rank").collect()] == [1, 2]  # 1/61 + 1/62 each: a tie goes to the smaller id
+
+
+def test_salvage_and_moves(spark):
+    assert fx.salvage('x [{"a": {"b": 1}}, {"c": "}"}, {"cut": [1') == ['{"a": {"b": 1}}', '{"c": "}"}']
+    assert fx.salvage("no { json") == []
+    g = spark.createDataFrame([("m1", "g1"), ("m2", "g2")], "member string, `group` string")
+    assert {(r.member, r.group, r.moved) for r in fx.moved_members(g, spark.createDataFrame([("m1", "g2")], "member string, to string")).collect()} == {("m1", "g2", True), ("m2", "g2", False)}
+    with pytest.raises(ValueError):
+        fx.moved_members(g, spark.createDataFrame([("m1", "g9")], "member string, to string"))
