@@ -603,7 +603,7 @@ def magnet_flags(spark, d):
     return fx.magnets(table(spark, d, "dictionary_fields").select("row_id", "encoding_id"), "encoding_id").select("row_id", "magnet")
 
 
-@query("""WITH o AS (SELECT DISTINCT data_type AS k, lower(trim(regexp_replace(units, '\s+', ' ', 'g'))) AS l FROM dictionary_fields WHERE units IS NOT NULL AND data_type IS NOT NULL), f AS (SELECT DISTINCT data_type AS k, lower(trim(regexp_replace(units, '\s+', ' ', 'g'))) AS l FROM field_references WHERE units IS NOT NULL AND data_type IS NOT NULL),
+@query(r"""WITH o AS (SELECT DISTINCT data_type AS k, lower(trim(regexp_replace(units, '\s+', ' ', 'g'))) AS l FROM dictionary_fields WHERE units IS NOT NULL AND data_type IS NOT NULL), f AS (SELECT DISTINCT data_type AS k, lower(trim(regexp_replace(units, '\s+', ' ', 'g'))) AS l FROM field_references WHERE units IS NOT NULL AND data_type IS NOT NULL),
  c AS (SELECT o.k, count(*) AS n_observed, round(count(f.l) / count(*), 6) AS coverage FROM o LEFT JOIN f ON o.k = f.k AND o.l = f.l GROUP BY o.k), e AS (SELECT data_type AS k FROM dictionary_fields WHERE data_type IS NOT NULL UNION SELECT data_type FROM field_references WHERE data_type IS NOT NULL)
  SELECT e.k AS data_type, coalesce(n_observed, 0) AS n_observed, coalesce(coverage, 1.0) AS coverage FROM e LEFT JOIN c ON e.k = c.k""")
 def label_coverage(spark, d):
@@ -611,7 +611,7 @@ def label_coverage(spark, d):
     return fx.label_coverage(pick("dictionary_fields"), pick("field_references"), "data_type", "units")
 
 
-@query("""SELECT row_id, CASE WHEN len(regexp_extract_all(description, '[0-9]+(?:\.[0-9]+)?')) = 1 THEN TRY_CAST(regexp_extract_all(description, '[0-9]+(?:\.[0-9]+)?')[1] AS DOUBLE) END AS cut,
+@query(r"""SELECT row_id, CASE WHEN len(regexp_extract_all(description, '[0-9]+(?:\.[0-9]+)?')) = 1 THEN TRY_CAST(regexp_extract_all(description, '[0-9]+(?:\.[0-9]+)?')[1] AS DOUBLE) END AS cut,
  coalesce(least(1.0, greatest(0.0, TRY_CAST(encoding_id AS DOUBLE) / 2000)), 0.0) AS confidence FROM dictionary_fields""")
 def cut_points(spark, d):
     return table(spark, d, "dictionary_fields").select("row_id", fx.cut_point(F.col("description")).alias("cut"), fx.clamp(F.col("encoding_id").try_cast("double") / 2000).alias("confidence"))
