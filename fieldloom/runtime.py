@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,3 +101,23 @@ def spread(df: DataFrame, rows_per_task: int, rows: int | None = None) -> int:
     """Shuffle partitions so that each holds about ``rows_per_task`` rows, never fewer than the session's setting."""
     rows = df.count() if rows is None else rows
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application: they may not have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    made = os.path.join(tempfile.mkdtemp(prefix="fieldloom-code-"), "fieldloom.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("fieldloom", os.path.relpath(path, here)))
+    sc.addPyFile(made)
