@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.runtime import broadcast_if_small, fresh, stage
 
-_RUN = r"[\p{L}\p{M}\p{Nd}  ]"
-_TOKENS = rf"{_RUN}+|[^\p{{L}}\p{{M}}\p{{Nd}}  ]"
+_RUN = r"[\p{L}\p{M}\p{Nd} \u00a0]"
+_TOKENS = rf"{_RUN}+|[^\p{{L}}\p{{M}}\p{{Nd}} \u00a0]"
 #: Signs that stand for classes of runs in a skeleton, and the one before a run that opens with a blank.
 _CLASSES = {k: chr(0xE000 + i) for i, k in enumerate("9dAuUmaS")}
 _NAMES = {v: k for k, v in _CLASSES.items()}
@@ -41,7 +41,7 @@ def _steps() -> list[tuple[str, str]]:
     """Patterns replaced in this order; a replacement stands for the class of a whole run."""
     b, e, s = f"(?<!{_RUN})", f"(?!{_RUN})", r"[  ]"
     return [
-        ("[-]", ""),
+        ("[\ue000-\ue00f]", "\ue00f"),
         (f"{b}{s}++{e}", _CLASSES["S"]),
         (f"{b}{s}++", _LEAD),
         (rf"{b}\p{{Nd}}++{s}*+{e}", _CLASSES["9"]),

@@ -25,13 +25,13 @@ QUOTING, COLUMN_COUNT, INVALID_VALUE, UNKNOWN_FILE = "quoting", "column_count",
 BLOCK_ROWS = 20_000
 # A cell may hold line breaks with or without quotes, but the reader ends a record
 # at each break outside quotes; these stand in for breaks while it reads.
-_ESCAPE = str.maketrans({"": "", "\n": "", "\r": "", "\0": ""})
-_BACK = {"": "", "": "\n", "": "\r", "": "\0"}
-_BLANKS = " \t\n\r\v\f   　"
+_ESCAPE = str.maketrans({"\ue000": "\ue000\ue000", "\n": "\ue000\ue001", "\r": "\ue000\ue002", "\0": "\ue000\ue003"})
+_BACK = {"\ue000": "\ue000", "\ue001": "\n", "\ue002": "\r", "\ue003": "\0"}
+_BLANKS = " \t\n\r\v\f\u00a0\u2007\u202f\u3000"
 
 
 def _unescape(text: str) -> str:
-    return re.sub("([-])", lambda m: _BACK[m[1]], text)
+    return re.sub("\ue000([\ue000-\ue003])", lambda m: _BACK[m[1]], text)
 
 
 def well_quoted(delimiter: str) -> re.Pattern:
@@ -78,27 +78,7 @@ def read_block(records: list[str], delimiter: str, names: list[str]) -> tuple[li
     for k, name in enumerate(names):
         into = cells[name]
         for i, v in zip(at, read.column(f"c{k}").to_pylist(), strict=True):
-            into[i] = _unescape(v) if "" in v else v
-    return reasons, cells
-    # The first cell is the record's place, so a reject can be told by its text.
-    body = "\n".join(f"{i}{delimiter}{records[i].translate(_ESCAPE)}" for i in fine).encode("utf-8", "surrogatepass")
-
-    def invalid(row: pacsv.InvalidRow) -> str:
-        reasons[int(row.text.split(delimiter, 1)[0])] = COLUMN_COUNT
-        return "skip"
-
-    columns = ["#", *(f"c{k}" for k in range(len(names)))]
-    read = pacsv.read_csv(
-        io.BytesIO(body),
-        read_options=pacsv.ReadOptions(column_names=columns, block_size=len(body) + 1, use_threads=False),
-        parse_options=pacsv.ParseOptions(delimiter=delimiter, quote_char='"', double_quote=True, newlines_in_values=True, ignore_empty_lines=False, invalid_row_handler=invalid),
-        convert_options=pacsv.ConvertOptions(column_types={c: pa.string() for c in columns}, strings_can_be_null=False),
-    )
-    at = pc.cast(read.column("#"), pa.int64()).to_pylist()
-    for k, name in enumerate(names):
-        into = cells[name]
-        for i, v in zip(at, read.column(f"c{k}").to_pylist(), strict=True):
-            into[i] = _unescape(v) if "" in v else v
+            into[i] = _unescape(v) if "\ue000" in v else v
     return reasons, cells
 
 

@@ -423,9 +423,6 @@ def dense_topk(spark, d):
     return rx.top(_dense(spark, d), 10).select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "score", "rank")
 
 
-_LX = f"""lq AS (SELECT vec_id AS q, {_TOK.format("variable_name", 2)} AS ts FROM field_vectors WHERE vec_id % 100 = 0)"""
-
-
 @query(f"""WITH {_DN}, ls AS (SELECT q, d, round(CASE WHEN ql = dl THEN 1.0 ELSE 0.0 END + (q + d) % 7 / 10.0, 6) AS score FROM ds),
  r AS (SELECT q, d, 1.0 / (60 + row_number() OVER (PARTITION BY q ORDER BY score DESC, d)) AS part, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM ds UNION ALL SELECT q, d, 1.0 / (60 + row_number() OVER (PARTITION BY q ORDER BY score DESC, d)), row_number() OVER (PARTITION BY q ORDER BY score DESC, d) FROM ls),
  f AS (SELECT q, d, round(sum(part), 6) AS score FROM r WHERE rank <= 1000 GROUP BY q, d)
@@ -485,7 +482,6 @@ def recall_at_k(spark, d):
 # --- groups ---------------------------------------------------------------------------------------------------------------
 
 DIM = 64
-_N = "sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[]))"
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"
 _CENT = f"{_UNIT}, l AS (SELECT label, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM u) GROUP BY label, i), c AS (SELECT label, max(n) AS n, list(s ORDER BY i) AS c FROM l GROUP BY label), tc AS (SELECT u.label, vec_id, n, round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 6) AS cos FROM u JOIN c USING (label))"
 
