@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.runtime import stage
+
 #: Texts that the field is trained on.
 SAMPLE_DOCS = 4_000
 #: Characters of each of them that are read for training; finding reads whole texts.
@@ -35,6 +37,10 @@ LABELS = ("none", "person_name", "email", "phone", "identity_number", "street_ad
 NONE, NAME, MAIL, PHONE, IDENTITY, ADDRESS = range(6)
 HASHES = 1 << 18
 ROUNDS = 6
+#: Share of all words that small spellings of a word must reach to be counted: at most 1 / WORD_SHARE words are.
+WORD_SHARE = 1.5e-5
+#: Share of small spellings from which a word is a common one.
+COMMON = 0.3
 #: Log prior for what is spelled like an e-mail or street address.
 SPELLED = 3.0
 
@@ -57,6 +63,8 @@ STREET = (
 NUMBER = r"(?<![\w.@/+-])(?:[A-Z]{1,4}[- ]?(?=\d))?\(?\+?\(?\d+\)?(?:[ ./-]?\(?\d+\)?)*(?:[- ]?[A-Z]\b)?(?: ext\.? ?\d+)?(?![\w@])"
 WORD = rf"[{_UP}][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 _UNITS = re.compile(rf"(?P<m>(?i:{EMAIL}))|(?P<a>{STREET})|(?P<n>{NUMBER})|(?P<w>(?<![\w@.+-]){WORD}(?![\w@]))")
+_MAIL = re.compile(EMAIL, re.I)
+_MAIL_SIGN = re.compile(r"@|[(\[]at[)\]]| dot ", re.I)
 #: Forms of address. M. is left out: it is an initial far oftener.
 _TITLES = frozenset("dr prof mr mrs ms miss frau herr herrn mme mlle sra sr srta don doña".split())
 _TITLE_DOT = re.compile(r"(?:Dr|Prof|Mr|Mrs|Ms|Mme|Mlle|Sra|Sr|Srta)\.?$")
@@ -106,7 +114,7 @@ def _shape(w: str) -> str:
 
 
 def units(texts: list[str | None], lower: dict[str, float], learn: bool = False) -> Units:
-    """Nodes, features and edges of ``texts``. ``lower`` gives words mostly written small: they are never names."""
+    """Nodes, features and edges of ``texts``. ``lower`` gives the share of small spellings of words: a feature, whatever it is."""
     u = Units([], [], [], [], [], [], [], [], [])
     for d, text in enumerate(texts):
         if not text:
@@ -128,8 +136,9 @@ def units(texts: list[str | None], lower: dict[str, float], learn: bool = False)
                         t, e = t[: k.start()], s + k.start()
             elif kind == "w":
                 w = t.lower()
-                if len(w) < 2 or w in _TITLES or lower.get(w, 0.0) > 0.3:
+                if len(w) < 2 or w in _TITLES:
                     continue
+                small = lower.get(w, 0.0)
             before = text[max(0, s - 56) : s]
             lead = _LEFT.search(before)[0] if kind == "w" else ""
             if lead:  # initials and particles belong to a name: what stands before them is its context
@@ -166,8 +175,13 @@ def units(texts: list[str | None], lower: dict[str, float], learn: bool = False)
                 inmail = len(w) > 3 and any(x in local for x in re.split("[-'’ ]", w) if len(x) > 3)
                 nxt_up = len(after) > 0 and after[0][:1].isupper() and text[e : e + 1] == " "
                 ctx += [f"t={titled}", f"bol={bol}{eol}", f"bos={bos}", f"up={nxt_up}", f"lead={bool(lead)}", f"cue={bool(_NAME_CUE.search(before))}"]
-                own = [f"w={w}", *(f"{k}={x}" for p in set(re.split("[-'’]", w)) if len(p) > 1 for k, x in (("a", p[:3]), ("b", p[:4]), ("c", p[-3:]), ("d", p[-4:]), ("e", p[-2:]))), f"sh={shape}", f"mail={inmail}", f"lr={lower.get(w, 0.0) > 0.02}", f"ln={min(len(w), 12)}"]
-                if learn:
+                own = [f"w={w}", *(f"{k}={x}" for p in set(re.split("[-'’]", w)) if len(p) > 1 for k, x in (("a", p[:3]), ("b", p[:4]), ("c", p[-3:]), ("d", p[-4:]), ("e", p[-2:]))), f"sh={shape}", f"mail={inmail}", f"lr={small > 0.02}", f"lo={small > COMMON}", f"ln={min(len(w), 12)}"]
+                if learn and small > COMMON:  # cues stand before common words too; a form of address doesn't
+                    if titled:
+                        weak = NAME
+                    elif not (_NAME_CUE.search(before) or _SIGN_OFF.search(before)):
+                        weak = NONE
+                elif learn:
                     if titled or _NAME_CUE.search(before) or _SIGN_OFF.search(before) or (inmail and shape != "XxX"):
                         weak = NAME if shape != "XxX" else NONE
                     elif shape == "XxX" or p1 in ("the", "das", "le", "el", "la", "dem", "der", "element", "kandidat"):
@@ -291,26 +305,38 @@ def _pairs(u: Units, labels: np.ndarray) -> np.ndarray:
 
 
 def small_words(documents: DataFrame, text: str) -> dict[str, float]:
-    """Share of small spellings of each word that is written both ways, over all texts, for words seen 20 times small."""
+    """Share of small spellings of each word that is written both ways, over all texts without their e-mail addresses.
+
+    Only for words whose small spellings are ``WORD_SHARE`` of all words, so that the
+    size of the corpus changes nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small: Counter[str] = Counter()
         big: Counter[str] = Counter()
+        total = 0
         word = re.compile(r"[^\W\d_]{2,24}")
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
+                    if _MAIL_SIGN.search(t):
+                        t = _MAIL.sub(" ", t)
                     for w, n in Counter(word.findall(t)).items():
+                        total += n
                         if w[0].islower():
                             small[w] += n
                         else:
                             big[w.lower()] += n
         words = [w for w in big if w in small]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([small[w] for w in words], pa.int64()), pa.array([big[w] for w in words], pa.int64())], names=["w", "s", "b"])
+        # The empty word holds the number of all words.
+        yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([total, *(small[w] for w in words)], pa.int64()), pa.array([0, *(big[w] for w in words)], pa.int64())], names=["w", "s", "b"])
 
-    both = documents.select(text).mapInArrow(run, "w string, s long, b long").groupBy("w").agg(F.sum("s").alias("s"), F.sum("b").alias("b")).where("s >= 20 and s > 0.02 * b")
+    both = documents.select(text).mapInArrow(run, "w string, s long, b long").groupBy("w").agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
+    both = stage(both, "words")
+    total = both.where("w = ''").agg(F.sum("s")).first()[0] or 0
+    often = both.where("w <> ''").where(F.col("s") >= WORD_SHARE * total).where("s > 0.02 * b")
     # The most frequent words of the language; names are far below.
-    return {r["w"]: r["s"] / (r["s"] + r["b"]) for r in both.orderBy(F.desc("s"), "w").limit(50_000).collect()}
+    return {r["w"]: r["s"] / (r["s"] + r["b"]) for r in often.orderBy(F.desc("s"), "w").limit(50_000).collect()}
 
 
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Field:

@@ -77,6 +77,18 @@ def test_note(spark, field):
     assert ps.find(df.limit(0), field=field).count() == 0
 
 
+def test_names_in_addresses_are_not_small_words(spark):
+    """Ten times the texts give the same shares, and addresses give none."""
+    rows = [(i, f"Call Nora{' Panel and panel' * (i % 2)}, nora.berg@clinic.example or nora.berg (at) clinic.example, see panel {i}") for i in range(60)]
+    few, many = (ps.small_words(spark.createDataFrame(rows * n, "doc_id long, text string"), "text") for n in (1, 10))
+    assert few == many and "nora" not in few and few["panel"] == 0.75
+
+
+def test_common_words_are_units():
+    u = ps.units(["Thank you. Mrs Rose called the Rose Panel."], {"rose": 0.6, "panel": 0.9, "thank": 0.9}, learn=True)
+    assert list(zip(u.text, u.weak, strict=True)) == [("Thank", ps.NONE), ("Rose", ps.NAME), ("Rose", ps.NONE), ("Panel", ps.NONE)]
+
+
 def test_messages_agree_with_enumeration():
     """On a tree the passed messages give exact marginals."""
     rng = np.random.default_rng(0)
