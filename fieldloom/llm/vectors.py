@@ -29,11 +29,14 @@ from pyspark.sql import types as T
 
 from fieldloom.operators.graph import connected_components
 from fieldloom.operators.groups import centroids, representatives
-from fieldloom.runtime import broadcast_if_small, spread, stage
+from fieldloom.runtime import broadcast_if_small, stage
 
 #: Vectors that axes and medians are fitted on.
 SAMPLE_ROWS = 20_000
 BITS = 58
+#: Leaves that a range holds at least, and ranges made for the sake of parallel work.
+LEAVES = 8
+TASKS = 24
 
 
 @dataclass(frozen=True)
@@ -183,10 +186,19 @@ def _local(x: np.ndarray, axes: np.ndarray, tree: int, seed: int, ids: np.ndarra
         yield order[a:b]
 
 
+def ranges(rows: int, range_rows: int, leaf: int) -> int:
+    """Number of ranges: ``range_rows`` rows each; up to ``TASKS`` where that leaves an eighth of it and ``LEAVES`` leaves in each.
+
+    It follows from the rows alone: how far the forest looks must not depend on the session.
+    """
+    least = LEAVES * leaf
+    return max(1, -(-rows // max(range_rows, least)), min(TASKS, rows // max(range_rows // 8, least)))
+
+
 def _ranges(index: Index, run, schema: str, range_rows: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """``run`` on tasks that each hold one range of one or more routing trees; ties of the string are cut by id."""
     f = index.forest
-    n = spread(index.reps, range_rows or f.range_rows, index.rows * f.routes)
+    n = ranges(index.rows * f.routes, range_rows or f.range_rows, f.leaf)
     ranged = index.reps.select(F.explode("keys").alias("key"), "id", "code", *extra).repartitionByRange(n, "key", "id")
     dim, axes = index.dim, index.axes.astype(np.float32)
 
@@ -273,7 +285,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, forest: Forest = Forest(rou
     if index is None:
         return vectors.sparkSession.createDataFrame([], "id long, rank int, neighbour long, cos double")
     index.reps = index.reps.withColumn("query", is_query)
-    n = spread(index.reps, forest.range_rows, index.rows * forest.routes)
+    n = ranges(index.rows * forest.routes, forest.range_rows, forest.leaf)
     ranged = index.reps.select(F.explode("keys").alias("key"), "id", "code", "query").repartitionByRange(n, "key", "id")
     dim = index.dim
 

@@ -97,12 +97,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread(df: DataFrame, rows_per_task: int, rows: int | None = None) -> int:
-    """Shuffle partitions so that each holds about ``rows_per_task`` rows, never fewer than the session's setting."""
-    rows = df.count() if rows is None else rows
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -74,6 +74,19 @@ def test_search_finds_far_neighbours(spark):
     assert hit / 100 >= 0.9
 
 
+def test_partition_setting_changes_nothing(spark):
+    df = frame(spark, world(seed=3))
+    got = {}
+    try:
+        for n in ("4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got[n] = {(r.id, r.neighbour) for r in vc.top_k(df, 5, 0.88, vc.Forest(leaf=64, range_rows=2000)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got["4"] & got["200"]) / len(got["4"] | got["200"]) > 0.97
+    assert [vc.ranges(n * 3, 60_000, 1024) for n in (0, 900, 20_000, 200_000, 2_000_000)] == [1, 1, 7, 24, 100]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, [0.0, 0.0])], [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [2.0, 0.0])]])
 def test_small_tables(spark, rows):
     df = frame(spark, rows)
