@@ -245,6 +245,26 @@ def neighbour_pairs(index: Index, k: int, floor: float) -> DataFrame:
     return _ranges(index, run, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
 
+def _with_copies(near: DataFrame, copies: DataFrame, members: DataFrame, k: int, is_query=None) -> DataFrame:
+    """(id, rank, neighbour, cos) from the neighbours ``near`` of representatives: classes of copies expanded on both sides.
+
+    ``members`` are the copies that get rows; ``is_query`` says which other ids do.
+    """
+    by = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    # A class of copies stands behind each id: its k + 1 smallest ids can be neighbours.
+    smallest = Window.partitionBy("rep").orderBy("id")
+    first = stage(copies.withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids")), "firsts")
+    first = broadcast_if_small(first)
+    others = near.join(first.withColumnsRenamed({"rep": "b", "ids": "bs"}), "b", "left").select("a", F.explode(F.coalesce("bs", F.array("b"))).alias("b"), "cos")
+    own = first.select(F.col("rep").alias("a"), F.explode("ids").alias("b"), F.lit(1.0).alias("cos"))
+    listed = others.unionByName(own).withColumn("at", F.row_number().over(by)).where(F.col("at") <= k + 1).drop("at")
+    each = listed.join(broadcast_if_small(members.withColumnRenamed("rep", "a")), "a", "left").withColumn("id", F.coalesce("id", "a")).where("id <> b")
+    if is_query is not None:
+        each = each.where(is_query)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "b"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", F.col("b").alias("neighbour"), "cos")
+
+
 def top_k(vectors: DataFrame, k: int = 5, floor: float = 0.88, forest: Forest = Forest(), key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, rank, neighbour, cos): for every vector its k most similar at ``floor`` or more.
 
@@ -261,30 +281,23 @@ def top_k(vectors: DataFrame, k: int = 5, floor: float = 0.88, forest: Forest =
     near = near.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k).drop("at")
     if index.copies.isEmpty():
         return near.select(F.col("a").alias("id"), F.row_number().over(by).alias("rank"), F.col("b").alias("neighbour"), "cos")
-    # A class of copies stands behind each id: its k + 1 smallest ids can be neighbours.
-    smallest = Window.partitionBy("rep").orderBy("id")
-    first = stage(index.copies.withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids")), "firsts")
-    first = broadcast_if_small(first)
-    others = near.join(first.withColumnsRenamed({"rep": "b", "ids": "bs"}), "b", "left").select("a", F.explode(F.coalesce("bs", F.array("b"))).alias("b"), "cos")
-    own = first.select(F.col("rep").alias("a"), F.explode("ids").alias("b"), F.lit(1.0).alias("cos"))
-    listed = others.unionByName(own).withColumn("at", F.row_number().over(by)).where(F.col("at") <= k + 1).drop("at")
-    members = broadcast_if_small(index.copies.withColumnRenamed("rep", "a"))
-    each = listed.join(members, "a", "left").withColumn("id", F.coalesce("id", "a")).where("id <> b")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "b"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", F.col("b").alias("neighbour"), "cos")
+    return _with_copies(near, index.copies, index.copies, k)
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, forest: Forest = Forest(routes=6, range_rows=400_000), key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, rank, neighbour, cos): the k most similar of all vectors for each query, however dissimilar.
 
     ``is_query`` is a Column over ``id``. Queries ascend to their whole range in every
-    routing tree, so dissimilar vectors have nearest ones too. Exact copies of a vector
-    count through the one of smallest id.
+    routing tree, so dissimilar vectors have nearest ones too. Copies rank with cosine 1,
+    as in ``top_k``; each copy that is a query gets its own rows.
     """
     index = build(vectors, forest, key, embedding)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "id long, rank int, neighbour long, cos double")
-    index.reps = index.reps.withColumn("query", is_query)
+    # A class of copies is asked for when any of its members is a query.
+    members = stage(index.copies.where(is_query), "members")
+    asked = broadcast_if_small(members.select(F.col("rep").alias("id")).distinct()).withColumn("asked", F.lit(True))
+    index.reps = index.reps.join(asked, "id", "left").withColumn("query", F.coalesce(is_query, F.lit(False)) | F.col("asked").isNotNull()).drop("asked")
     n = ranges(index.rows * forest.routes, forest.range_rows, forest.leaf)
     ranged = index.reps.select(F.explode("keys").alias("key"), "id", "code", "query").repartitionByRange(n, "key", "id")
     dim = index.dim
@@ -315,8 +328,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, forest: Forest = Forest(rou
                 )
 
     found = ranged.mapInArrow(task, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("id"), "rank", F.col("b").alias("neighbour"), "cos")
+    by = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    near = found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k).drop("at")
+    return _with_copies(near, index.copies, members, k, is_query)
 
 
 def _order(ids: np.ndarray) -> np.ndarray:

@@ -74,6 +74,26 @@ def test_search_finds_far_neighbours(spark):
     assert hit / 100 >= 0.9
 
 
+def test_search_counts_copies(spark):
+    """A third of the rows are one vector: each copy that is a query has its rows, and copies are neighbours."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 2 else rng.normal(size=4).tolist()) for i in range(300)]
+    got = {}
+    for r in vc.search(frame(spark, rows), F.col("id") % 10 == 0, 5).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour, round(r.cos, 3)))
+    ids, x = matrix(rows, 4)
+    assert sorted(got) == list(range(0, 300, 10))
+    assert got[50] == [(i + 1, 3 * i + 2, 1.0) for i in range(5)]
+    for q, found in got.items():
+        s = np.round(x @ x[q], 3)
+        s[q] = -2
+        assert [c for _, _, c in found] == pytest.approx(sorted(s, reverse=True)[:5], abs=2e-3)
+    two = vc.search(frame(spark, [(1, [1.0, 0.0]), (2, [2.0, 0.0])]), F.col("id") == 2, 5).collect()
+    assert [(r.id, r.rank, r.neighbour) for r in two] == [(2, 1, 1)]
+
+
 def test_partition_setting_changes_nothing(spark):
     df = frame(spark, world(seed=3))
     got = {}
