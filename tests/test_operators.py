@@ -102,6 +102,20 @@ def test_chunks_hold_the_cap(spark):
     assert gx.two_parts(x).tolist() == [True] * 3 + [False] * 4
 
 
+def test_large_groups_are_cut_by_similarity(spark):
+    """Twelve tight families of 40 in a group above the block stay whole; copies of one vector are still cut."""
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(12, 16))
+    rows = [("g", i, (middle[i % 12] + rng.normal(size=16) * 0.05).tolist()) for i in range(480)] + [("same", 1000 + i, [1.0] * 16) for i in range(300)] + [(None, 2000 + i, [1.0] * 16) for i in range(5)]
+    out = gx.chunk(spark.createDataFrame(rows, "g string, k int, v array<double>"), "g", "k", "v", 45, block=200).collect()
+    assert len(out) == len(rows) == len({r.k for r in out})
+    of = {}
+    for r in out:
+        if r.g == "g":
+            of.setdefault(r.k % 12, set()).add(r.chunk)
+    assert all(len(c) == 1 for c in of.values()) and len(set.union(*of.values())) == 12
+
+
 def test_fuse_keeps_zero_scores(spark):
     a = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (1, 3, 0.0)], "q int, d int, score double")
     b = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0), (1, 3, 0.0)], "q int, d int, score double")
