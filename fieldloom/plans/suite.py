@@ -222,6 +222,12 @@ def hierarchy_children(spark, d):
     return dx.hierarchy(table(spark, d, "dictionary_fields"), "row_id", "cohort", "description", ",", 2)
 
 
+@query()
+def hierarchy_levels(spark, d):
+    """All five levels; the SQL of hierarchy_children spells out two."""
+    return dx.hierarchy(table(spark, d, "dictionary_fields"), "row_id", "cohort", "description", ",")
+
+
 # --- value domains -----------------------------------------------------------------------------------------------------
 
 _PARTS = "list_filter(list_transform(string_split(trim(value_encoding), '|'), lambda p: trim(p)), lambda p: p <> '')"

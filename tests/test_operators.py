@@ -116,6 +116,16 @@ def test_large_groups_are_cut_by_similarity(spark):
     assert all(len(c) == 1 for c in of.values()) and len(set.union(*of.values())) == 12
 
 
+def test_hierarchy_goes_five_levels_deep(spark, tmp_path):
+    from fieldloom.plans import suite
+
+    rows = [(i, "c", f"a, b, c, d, e, f, {i}") for i in range(2)] + [(2, "c", "a, b, x"), (3, "c", None), (4, "other", "a, b, c")]
+    spark.createDataFrame(rows, "row_id int, cohort string, description string").write.parquet(f"{tmp_path}/dictionary_fields.parquet")
+    got = suite.QUERIES["hierarchy_levels"](spark, str(tmp_path)).collect()
+    assert sorted((r.row_id, r.level) for r in got) == sorted([(i, k) for i in range(2) for k in range(1, 6)] + [(2, 1), (2, 2)])
+    assert {r.suffix for r in got if r.level == 5} == {"f, 0", "f, 1"}
+
+
 def test_fuse_keeps_zero_scores(spark):
     a = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (1, 3, 0.0)], "q int, d int, score double")
     b = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0), (1, 3, 0.0)], "q int, d int, score double")
