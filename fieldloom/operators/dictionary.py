@@ -27,7 +27,7 @@ def common_prefix(fields: DataFrame, ratio: float = 0.5, least_length: int = 8)
     """(cohort, prefix, depth): the deepest run of leading name parts that at least max(2, ratio * fields) of a cohort share."""
     parts = fields.select("cohort", tx.words_of_name(F.col("variable_name")).alias("p")).where(F.size("p") > 1)
     size = fields.groupBy("cohort").agg(F.count("*").alias("n"))
-    each = parts.select("cohort", F.explode(F.sequence(F.lit(1), F.least(F.size("p") - 1, F.lit(6)))).alias("depth"), "p").withColumn("prefix", F.array_join(F.slice("p", 1, F.col("depth")), "_"))
+    each = parts.select("cohort", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("depth"), "p").withColumn("prefix", F.array_join(F.slice("p", 1, F.col("depth")), "_"))
     shared = each.groupBy("cohort", "depth", "prefix").agg(F.count("*").alias("c")).join(size, "cohort").where(F.col("c") >= F.greatest(F.lit(2), F.floor(F.col("n") * ratio))).where(F.length("prefix") >= least_length)
     top = Window.partitionBy("cohort").orderBy(F.desc("depth"), F.desc("c"), "prefix")
     return shared.withColumn("k", F.row_number().over(top)).where("k = 1").select("cohort", "prefix", "depth", F.col("c").alias("n_fields"))

@@ -126,6 +126,11 @@ def test_hierarchy_goes_five_levels_deep(spark, tmp_path):
     assert {r.suffix for r in got if r.level == 5} == {"f, 0", "f, 1"}
 
 
+def test_common_prefix_has_no_depth_limit(spark):
+    df = spark.createDataFrame([("c", f"a_b_c_d_e_f_g_h_{x}") for x in ("k", "l", "m")], "cohort string, variable_name string")
+    assert [(r.prefix, r.depth, r.n_fields) for r in dx.common_prefix(df).collect()] == [("a_b_c_d_e_f_g_h", 8, 3)]
+
+
 def test_fuse_keeps_zero_scores(spark):
     a = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (1, 3, 0.0)], "q int, d int, score double")
     b = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0), (1, 3, 0.0)], "q int, d int, score double")
