@@ -36,9 +36,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each cluster with its size and the names of its three most typical members."""
+    """Each pivot cluster with its size and the names of its three most typical members."""
     v = table(spark, sf_dir, "field_vectors")
-    out = vectors.describe(v, vectors.clusters(v, FLOOR, 5), "variable_name")
+    out = vectors.describe(v, vectors.pivot_clusters(v, FLOOR, 2), "variable_name")
     return out.withColumn("typical", F.array_join("typical", ", "))
 
 

@@ -1,16 +1,21 @@
-"""Hash-prefix forest over vectors: nearest neighbours and links.
+"""Hash-prefix forest over vectors: nearest neighbours, links and pivot clusters.
 
 A tree gives every vector a long hash string and keeps the vectors sorted by it. The
 trees are used on two levels. Each of ``routes`` trees is sorted across the cluster
 and cut into ranges that fit a task, which is the top of the descent. Inside a range,
-``trees`` further trees of its own strings are sorted arrays; descent goes to the
-longest prefix that at most ``leaf`` vectors share, however long that is, and all
-trees ascend together, each offering its whole leaf. A leaf is compared with one
-matrix product. So a vector travels ``routes`` times, not once for each tree.
+``trees`` further trees of its own strings are sorted arrays. A query descends to its
+longest match in each of them and then ascends in all of them together, one prefix
+length after the other, until the prefixes hold ``candidates`` vectors between them.
+Queries that share a prefix are compared with it by one matrix product. Where more
+than a share ``CROWD`` of what a query met is as near as ``floor``, the crowd may go
+on outside its prefixes, so it ascends further, up to its whole range. So a vector
+travels ``routes`` times, not once for each tree. A table that fits one range needs no
+routes: its one range is given to several tasks, each answering some of the queries.
 
 Hash signs: random rotations of the leading principal axes, cut at their medians.
 Axes and medians are fitted on a bounded sample (``SAMPLE_ROWS``); every vector is
 indexed. Vectors travel as 16-bit parts, which moves a cosine by about 0.00001.
+``exact_top_k`` is the way without an index, block by block.
 
 Exact copies (equal up to length) are indexed once, by their smallest id.
 """
@@ -18,7 +23,7 @@ Exact copies (equal up to length) are indexed once, by their smallest id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +34,29 @@ from pyspark.sql import types as T
 
 from fieldloom.operators.graph import connected_components
 from fieldloom.operators.groups import centroids, representatives
-from fieldloom.runtime import broadcast_if_small, stage
+from fieldloom.runtime import broadcast_if_small, stage, unstage
 
 #: Vectors that axes and medians are fitted on.
 SAMPLE_ROWS = 20_000
 BITS = 58
-#: Leaves that a range holds at least, and ranges made for the sake of parallel work.
-LEAVES = 8
-TASKS = 24
+#: Share of near vectors among the candidates of a query from which it ascends further, and by how much.
+CROWD = 0.125
+ASCENT = 4
+#: Tasks that one range is given to, and the rows it holds for each.
+COPIES = 4
+COPY_ROWS = 5_000
+#: Rows of a block of the exact way.
+BLOCK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class Forest:
     routes: int = 3
     trees: int = 4
+    candidates: int = 2048
     leaf: int = 1024
     axes: int = 32
-    range_rows: int = 60_000
+    range_rows: int = 50_000
     seed: int = 7
 
 
@@ -150,56 +161,157 @@ def build(vectors: DataFrame, forest: Forest, key: str = "vec_id", embedding: st
 
 
 def leaves(keys: np.ndarray, leaf: int, top: int = BITS - 1) -> Iterator[tuple[int, int]]:
-    """Ranges of sorted ``keys``: the longest prefixes that at most ``leaf`` vectors share.
-
-    Where more share even the whole string, it is cut into half overlapping windows,
-    so that neighbours in id order stay together.
-    """
+    """Ranges of sorted ``keys``: the longest prefixes that at most ``leaf`` vectors share, or more where they share the whole string."""
     stack = [(0, len(keys), top)]
     while stack:
         a, b, bit = stack.pop()
-        if b - a <= leaf:
+        if b - a <= leaf or bit < 0:
             if b - a > 1:
                 yield a, b
-        elif bit < 0:
-            for s in range(a, b - leaf // 2, leaf // 2):
-                yield s, min(s + leaf, b)
         else:
             m = a + int(np.searchsorted((keys[a:b] >> bit) & 1, 1))
             stack += [(m, b, bit - 1), (a, m, bit - 1)]
 
 
-def _local(x: np.ndarray, axes: np.ndarray, tree: int, seed: int, ids: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
+def _tree(x: np.ndarray, axes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """One tree over a range: its sorted strings and the places in that order (ties by place, so by id)."""
+    p = x @ _directions(axes, BITS, seed)
+    cut = np.median(p[:: max(1, len(p) // 4096)], axis=0)
+    keys = np.zeros(len(x), np.int64)
+    for i in range(BITS):
+        keys = (keys << 1) | (p[:, i] > cut[i])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
+def _local(x: np.ndarray, axes: np.ndarray, tree: int, seed: int, leaf: int) -> Iterator[np.ndarray]:
     """Members of each leaf of one tree over a range."""
     if len(x) <= leaf:
         if tree == 0 and len(x) > 1:
             yield np.arange(len(x))
         return
-    d = _directions(axes, BITS, seed * 1000 + tree)
-    p = x @ d
-    keys = np.zeros(len(x), np.int64)
-    cut = np.median(p[:: max(1, len(p) // 4096)], axis=0)
-    for i in range(BITS):
-        keys = (keys << 1) | (p[:, i] > cut[i])
-    order = np.lexsort((ids, keys))
-    for a, b in leaves(keys[order], leaf):
+    keys, order = _tree(x, axes, seed * 1000 + tree)
+    for a, b in leaves(keys, leaf):
         yield order[a:b]
 
 
-def ranges(rows: int, range_rows: int, leaf: int) -> int:
-    """Number of ranges: ``range_rows`` rows each; up to ``TASKS`` where that leaves an eighth of it and ``LEAVES`` leaves in each.
+def ascend(trees: list[np.ndarray], asked: list[np.ndarray], wanted: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(depth, from, to): for each query the deepest prefix length at which all trees together hold ``wanted`` vectors
+    (0, so everything, where none does), and the places of that prefix in each sorted array.
 
-    It follows from the rows alone: how far the forest looks must not depend on the session.
+    ``trees`` are sorted strings, ``asked`` the queries' strings in each.
     """
-    least = LEAVES * leaf
-    return max(1, -(-rows // max(range_rows, least)), min(TASKS, rows // max(range_rows // 8, least)))
 
-
-def _ranges(index: Index, run, schema: str, range_rows: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``run`` on tasks that each hold one range of one or more routing trees; ties of the string are cut by id."""
+    def spans(depth: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        lo, hi = [], []
+        shift = BITS - depth
+        for keys, q in zip(trees, asked, strict=True):
+            first = (q >> shift) << shift
+            lo.append(np.searchsorted(keys, first, "left"))
+            hi.append(np.searchsorted(keys, first + (np.int64(1) << shift), "left"))
+        return lo, hi
+
+    low, high = np.zeros(len(asked[0]), np.int64), np.full(len(asked[0]), BITS, np.int64)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        lo, hi = spans(middle)
+        enough = sum(h - l for l, h in zip(lo, hi, strict=True)) >= wanted
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
+    return low, *spans(low)
+
+
+def _best(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest values of each row at ``floor`` or more; equal ones by column."""
+    near = s >= floor
+    crowded = np.nonzero(near.sum(axis=1) > k)[0]
+    if len(crowded):
+        c = s[crowded]
+        if k < c.shape[1] - 1:  # all that reach the k-th value, so ties stay in
+            c = np.where(c >= np.partition(c, -k, axis=1)[:, -k :-k + 1 if k > 1 else None], c, -3)
+        near[crowded] = c >= floor
+        over = crowded[near[crowded].sum(axis=1) > k]
+        if len(over):
+            first = np.argsort(np.where(near[over], -s[over], 9), axis=1, kind="stable")[:, :k]
+            near[over] = False
+            near[over[:, None], first] = True
+    return np.nonzero(near)
+
+
+def nearest(x: np.ndarray, queries: np.ndarray, axes: np.ndarray, k: int, floor: float, forest: Forest, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, cos) as places of ``x``, which is in id order: the k best of what each query meets in a range."""
+    none = np.zeros(0, np.int64)
+    if len(x) < 2 or not len(queries):
+        return none, none, np.zeros(0, np.float32)
+    small = len(x) * forest.trees <= forest.candidates
+    trees = [_tree(x, axes, seed * 1000 + t) for t in range(1 if small else forest.trees)]
+    back = []
+    for _, order in trees:
+        at = np.empty(len(x), np.int64)
+        at[order] = np.arange(len(x))
+        back.append(at)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    todo, wanted = queries, forest.candidates
+    while len(todo):
+        depth, lo, hi = ascend([t for t, _ in trees], [t[b[todo]] for (t, _), b in zip(trees, back, strict=True)], wanted)
+        near, met = np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+        for t, (_, order) in enumerate(trees):
+            # At the root all trees hold the same.
+            mine = np.nonzero(depth > 0)[0] if t else np.arange(len(todo))
+            if not len(mine):
+                continue
+            span = lo[t][mine] * (len(x) + 1) + hi[t][mine]
+            by = np.argsort(span, kind="stable")
+            cuts = np.nonzero(np.diff(span[by]))[0] + 1
+            for group in np.split(mine[by], cuts):
+                m = np.sort(order[lo[t][group[0]] : hi[t][group[0]]])
+                step = max(1, (1 << 24) // len(m))
+                for g in range(0, len(group), step):
+                    part = group[g : g + step]
+                    s = x[todo[part]] @ x[m].T
+                    own = np.searchsorted(m, todo[part])
+                    s[np.arange(len(part)), own] = -2
+                    near[part] += (s >= floor).sum(axis=1)
+                    met[part] += len(m)
+                    if floor > -1:
+                        hit = np.nonzero(s.max(axis=1) >= floor)[0]
+                        if not len(hit):
+                            continue
+                        part, s = part[hit], s[hit]
+                    a, b = _best(s, min(k, len(m) - 1), max(floor, -1.5))
+                    out.append((todo[part[a]], m[b], s[a, b]))
+        on = (depth > 0) & (near > CROWD * met) & (floor > -1)
+        todo, wanted = todo[on], wanted * ASCENT
+    if not out:
+        return none, none, np.zeros(0, np.float32)
+    q, n, c = (np.concatenate(z) for z in zip(*out, strict=True))
+    _, first = np.unique(q * len(x) + n, return_index=True)
+    q, n, c = q[first], n[first], c[first]
+    by = np.lexsort((n, -c, q))
+    q, n, c = q[by], n[by], c[by]
+    start = np.concatenate([[0], np.nonzero(np.diff(q))[0] + 1])
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate([start, [len(q)]])))
+    return q[rank < k], n[rank < k], c[rank < k]
+
+
+def ranges(rows: int, forest: Forest) -> int:
+    """Number of ranges. It follows from the rows alone: how far the forest looks must not depend on the session."""
+    return 1 if rows <= forest.range_rows else -(-rows * forest.routes // forest.range_rows)
+
+
+def _ranges(index: Index, run, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``run(route, ids, x, axes, answers, more)`` on tasks that each hold one range of one or more routing trees.
+
+    Ties of the string are cut by id. Rows come in id order; ``answers`` says which of
+    them a task answers for, ``more`` holds the ``extra`` columns.
+    """
     f = index.forest
-    n = ranges(index.rows * f.routes, range_rows or f.range_rows, f.leaf)
-    ranged = index.reps.select(F.explode("keys").alias("key"), "id", "code", *extra).repartitionByRange(n, "key", "id")
+    n = ranges(index.rows, f)
+    copies = max(1, min(COPIES, index.rows // COPY_ROWS)) if n == 1 else 1
+    if n == 1:
+        each = index.reps.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("key"), "id", "code", *extra)
+        ranged = each.repartitionByRange(copies, "key")
+    else:
+        ranged = index.reps.select(F.explode("keys").alias("key"), "id", "code", *extra).repartitionByRange(n, "key", "id")
     dim, axes = index.dim, index.axes.astype(np.float32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,41 +320,75 @@ def _ranges(index: Index, run, schema: str, range_rows: int | None = None, extra
             return
         table = pa.Table.from_batches(held)
         del held
-        route = table.column("key").to_numpy() >> BITS
-        ids = table.column("id").to_numpy()
+        key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
+        route = key if n == 1 else key >> BITS
+        more = {c: table.column(c).to_numpy(zero_copy_only=False) for c in extra}
         x = dequantize(table.column("code"), dim)
+        del table
         for r in np.unique(route):
             m = np.nonzero(route == r)[0]
-            yield from run(int(r), ids[m], x[m], axes)
+            m = m[np.argsort(ids[m], kind="stable")]
+            answers = _order(ids[m]) % np.uint64(copies) == np.uint64(r) if n == 1 else np.ones(len(m), bool)
+            yield from run(0 if n == 1 else int(r), ids[m], x[m], axes, answers, {c: v[m] for c, v in more.items()})
 
     return ranged.mapInArrow(task, schema)
 
 
 def neighbour_pairs(index: Index, k: int, floor: float) -> DataFrame:
-    """(a, b, cos), a to b: in a leaf, ``b`` is among the k nearest of ``a``, or one of the k smallest ids at equal cosine, at ``floor`` or more."""
+    """(a, b, cos), a to b: of what ``a`` meets, ``b`` is among the k nearest, or one of the k smallest ids at equal cosine, at ``floor`` or more.
+
+    ``index.reps`` may have a column ``query``: then only those rows ask.
+    """
     f = index.forest
+    one = ranges(index.rows, f) == 1
+    extra = ("query",) if "query" in index.reps.columns else ()
+
+    def run(route: int, ids: np.ndarray, x: np.ndarray, axes: np.ndarray, answers: np.ndarray, more: dict) -> Iterator[pa.RecordBatch]:
+        asks = answers & more["query"].astype(bool) if extra else answers
+        wide = replace(f, candidates=f.candidates * f.routes, trees=f.trees * f.routes) if one else f
+        a, b, cos = nearest(x, np.nonzero(asks)[0], axes, k, floor, wide, f.seed + route)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(cos.astype(np.float64))], names=["a", "b", "cos"])
 
-    def run(route: int, ids: np.ndarray, x: np.ndarray, axes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for tree in range(f.trees):
-            for m in _local(x, axes, tree, f.seed + route, ids, f.leaf):
-                m = m[np.argsort(ids[m])]  # equal cosines: smaller ids first
-                s = x[m] @ x[m].T
-                np.fill_diagonal(s, -2)
-                hit = np.nonzero(s.max(axis=1) >= floor)[0]
-                if not len(hit):
-                    continue
-                s = s[hit]
-                near = s >= floor
-                crowded = np.nonzero(near.sum(axis=1) > k)[0]
-                if len(crowded):
-                    best = np.argsort(-s[crowded], axis=1, kind="stable")[:, :k]
-                    near[crowded] = False
-                    near[crowded[:, None], best] = True
-                a, b = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[m[hit[a]]]), pa.array(ids[m[b]]), pa.array(s[a, b].astype(np.float64))], names=["a", "b", "cos"])
-
-    # One copy of a pair from several leaves differs in the last digits at most.
-    return _ranges(index, run, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    # One copy of a pair from several ranges differs in the last digits at most.
+    found = _ranges(index, run, "a long, b long, cos double", extra)
+    return found if one else found.groupBy("a", "b").agg(F.max("cos").alias("cos"))
+
+
+def exact_pairs(index: Index, k: int, floor: float) -> DataFrame:
+    """As ``neighbour_pairs``, without loss: every block of queries against every block of rows.
+
+    Work grows with queries times rows; a task holds two blocks of ``BLOCK_ROWS`` and
+    gives k rows for each query.
+    """
+    rows = index.reps if "query" in index.reps.columns else index.reps.withColumn("query", F.lit(True))
+    asking = index.rows if "query" not in index.reps.columns else rows.where("query").count()
+    nq, nr, dim = max(1, -(-asking // BLOCK_ROWS)), max(1, -(-index.rows // BLOCK_ROWS)), index.dim
+    h = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    asks = rows.where("query").select(h(nq, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("j"), "id", "code", F.lit(True).alias("asks"))
+    base = rows.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), h(nr, 2).alias("j"), "id", "code", F.lit(False).alias("asks"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        cell, ids, asks_ = t.column("i").to_numpy() * np.int64(nr) + t.column("j").to_numpy(), t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        x = dequantize(t.column("code"), dim)
+        for c in np.unique(cell):
+            q, m = np.nonzero((cell == c) & asks_)[0], np.nonzero((cell == c) & ~asks_)[0]
+            m = m[np.argsort(ids[m], kind="stable")]
+            if not len(m):
+                continue
+            for s0 in range(0, len(q), 512):
+                part = q[s0 : s0 + 512]
+                s = x[part] @ x[m].T
+                at = np.minimum(np.searchsorted(ids[m], ids[part]), len(m) - 1)
+                own = np.nonzero(ids[m][at] == ids[part])[0]
+                s[own, at[own]] = -2
+                a, b = _best(s, min(k, len(m)), max(floor, -1.5))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part[a]]), pa.array(ids[m[b]]), pa.array(s[a, b].astype(np.float64))], names=["a", "b", "cos"])
+
+    return asks.unionByName(base).repartition(nq * nr, "i", "j").mapInArrow(task, "a long, b long, cos double")
 
 
 def _with_copies(near: DataFrame, copies: DataFrame, members: DataFrame, k: int, is_query=None) -> DataFrame:
@@ -265,31 +411,34 @@ def _with_copies(near: DataFrame, copies: DataFrame, members: DataFrame, k: int,
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", F.col("b").alias("neighbour"), "cos")
 
 
-def top_k(vectors: DataFrame, k: int = 5, floor: float = 0.88, forest: Forest = Forest(), key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _ranked(index: Index, near: DataFrame, k: int, members: DataFrame, is_query=None) -> DataFrame:
+    by = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    near = near.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k)
+    if index.copies.isEmpty():
+        return near.select(F.col("a").alias("id"), F.col("at").alias("rank"), F.col("b").alias("neighbour"), "cos")
+    return _with_copies(near.drop("at"), index.copies, members, k, is_query)
+
+
+def top_k(vectors: DataFrame, k: int = 5, floor: float = 0.88, forest: Forest = Forest(), key: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
     """(id, rank, neighbour, cos): for every vector its k most similar at ``floor`` or more.
 
     Equal cosines rank by smaller id; a vector is never its own neighbour; copies rank
     with cosine 1. Vectors that take no part (see ``build``) give no row; an empty
-    table gives none.
+    table gives none. ``exact`` compares everything, block by block.
     """
-    spark = vectors.sparkSession
     index = build(vectors, forest, key, embedding)
     if index is None:
-        return spark.createDataFrame([], "id long, rank int, neighbour long, cos double")
-    near = neighbour_pairs(index, k, floor).where(F.col("cos") >= floor)
-    by = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    near = near.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k).drop("at")
-    if index.copies.isEmpty():
-        return near.select(F.col("a").alias("id"), F.row_number().over(by).alias("rank"), F.col("b").alias("neighbour"), "cos")
-    return _with_copies(near, index.copies, index.copies, k)
+        return vectors.sparkSession.createDataFrame([], "id long, rank int, neighbour long, cos double")
+    near = (exact_pairs if exact else neighbour_pairs)(index, k, floor).where(F.col("cos") >= floor)
+    return _ranked(index, near, k, index.copies)
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, forest: Forest = Forest(routes=6, range_rows=400_000), key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, forest: Forest = Forest(routes=4, candidates=32_768), key: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
     """(id, rank, neighbour, cos): the k most similar of all vectors for each query, however dissimilar.
 
-    ``is_query`` is a Column over ``id``. Queries ascend to their whole range in every
-    routing tree, so dissimilar vectors have nearest ones too. Copies rank with cosine 1,
-    as in ``top_k``; each copy that is a query gets its own rows.
+    ``is_query`` is a Column over ``id``. Dissimilar vectors share short prefixes at
+    most, so queries ascend to far more candidates than in ``top_k``. Copies rank with
+    cosine 1, as there; each copy that is a query gets its own rows.
     """
     index = build(vectors, forest, key, embedding)
     if index is None:
@@ -298,39 +447,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, forest: Forest = Forest(rou
     members = stage(index.copies.where(is_query), "members")
     asked = broadcast_if_small(members.select(F.col("rep").alias("id")).distinct()).withColumn("asked", F.lit(True))
     index.reps = index.reps.join(asked, "id", "left").withColumn("query", F.coalesce(is_query, F.lit(False)) | F.col("asked").isNotNull()).drop("asked")
-    n = ranges(index.rows * forest.routes, forest.range_rows, forest.leaf)
-    ranged = index.reps.select(F.explode("keys").alias("key"), "id", "code", "query").repartitionByRange(n, "key", "id")
-    dim = index.dim
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        route, ids = table.column("key").to_numpy() >> BITS, table.column("id").to_numpy()
-        asks = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        x = dequantize(table.column("code"), dim)
-        for r in np.unique(route):
-            m = np.nonzero(route == r)[0]
-            m = m[np.argsort(ids[m])]
-            q = m[asks[m]]
-            for s in range(0, len(q), 256):
-                part = q[s : s + 256]
-                sim = x[part] @ x[m].T
-                sim[np.searchsorted(ids[m], ids[part])[:, None] == np.arange(len(m))] = -2
-                kk = min(k, len(m) - 1)
-                if kk < 1:
-                    continue
-                best = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[part], kk)), pa.array(ids[m][best].ravel()), pa.array(np.take_along_axis(sim, best, axis=1).ravel().astype(np.float64))],
-                    names=["a", "b", "cos"],
-                )
-
-    found = ranged.mapInArrow(task, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    by = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    near = found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k).drop("at")
-    return _with_copies(near, index.copies, members, k, is_query)
+    return _ranked(index, (exact_pairs if exact else neighbour_pairs)(index, k, -2.0), k, members, is_query)
 
 
 def _order(ids: np.ndarray) -> np.ndarray:
@@ -380,36 +497,69 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = nxt
 
 
+def _crowd(x: np.ndarray, order: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """As a leaf, for any number of rows that share a whole string: (pivot of each row, pairs of pivots joined by a link), in blocks."""
+    n = len(x)
+    by = np.argsort(order, kind="stable")
+    free, found = np.ones(n, bool), []
+    for i in by:
+        if free[i]:
+            found.append(i)
+            free &= x @ x[i] < floor
+            free[i] = False
+    p = np.array(found)
+    of = np.empty(n, np.int64)
+    for s in range(0, n, 1024):
+        c = x[s : s + 1024] @ x[p].T
+        of[s : s + 1024] = p[c.argmax(axis=1)]
+    of[p] = p
+    bridges = [np.zeros(0, np.int64)]
+    if len(p) > 1:
+        for s in range(0, n, 256):
+            u, v = np.nonzero(x[s : s + 256] @ x.T >= floor)
+            a, b = of[u + s], of[v]
+            bridges.append(np.unique(a[a < b] * n + b[a < b]))
+    return of, np.unique(np.concatenate(bridges))
+
+
 def links(index: Index, floor: float) -> DataFrame:
-    """(id, hub, pivot, cos): for a record with links in a range, the smallest id it is joined to, and its closest pivot.
+    """(id, hub, pivot, cos): for a record with links in a range, the smallest id it is joined to, and its closest pivot there.
 
     A leaf's similar records go to pivots; pivots whose clusters share a link are
     bridged. In one range, pivots and bridges of all its trees are put together, so
     one row for each record leaves the task: what it is linked to, smallest id first.
     """
     f = index.forest
+    trees = f.trees * f.routes if ranges(index.rows, f) == 1 else f.trees
 
-    def run(route: int, ids: np.ndarray, x: np.ndarray, axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def run(route: int, ids: np.ndarray, x: np.ndarray, axes: np.ndarray, answers: np.ndarray, more: dict) -> Iterator[pa.RecordBatch]:
+        if not answers.any():
+            return
         ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         best, pivot_of = np.full(len(ids), -2.0), np.arange(len(ids))
-        for tree in range(f.trees):
-            for m in _local(x, axes, tree, f.seed + route, ids, f.leaf):
-                s = x[m] @ x[m].T
-                np.fill_diagonal(s, -2)
-                act = np.nonzero(s.max(axis=1) >= floor)[0]
-                if not len(act):
-                    continue
-                s = s[np.ix_(act, act)]
-                similar = s >= floor
-                p = pivots(similar, s, _order(ids[m[act]]))
-                ea.append(m[act]), eb.append(m[act[p]])
-                u, v = np.nonzero(similar & (p[:, None] < p[None, :]))
-                if len(u):
-                    bridge = np.unique(p[u].astype(np.int64) * len(act) + p[v])
-                    ea.append(m[act[bridge // len(act)]]), eb.append(m[act[bridge % len(act)]])
-                member = np.nonzero(p != np.arange(len(act)))[0]
-                closer = member[s[member, p[member]] > best[m[act[member]]]]
-                best[m[act[closer]]] = s[closer, p[closer]]
+        for tree in range(trees):
+            for m in _local(x, axes, tree, f.seed + route, f.leaf):
+                if len(m) > f.leaf:
+                    act, n = np.arange(len(m)), len(m)
+                    p, bridge = _crowd(x[m], _order(ids[m]), floor)
+                    cos = np.einsum("ij,ij->i", x[m], x[m[p]])
+                else:
+                    s = x[m] @ x[m].T
+                    np.fill_diagonal(s, -2)
+                    act = np.nonzero(s.max(axis=1) >= floor)[0]
+                    if not len(act):
+                        continue
+                    s = s[np.ix_(act, act)]
+                    similar, n = s >= floor, len(act)
+                    p = pivots(similar, s, _order(ids[m[act]]))
+                    u, v = np.nonzero(similar & (p[:, None] < p[None, :]))
+                    bridge = np.unique(p[u].astype(np.int64) * n + p[v])
+                    cos = s[np.arange(n), p]
+                ea += [m[act], m[act[bridge // n]]]
+                eb += [m[act[p]], m[act[bridge % n]]]
+                member = np.nonzero(p != np.arange(n))[0]
+                closer = member[cos[member] > best[m[act[member]]]]
+                best[m[act[closer]]] = cos[closer]
                 pivot_of[m[act[closer]]] = m[act[p[closer]]]
         a, b = np.concatenate(ea), np.concatenate(eb)
         keep = a != b
@@ -426,26 +576,110 @@ def links(index: Index, floor: float) -> DataFrame:
     return _ranges(index, run, "id long, hub long, pivot long, cos double")
 
 
-def clusters(vectors: DataFrame, floor: float = 0.88, least: int = 5, forest: Forest = Forest(), key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(cluster_id, vec_id): largest sets of records joined through links at ``floor``, of ``least`` or more.
+def pivot_rounds(similar: DataFrame) -> DataFrame:
+    """(id, pivot, cos): parallel pivot clustering of the graph ``similar`` (a, b, cos), each edge once.
 
-    ``cluster_id`` is the smallest id of the cluster. Exact copies are linked to each
-    other. Vectors that take no part are in no cluster.
+    In rounds, every free record that comes before all its free neighbours in a hash
+    order becomes a pivot and absorbs them. Then each record goes to the closest pivot
+    among its neighbours, equal ones by smaller id. A pivot is its own, with cosine 1.
+    """
+    both = similar.select(F.col("a").alias("u"), F.col("b").alias("v"), "cos").unionByName(similar.select(F.col("b").alias("u"), F.col("a").alias("v"), "cos"))
+    both = stage(both.where("u <> v").groupBy("u", "v").agg(F.max("cos").alias("cos")), "similar")
+    order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    edges, found = both.select("u", "v"), []
+    while True:
+        low = edges.groupBy("u").agg(F.min(order("v")).alias("low"))
+        new = stage(low.where(order("u") < F.col("low")).select("u"), "pivots")
+        if new.isEmpty():
+            unstage(new)
+            break
+        found.append(new)
+        absorbed = edges.join(new.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        gone = stage(new.unionByName(absorbed).distinct(), "gone")
+        left = stage(edges.join(gone, "u", "left_anti").join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"), "left")
+        # Free records that no free neighbour is left of come first of all they still have.
+        alone = edges.select("u").distinct().join(gone, "u", "left_anti").join(left.select("u").distinct(), "u", "left_anti")
+        found.append(stage(alone, "pivots"))
+        unstage(edges), unstage(gone)
+        edges = left
+    chosen = both.select("u").where("false")
+    for new in found:
+        chosen = chosen.unionByName(new)
+    chosen = stage(chosen, "chosen")
+    for new in found:
+        unstage(new)
+    near = both.join(chosen.select(F.col("u").alias("v")), "v", "left_semi").join(chosen, "u", "left_anti")
+    member = near.groupBy("u").agg(F.min(F.struct((-F.col("cos")).alias("far"), "v")).alias("m")).select(F.col("u").alias("id"), F.col("m.v").alias("pivot"), (-F.col("m.far")).alias("cos"))
+    own = chosen.select(F.col("u").alias("id"), F.col("u").alias("pivot"), F.lit(1.0).alias("cos"))
+    return stage(member.unionByName(own), "assigned")
+
+
+@dataclass
+class Clustering:
+    members: DataFrame  # id, pivot, cos: records with a link
+    links: DataFrame  # id, hub
+    copies: DataFrame
+
+
+def cluster(vectors: DataFrame, floor: float = 0.88, forest: Forest = Forest(), key: str = "vec_id", embedding: str = "embedding") -> Clustering | None:
+    """Parallel pivot clustering at ``floor``; None where no vector takes part.
+
+    Records meet their neighbours in the leaves of the forest, where pivots absorb
+    what is similar. The pivots that leaves propose compete in rounds across the
+    cluster (``pivot_rounds``), and members go to the closest that is left.
     """
     index = build(vectors, forest, key, embedding)
     if index is None:
+        return None
+    found = stage(links(index, floor), "links")
+    star = found.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), "cos")
+    return Clustering(pivot_rounds(star), found.select("id", "hub"), index.copies)
+
+
+def pivot_clusters(vectors: DataFrame, floor: float = 0.88, least: int = 2, forest: Forest = Forest(), key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(cluster_id, vec_id): every record with its closest pivot, for clusters of ``least`` or more; ``cluster_id`` is the pivot.
+
+    Copies go where their representative goes. Every member is within ``floor`` of its pivot.
+    """
+    made = cluster(vectors, floor, forest, key, embedding)
+    if made is None:
+        return vectors.sparkSession.createDataFrame([], "cluster_id long, vec_id long")
+    copies = made.copies.select(F.col("id").alias("vec_id"), F.col("rep").alias("id"))
+    with_copies = made.members.select("id", "pivot").join(copies.where("vec_id <> id"), "id").select("vec_id", "pivot")
+    alone = copies.join(made.members.select("id"), "id", "left_anti").select("vec_id", F.col("id").alias("pivot"))
+    every = stage(made.members.select(F.col("id").alias("vec_id"), "pivot").unionByName(with_copies).unionByName(alone), "every")
+    sizes = every.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    return every.join(sizes, "pivot").select(F.col("pivot").alias("cluster_id"), "vec_id")
+
+
+def clusters(vectors: DataFrame, floor: float = 0.88, least: int = 5, forest: Forest = Forest(), key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(cluster_id, vec_id): largest sets of records joined through links at ``floor``, of ``least`` or more.
+
+    They are the pivot clusters put together where a link joins two. ``cluster_id`` is
+    the smallest id. Exact copies are linked to each other. Vectors that take no part
+    are in no cluster.
+    """
+    made = cluster(vectors, floor, forest, key, embedding)
+    if made is None:
         return vectors.sparkSession.createDataFrame([], "cluster_id long, vec_id long")
-    found = links(index, floor).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    edges = found.unionByName(index.copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))).distinct()
-    parts = connected_components(edges, "a", "b")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    return parts.join(broadcast_if_small(stage(sizes, "sizes")), "component").select(F.col("component").alias("cluster_id"), F.col("node").alias("vec_id"))
+    pivot = made.members.select("id", "pivot")
+    joined = made.links.join(pivot, "id").select(F.col("pivot").alias("a"), F.col("hub").alias("id")).distinct().join(pivot, "id").select("a", F.col("pivot").alias("b")).where("a <> b").distinct()
+    parts = connected_components(joined, "a", "b").select(F.col("node").alias("pivot"), "component")
+    placed = pivot.join(parts, "pivot", "left").select("id", F.coalesce("component", "pivot").alias("c"))
+    copies = made.copies.select(F.col("id").alias("vec_id"), F.col("rep").alias("id"))
+    with_copies = copies.where("vec_id <> id").join(placed, "id", "left").select(F.col("vec_id").alias("id"), F.coalesce("c", "id").alias("c"))
+    alone = copies.where("vec_id = id").join(placed.select("id"), "id", "left_anti").select("id", F.col("id").alias("c"))
+    every = stage(placed.unionByName(with_copies).unionByName(alone), "placed")
+    named = every.groupBy("c").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    return every.join(named, "c").select("cluster_id", F.col("id").alias("vec_id"))
 
 
 def describe(vectors: DataFrame, members: DataFrame, name: str, k: int = 3, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(cluster_id, n_members, medoid, typical): size, most central member, and the names of the k most central ones.
 
-    ``members`` is the result of ``clusters``. Centroids are sums that are combined
+    ``members`` is the result of ``pivot_clusters`` or ``clusters``. The medoid is the
+    member with the largest sum of cosines to all: that is the one nearest to the sum of
+    the unit vectors. Centroids are sums that are combined
     before the shuffle, so no cluster is gathered. Equal centrality goes by id.
     """
     inside = stage(members.withColumnRenamed("vec_id", "_id").join(vectors.select(F.col(key).alias("_id"), F.col(name).alias("_name"), F.col(embedding).alias("_vec")), "_id"), "inside")

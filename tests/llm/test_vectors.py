@@ -41,7 +41,7 @@ def test_top_k_against_brute_force(spark):
     for a in range(len(ids)):
         order = sorted(range(len(ids)), key=lambda b: (-s[a, b], ids[b]))[:5]
         want |= {(ids[a], ids[b]) for b in order if s[a, b] >= 0.88}
-    got = {(r.id, r.neighbour) for r in vc.top_k(frame(spark, rows), 5, 0.88, vc.Forest(leaf=256, range_rows=2000)).collect()}
+    got = {(r.id, r.neighbour) for r in vc.top_k(frame(spark, rows), 5, 0.88, vc.Forest(candidates=512, leaf=256, range_rows=800)).collect()}
     assert len(want & got) / len(want) > 0.97
     assert len(want & got) / len(got) > 0.97
 
@@ -53,7 +53,7 @@ def test_clusters_against_brute_force(spark):
     lab = vc._labels(len(ids), *np.nonzero(near))
     sizes = np.bincount(lab, minlength=len(ids))
     want = {(ids[lab[i]], ids[i]) for i in range(len(ids)) if sizes[lab[i]] >= 5}
-    got = {(r.cluster_id, r.vec_id) for r in vc.clusters(frame(spark, rows), 0.88, 5, vc.Forest(leaf=256, range_rows=2000)).collect()}
+    got = {(r.cluster_id, r.vec_id) for r in vc.clusters(frame(spark, rows), 0.88, 5, vc.Forest(candidates=512, leaf=256, range_rows=800)).collect()}
     assert len(want & got) / len(want) > 0.97 and len(got - want) <= 0.02 * len(want)
 
 
@@ -64,7 +64,7 @@ def test_search_finds_far_neighbours(spark):
     rows = [(i, rng.normal(size=16).tolist()) for i in range(2000)]
     ids, x = matrix(rows, 16)
     got = {}
-    for r in vc.search(frame(spark, rows), F.col("id") % 100 == 0, 5, vc.Forest(routes=6, range_rows=3000)).collect():
+    for r in vc.search(frame(spark, rows), F.col("id") % 100 == 0, 5, vc.Forest(routes=4, candidates=3000, range_rows=1000)).collect():
         got.setdefault(r.id, set()).add(r.neighbour)
     hit = 0
     for q in range(0, 2000, 100):
@@ -100,11 +100,11 @@ def test_partition_setting_changes_nothing(spark):
     try:
         for n in ("4", "200"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got[n] = {(r.id, r.neighbour) for r in vc.top_k(df, 5, 0.88, vc.Forest(leaf=64, range_rows=2000)).collect()}
+            got[n] = {(r.id, r.neighbour) for r in vc.top_k(df, 5, 0.88, vc.Forest(candidates=256, leaf=64, range_rows=800)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(got["4"] & got["200"]) / len(got["4"] | got["200"]) > 0.97
-    assert [vc.ranges(n * 3, 60_000, 1024) for n in (0, 900, 20_000, 200_000, 2_000_000)] == [1, 1, 7, 24, 100]
+    assert [vc.ranges(n, vc.Forest()) for n in (0, 900, 20_000, 200_000, 2_000_000)] == [1, 1, 1, 12, 120]
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, [0.0, 0.0])], [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [2.0, 0.0])]])
@@ -128,11 +128,90 @@ def test_leaves_cover_all():
     keys.sort()
     seen = np.zeros(5000, bool)
     for a, b in vc.leaves(keys, 64):
-        assert b - a <= 64
+        assert b - a <= 64 or (keys[a:b] == keys[a]).all()
         seen[a:b] = True
     assert seen[:3000].all()
 
 
+def test_trees_ascend_together():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << vc.BITS, 1000))
+    other = np.sort(np.random.default_rng(2).integers(0, 1 << vc.BITS, 1000))
+    depth, lo, hi = vc.ascend([keys, other], [keys[:50], other[50:100]], 40)
+    for i in range(50):
+        n = [sum(int(((k >> (vc.BITS - d)) == (q >> (vc.BITS - d))).sum()) for k, q in ((keys, keys[i]), (other, other[50 + i]))) for d in (depth[i], depth[i] + 1)]
+        assert n[0] >= 40 > n[1] and n[0] == hi[0][i] - lo[0][i] + hi[1][i] - lo[1][i]
+    assert (vc.ascend([keys], [keys[:3]], 5000)[0] == 0).all()
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_best_of_each_row(k):
+    s = np.round(np.random.default_rng(3).random((40, 30)), 1).astype(np.float32)
+    a, b = vc._best(s, k, 0.5)
+    for i in range(40):
+        assert sorted(b[a == i]) == sorted([j for j in np.argsort(-s[i], kind="stable") if s[i, j] >= np.float32(0.5)][:k])
+
+
+def crowd(n=4000, dim=32):
+    """Vectors that are all near each other."""
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=dim)
+    return [(i, (c / np.linalg.norm(c) + rng.normal(size=dim) * np.sqrt((1 / 0.91 - 1) / dim)).tolist()) for i in range(n)]
+
+
+def test_crowded_queries_ascend(spark):
+    rows = crowd()
+    ids, x = matrix(rows)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(ids[a], ids[b]) for a in range(len(ids)) for b in np.argsort(-s[a])[:5]}
+    got = {(r.id, r.neighbour) for r in vc.top_k(frame(spark, rows), 5, 0.88, vc.Forest(candidates=256, range_rows=3000)).collect()}
+    assert len(want & got) / len(want) > 0.9
+    exact = {(r.id, r.neighbour) for r in vc.top_k(frame(spark, rows), 5, 0.88, exact=True).collect()}
+    assert len(want & exact) / len(want) > 0.999
+    assert vc.clusters(frame(spark, rows), 0.88, 5, vc.Forest(leaf=64, range_rows=3000)).select("cluster_id").distinct().count() == 1
+
+
+def test_exact_in_many_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(vc, "BLOCK_ROWS", 100)
+    df = frame(spark, world(800, seed=5))
+    near = {(r.id, r.neighbour) for r in vc.top_k(df, 5, 0.88).collect()}
+    assert {(r.id, r.neighbour) for r in vc.top_k(df, 5, 0.88, exact=True).collect()} == near
+    a, b = (sorted((r.id, r.rank, round(r.cos, 3)) for r in vc.search(df, F.col("id") % 10 == 0, 3, exact=e).collect()) for e in (True, False))
+    assert a == b
+
+
+def test_rows_with_one_hash_string():
+    x = np.tile(np.array([[1.0, 0, 0]]), (3000, 1)) + np.random.default_rng(1).normal(size=(3000, 3)) * 0.01
+    x[::2, 1] += 1
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    of, bridge = vc._crowd(x, np.arange(3000).astype(np.uint64), 0.88)
+    assert set(of) == {0, 1} and not len(bridge)
+    of, bridge = vc._crowd(x, np.arange(3000).astype(np.uint64), 0.5)
+    assert set(of) == {0} and not len(bridge)
+
+
+def test_pivot_rounds_against_one_by_one(spark):
+    """The rounds give what taking the records one by one in hash order gives."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    edges = {tuple(sorted(map(int, rng.choice(120, 2, replace=False)))) for _ in range(200)}
+    df = spark.createDataFrame([(a, b, float(round(0.88 + 0.1 * rng.random(), 3))) for a, b in sorted(edges)], "a long, b long, cos double")
+    cos = {(r.a, r.b): r.cos for r in df.collect()}
+    cos |= {(b, a): c for (a, b), c in cos.items()}
+    nodes = sorted({a for a, _ in cos})
+    order = {r.id: (r.h, r.id) for r in spark.createDataFrame([(n,) for n in nodes], "id long").select("id", F.xxhash64("id").alias("h")).collect()}
+    free, pivots = set(nodes), set()
+    for n in sorted(nodes, key=order.get):
+        if n in free:
+            pivots.add(n)
+            free -= {n} | {b for a, b in cos if a == n}
+    want = {n: n if n in pivots else min((-cos[n, p], p) for p in pivots if (n, p) in cos)[1] for n in nodes}
+    assert {r.id: r.pivot for r in vc.pivot_rounds(df).collect()} == want
+
+
 def test_pivots_absorb_neighbours():
     s = np.array([[1, 0.9, 0.2], [0.9, 1, 0.95], [0.2, 0.95, 1]])
     sim = (s >= 0.88) & ~np.eye(3, dtype=bool)
@@ -146,3 +225,5 @@ def test_describe(spark):
     (r,) = vc.describe(df.withColumnRenamed("id", "name"), vc.clusters(df), "name").collect()
     assert (r.cluster_id, r.n_members, r.medoid, len(r.typical)) == (0, 7, 3, 3)
     assert vc.describe(df.withColumnRenamed("id", "name"), vc.clusters(df.limit(0)), "name").count() == 0
+    (r,) = vc.describe(df.withColumnRenamed("id", "name"), vc.pivot_clusters(df), "name").collect()
+    assert (r.n_members, r.medoid) == (7, 3)
