@@ -523,7 +523,7 @@ def _crowd(x: np.ndarray, order: np.ndarray, floor: float) -> tuple[np.ndarray,
 
 
 def links(index: Index, floor: float) -> DataFrame:
-    """(id, hub, pivot, cos): for a record with links in a range, the smallest id it is joined to, and its closest pivot there.
+    """(id, hub, pivot, cos, h, g): for a record with links in a range, the smallest id it is joined to, its closest pivot there, and the hash order of both.
 
     A leaf's similar records go to pivots; pivots whose clusters share a link are
     bridged. In one range, pivots and bridges of all its trees are put together, so
@@ -571,25 +571,27 @@ def links(index: Index, floor: float) -> DataFrame:
         # smallest id of each group, not smallest place
         low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, lab[linked], ids[linked])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(low[lab[linked]]), pa.array(ids[pivot_of[linked]]), pa.array(best[linked])], names=["id", "hub", "pivot", "cos"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(low[lab[linked]]), pa.array(ids[pivot_of[linked]]), pa.array(best[linked]), *(pa.array((_order(z[linked]) >> np.uint64(1)).astype(np.int64)) for z in (ids, ids[pivot_of]))], names=["id", "hub", "pivot", "cos", "h", "g"])
 
-    return _ranges(index, run, "id long, hub long, pivot long, cos double")
+    return _ranges(index, run, "id long, hub long, pivot long, cos double, h long, g long")
 
 
 def pivot_rounds(similar: DataFrame) -> DataFrame:
-    """(id, pivot, cos): parallel pivot clustering of the graph ``similar`` (a, b, cos), each edge once.
+    """(id, pivot, cos): parallel pivot clustering of the graph ``similar`` (a, b, cos, ha, hb), each edge once.
 
-    In rounds, every free record that comes before all its free neighbours in a hash
-    order becomes a pivot and absorbs them. Then each record goes to the closest pivot
-    among its neighbours, equal ones by smaller id. A pivot is its own, with cosine 1.
+    In rounds, every free record that comes before all its free neighbours in the hash
+    order (``ha`` of a, ``hb`` of b; then ids) becomes a pivot and absorbs them. Then
+    each record goes to the closest pivot among its neighbours, equal ones by smaller
+    id. A pivot is its own, with cosine 1.
     """
-    both = similar.select(F.col("a").alias("u"), F.col("b").alias("v"), "cos").unionByName(similar.select(F.col("b").alias("u"), F.col("a").alias("v"), "cos"))
+    node = lambda h, c: F.struct(F.col(h).alias("h"), F.col(c).alias("id"))
+    one, two = node("ha", "a"), node("hb", "b")
+    both = similar.select(one.alias("u"), two.alias("v"), "cos").unionByName(similar.select(two.alias("u"), one.alias("v"), "cos"))
     both = stage(both.where("u <> v").groupBy("u", "v").agg(F.max("cos").alias("cos")), "similar")
-    order = lambda c: F.struct(F.xxhash64(c), F.col(c))
     edges, found = both.select("u", "v"), []
     while True:
-        low = edges.groupBy("u").agg(F.min(order("v")).alias("low"))
-        new = stage(low.where(order("u") < F.col("low")).select("u"), "pivots")
+        low = edges.groupBy("u").agg(F.min("v").alias("low"))
+        new = stage(low.where("u < low").select("u"), "pivots")
         if new.isEmpty():
             unstage(new)
             break
@@ -609,8 +611,8 @@ def pivot_rounds(similar: DataFrame) -> DataFrame:
     for new in found:
         unstage(new)
     near = both.join(chosen.select(F.col("u").alias("v")), "v", "left_semi").join(chosen, "u", "left_anti")
-    member = near.groupBy("u").agg(F.min(F.struct((-F.col("cos")).alias("far"), "v")).alias("m")).select(F.col("u").alias("id"), F.col("m.v").alias("pivot"), (-F.col("m.far")).alias("cos"))
-    own = chosen.select(F.col("u").alias("id"), F.col("u").alias("pivot"), F.lit(1.0).alias("cos"))
+    member = near.groupBy("u").agg(F.min(F.struct((-F.col("cos")).alias("far"), F.col("v.id").alias("p"))).alias("m")).select(F.col("u.id").alias("id"), F.col("m.p").alias("pivot"), (-F.col("m.far")).alias("cos"))
+    own = chosen.select(F.col("u.id").alias("id"), F.col("u.id").alias("pivot"), F.lit(1.0).alias("cos"))
     return stage(member.unionByName(own), "assigned")
 
 
@@ -632,7 +634,7 @@ def cluster(vectors: DataFrame, floor: float = 0.88, forest: Forest = Forest(),
     if index is None:
         return None
     found = stage(links(index, floor), "links")
-    star = found.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), "cos")
+    star = found.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), "cos", F.col("h").alias("ha"), F.col("g").alias("hb"))
     return Clustering(pivot_rounds(star), found.select("id", "hub"), index.copies)
 
 

@@ -199,6 +199,7 @@ def test_pivot_rounds_against_one_by_one(spark):
     rng = np.random.default_rng(9)
     edges = {tuple(sorted(map(int, rng.choice(120, 2, replace=False)))) for _ in range(200)}
     df = spark.createDataFrame([(a, b, float(round(0.88 + 0.1 * rng.random(), 3))) for a, b in sorted(edges)], "a long, b long, cos double")
+    df = df.withColumn("ha", F.xxhash64("a")).withColumn("hb", F.xxhash64("b"))
     cos = {(r.a, r.b): r.cos for r in df.collect()}
     cos |= {(b, a): c for (a, b), c in cos.items()}
     nodes = sorted({a for a, _ in cos})
