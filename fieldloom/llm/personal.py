@@ -9,15 +9,19 @@ potentials. Loopy message passing over whole texts settles the labels, so that o
 clear mention decides the unclear ones.
 
 No labels are given, so training bootstraps: contexts that name their content ("Mrs",
-"passport", "phone") label a bounded sample (``SAMPLE_DOCS`` texts), with contexts
-dropped from half of the training rows so that spelling alone is learned too; a second
-round adds what the first is sure of. Edge potentials are counted on the same sample.
+"passport", "phone") label a bounded sample (``SAMPLE_DOCS`` whole texts), with
+contexts dropped from half of the training rows so that spelling alone is learned too;
+a second round adds what the first is sure of. The last round trains node and edge
+potentials together, by the pseudo-likelihood of the field.
+
+E-mail and street addresses are proposed by one pattern each, which is wide; the field
+can only refuse them.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +35,6 @@ from fieldloom.runtime import stage
 
 #: Texts that the field is trained on.
 SAMPLE_DOCS = 4_000
-#: Characters of each of them that are read for training; finding reads whole texts.
-SAMPLE_CHARS = 20_000
 LABELS = ("none", "person_name", "email", "phone", "identity_number", "street_address")
 NONE, NAME, MAIL, PHONE, IDENTITY, ADDRESS = range(6)
 HASHES = 1 << 18
@@ -43,6 +45,22 @@ WORD_SHARE = 1.5e-5
 COMMON = 0.3
 #: Log prior for what is spelled like an e-mail or street address.
 SPELLED = 3.0
+#: Largest edge potential.
+BOUND = 2.0
+#: Texts of a batch of message passing.
+TEXTS = 400
+#: Widespread given names of several languages: a feature, and a hint in training. Words that are more than names are left out.
+GIVEN = frozenset(
+    """alexander alice amelie andrea andreas andrew anna anne antoine antonio barbara beatriz bernard brigitte camille carlos carmen caroline catherine
+    charlotte chloe christina christine christoph claire claudia daniel david diego dimitri dorothy elena elisabeth elizabeth emily emma eric eva fatima
+    fernando francisco françois frank friedrich gabriel george georg giulia giuseppe hannah hans heinrich helen helena henri hugo ibrahim igor ingrid
+    isabel ivan jacques james jan javier jean jennifer jessica joachim johann johannes john jorge josé joseph juan julia julie jürgen karen karin karl
+    katharina laura lena léa louis louise lucas lucía luis luisa manuel margaret maria maría marie marta martha martin mary matthias michael michel miguel
+    mohammed monika natalia nathalie nicolas nicole nikolai nina olga oliver oscar pablo patricia patrick paul pedro peter petra philipp philippe pierre
+    pilar rachel raúl rebecca renate richard robert rosa sabine sandra sarah sergei simon sofia sophie stefan stephanie stephen susan susanne svetlana
+    tatiana teresa theresa thomas ursula valentina véronique viktor vladimir walter werner william wolfgang yuki αλέξανδρος γιώργος ελένη κώστας μαρία
+    νίκος анна иван мария ольга сергей""".split()
+)
 
 _UP = "A-ZÀ-ÖØ-ÞŁŚŠŽČĆĐŐŰ"
 _TOWN = rf"[{_UP}][\w'’-]+(?: [{_UP}][\w'’-]+)?"
@@ -52,27 +70,36 @@ EMAIL = rf"[\w.+%-]*\w ?{_AT} ?[a-z0-9-]+(?: ?{_DOT} ?[a-z0-9-]+)* ?{_DOT} ?[a-z
 _EN = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Boulevard|Blvd|Close|Terrace|Drive|Court|Way|Place|Square|Crescent|Row|Hill)"
 _FR = r"(?:rue|avenue|allée|chemin|quai|place|boulevard|impasse|route|cours|square|Rue|Avenue|Allée|Chemin|Quai|Place|Boulevard|Impasse)"
 _PART = r"(?:de la |de l['’]|des |du |de |d['’]|del |de los |de las )?"
+_POST = r"(?:,? (?:[A-Z]{1,2}\d[\dA-Z]?(?: \d[A-Z]{2})?|[A-Z]{2} \d{5}(?:-\d{4})?)\b)?"
 _CITY = rf"(?:,? (?:\d{{4,5}} {_TOWN}|{_TOWN} \d{{4,5}}\b|{_TOWN}))"
 STREET = (
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit) \d+\w?, )?\b\d+[A-Za-z]?,? (?:[{_UP}][\w.'’]+ ){{1,3}}{_EN}\b\.?(?:,[ \n](?:Apt|Flat|Unit)\.? ?\d+\w?)?(?:, {_TOWN}(?: \d{{4,5}}\b)?|,?\n{_TOWN} \d{{4,5}}\b)?"
+    rf"(?:(?:Flat|Apt\.?|Apartment|Unit) \d+\w?, )?\b\d+[A-Za-z]?,? (?:[{_UP}][\w.'’]+ ){{1,3}}{_EN}\b\.?(?:,[ \n](?:Apt|Flat|Unit)\.? ?\d+\w?)?(?:, {_TOWN}(?: \d{{4,5}}\b)?{_POST}|,?\n{_TOWN} \d{{4,5}}\b)?"
     rf"|\b(?:P\. ?O\. ?Box|PO Box|Box|Postfach|Apartado|B\.P\.) \d+(?:, {_TOWN}(?: \d{{4,5}}\b)?|, \d{{4,5}} {_TOWN})?"
     rf"|\b\d+(?: ?bis| ?ter)?,? {_FR} {_PART}[{_UP}][\w'’-]*(?: [{_UP}][\w'’-]*)?(?:, \d{{4,5}} {_TOWN})?"
     rf"|\b(?:Calle|Avda\.?|Avenida|Plaza|Paseo|Ronda|Camino|C/) ?{_PART}[{_UP}][\w'’-]*(?: [{_UP}][\w'’-]*)?,? \d+(?:, (?:\d+º ?\w|bajo|ático))?(?:, \d{{4,5}} {_TOWN})?"
-    rf"|\b(?:(?:Am|An der|An den|Im|Zum|Zur|Auf dem|Auf der|In der|Unter den) (?:[{_UP}]\w+ ?){{1,2}}|[{_UP}]\w*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm)) ?\d+ ?[a-z]?\b(?:, \d{{4,5}} {_TOWN})?"
+    rf"|\b(?:(?:Am|An der|An den|Im|Zum|Zur|Auf dem|Auf der|In der|Unter den) (?:[{_UP}]\w+ ?){{1,2}}|[{_UP}]\w*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm)) ?\d+(?: ?[a-z])?\b(?:, \d{{4,5}} {_TOWN})?"
 )
-NUMBER = r"(?<![\w.@/+-])(?:[A-Z]{1,4}[- ]?(?=\d))?\(?\+?\(?\d+\)?(?:[ ./-]?\(?\d+\)?)*(?:[- ]?[A-Z]\b)?(?: ext\.? ?\d+)?(?![\w@])"
-WORD = rf"[{_UP}][^\W\d_]*(?:[-'’][^\W\d_]+)*"
-_UNITS = re.compile(rf"(?P<m>(?i:{EMAIL}))|(?P<a>{STREET})|(?P<n>{NUMBER})|(?P<w>(?<![\w@.+-]){WORD}(?![\w@]))")
+NUMBER = r"(?<![\w.@/+-])(?:(?!(?:SSN|NHS|DNI|NIF|TIN|NIN|ID|NO|NR|TEL|FAX)[- ])[A-Z]{1,4}[- ]?(?=\d))?\(?\+?\(?\d+\)?(?:[ ./-]?\(?\d+\)?)*(?:[- ]?[A-Z]\b)?(?: ext\.? ?\d+)?(?![\w@])"
+_NUMBER = re.compile(NUMBER)
+_STREET = re.compile(STREET)
+#: What a text must hold for the slower patterns to be tried.
+_DIGIT = re.compile(r"\d")
+_NUMBER_SIGN = re.compile(r"\d(?:[ ./()+-]{0,3}(?: ext\.? ?)?\d){5}")
+#: Words beside which a street address can stand, and endings of German ones.
+_STREET_WORDS = tuple(re.findall(r"[\w.]+", "Street St Road Rd Lane Ln Avenue Ave Boulevard Blvd Close Terrace Drive Court Way Place Square Crescent Row Hill rue avenue allée chemin quai place boulevard impasse route cours square Rue Allée Chemin Quai Impasse Box Postfach Apartado B Calle Avda Avenida Plaza Paseo Ronda Camino C Am An Im Zum Zur Auf In Unter"))
+_STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "strasze")
+#: Characters that are read around a sign of a street, mail address or number: more than one takes.
+_REACH = 140
+_EXTENSION = ("ext", "extension", "durchwahl", "poste", "extensión", "anexo")
+_PARTICLES = ("van", "der", "den", "von", "de", "la", "los", "del", "di", "da", "dos", "le", "ter", "zu")
 _MAIL = re.compile(EMAIL, re.I)
 _MAIL_SIGN = re.compile(r"@|[(\[]at[)\]]| dot ", re.I)
 #: Forms of address. M. is left out: it is an initial far oftener.
 _TITLES = frozenset("dr prof mr mrs ms miss frau herr herrn mme mlle sra sr srta don doña".split())
-_TITLE_DOT = re.compile(r"(?:Dr|Prof|Mr|Mrs|Ms|Mme|Mlle|Sra|Sr|Srta)\.?$")
 _PARTICLE = r"(?:van der|van den|van|von der|von|de la|de los|del|de|di|da|dos|la|le|ter|zu)"
 _GAP = re.compile(rf" (?:[{_UP}]\. ?)*(?:{_PARTICLE} )*|-|’|'")
 _COMMA = re.compile(rf", (?:[{_UP}]\. )?(?:{_PARTICLE} )?")
 _LEFT = re.compile(rf"(?:(?<![\w.])(?:[{_UP}]\.[ -]?)+)?(?:(?<!\w)(?:{_PARTICLE} )+)?$")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 _NAME_CUE = re.compile(r"(?:\b(?:participant|interviewer|reviewer|patient|my doctor|teilnehmerin|teilnehmer|participante|paciente|entrevistadora?|joindre|contact person|raised by|assigned to|please contact|contacte a|an|durch)|:\s*reviewer)[: ]+$", re.I)
 _SIGN_OFF = re.compile(r"(?:regards|wishes|thanks|cordialement|grüße|saludos|sincerely)[,!.]?\s*\n\s*$", re.I)
 _ID_CUE = re.compile(r"(?:national id|passport(?: no\.?)?|insurance (?:no\.?|number)|patient record|tax (?:id|no\.?|number)|versichertennummer|steuernummer|numéro d['’]assuré|documento|dni|ssn|nhs number)[: ]*$", re.I)
@@ -81,157 +108,349 @@ _OTHER_CUE = re.compile(r"(?:barcode|code|codes|version|grant|field id|section|f
 _DATE = re.compile(r"9999-99-99|9{1,2}[./]9{1,2}[./]9{4}")
 
 
+KINDS = "manw"
+#: Context features, then those of the unit itself, the first of which is its identity.
+AROUND, OWN = 11, 13
+_PRIME = np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+_GAP_, _LETTER, _DIGIT_, _SIGN, _LINE, _EDGE = range(6)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each character up to 0xFFFF: its class, its small spelling, whether it is a capital. Others count as signs."""
+    kind, small, big = np.full(1 << 16, _SIGN, np.uint8), np.arange(1 << 16, dtype=np.uint64), np.zeros(1 << 16, bool)
+    for o in range(1 << 16):
+        c = chr(o)
+        if c.isalpha():
+            kind[o], big[o] = _LETTER, c.isupper() or c.istitle()
+            if len(c.lower()) == 1:
+                small[o] = ord(c.lower())
+        elif c.isdecimal() or c.isnumeric():
+            kind[o] = _DIGIT_
+        elif c.isspace() or c == "_":
+            kind[o] = _GAP_
+    kind[10], kind[0] = _LINE, _EDGE
+    return kind, small, big
+
+
+_TABLES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_PRIME, _INVERSE)):
+            x = np.full(max(n, 1 << 16), base, np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.cumprod(x)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _word_hash(word: str) -> int:
+    """What ``Texts`` gives a token, from its small spelling."""
+    out, power = 0, 1
+    for c in word.lower():
+        out = (out + (ord(c) + 1) * power) & 0xFFFFFFFFFFFFFFFF
+        power = (power * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _hashes(words) -> np.ndarray:
+    return np.sort(np.array([_word_hash(w) for w in words], np.uint64))
+
+
+def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+_H = {"titles": _hashes(_TITLES), "particles": _hashes(_PARTICLES), "Streets": _hashes(w for w in _STREET_WORDS if w[0].isupper()), "streets": _hashes(w for w in _STREET_WORDS if w[0].islower()), "extension": _hashes(_EXTENSION), "given": _hashes(GIVEN)}
+_DOT_, _COMMA_, _DASH, _STOPS = np.uint64(_word_hash(".")), np.uint64(_word_hash(",")), np.uint64(_word_hash("-")), _hashes(".?!")
+
+
+def _feature(template: int, *h: np.ndarray) -> np.ndarray:
+    """Places in the weights, from a template and one or two hashes."""
+    x = np.full_like(np.asarray(h[0], np.uint64), np.uint64(template * 2654435761 + 12345))
+    for y in h:
+        x = (x ^ np.asarray(y, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return (x >> np.uint64(64 - 18)).astype(np.int32)
+
+
+class Texts:
+    """Texts joined by a zero character, with tokens: runs of letters (over - and '), of digits, single signs, line ends."""
+
+    def __init__(self, texts: list[str | None]):
+        self.text = "\0" + "\0".join("" if t is None else t.replace("\0", " ") for t in texts) + "\0"
+        if not _TABLES:
+            _TABLES.append(_tables())
+        kinds, small, big = _TABLES[0]
+        code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.minimum(code, 0xFFFF)
+        kind = kinds[code]
+        joins = np.nonzero((code == 45) | (code == 39) | (code == 0x2019))[0]
+        joins = joins[(kind[joins - 1] == _LETTER) & (kind[joins + 1] == _LETTER)]
+        kind[joins] = _LETTER
+        first = kind != _GAP_
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] >= _SIGN)
+        ends = kind != _GAP_
+        ends[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] >= _SIGN)
+        self.start, self.end = np.nonzero(first)[0], np.nonzero(ends)[0] + 1
+        self.kind, self.code = kind[self.start], code
+        power, self.inverse = _powers(len(code))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((small[code] + np.uint64(1)) * power)])
+        self.capitals = np.concatenate([[0], np.cumsum(big[code])])
+        self.joins = np.zeros(len(code) + 1, np.int64)
+        self.joins[joins + 1] = 1
+        self.joins = np.cumsum(self.joins)
+        self.hash = self.span(self.start, self.end)
+        self.big = big[code[self.start]]
+        self.edge = np.nonzero(code == 0)[0]  # before text d is edge d
+
+    def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the small spelling of characters a to b."""
+        return (self.sums[b] - self.sums[a]) * self.inverse[np.minimum(a, len(self.inverse) - 1)]
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edge, at, "right") - 1
+
+
 @dataclass
 class Units:
-    """Nodes of some texts: doc, place, kind, text, label where a context tells it (-1: it doesn't)."""
-
-    doc: list[int]
-    start: list[int]
-    end: list[int]
-    kind: list[str]
-    text: list[str]
-    weak: list[int]
-    feats: list[list[int]]  # context features, then from split on those of the unit itself
-    split: list[int]
-    edges: list[tuple[int, int, int]]  # node, node, type: 0 tight, 1 comma, 2 repeated, 3 alike
+    """Nodes of some texts: doc, place in the joined text, kind (place in KINDS), label where a context tells it (-1: it doesn't)."""
 
+    texts: Texts
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    kind: np.ndarray
+    word: np.ndarray  # hash of the small spelling
+    feats: np.ndarray  # AROUND + OWN places in the weights; HASHES for none
+    weak: np.ndarray
+    edges: np.ndarray  # node, node, type: 0 tight, 1 comma, 2 repeated, 3 alike
 
-def _h(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % HASHES
+    def text(self, i: int) -> str:
+        return self.texts.text[self.start[i] : self.end[i]]
 
 
 def _mask(s: str) -> str:
     return re.sub("[A-Z]", "A", re.sub(r"\d", "9", re.sub(r" ext\.? ?\d+", " ext", s)))
 
 
-def _shape(w: str) -> str:
-    if len(w) == 1:
-        return "X"
-    if w.isupper():
-        return "XX"
-    rest = w[1:]
-    return "Xx" if rest.islower() else "Xx-Xx" if all(len(p) == 1 or p[1:].islower() for p in re.split("[-'’]", w) if p) else "XxX"
+def _spans(t: Texts) -> list[tuple[int, int, int]]:
+    """What is written like a mail address, a street address or a long number; earlier kinds win where two overlap."""
+    text, mails, streets, numbers = t.text, [], [], []
+    last = 0
+    for m in _MAIL_SIGN.finditer(text):
+        if m.start() >= last and (k := _MAIL.search(text, max(last, m.start() - _REACH), m.end() + _REACH)) and k.start() < m.start() < k.end():
+            mails.append((*k.span(), 0))
+            last = k.end()
+    signs = np.where(t.big, _in(t.hash, _H["Streets"]), _in(t.hash, _H["streets"]))
+    ends = np.nonzero(t.big & (t.end - t.start > 4) & ~signs & (t.kind == _LETTER))[0]
+    for end in _STREET_ENDS:
+        signs[ends] |= (t.end[ends] - t.start[ends] > len(end)) & (t.span(t.end[ends] - len(end), t.end[ends]) == np.uint64(_word_hash(end)))
+    digit = np.concatenate([[0], np.cumsum(t.kind == _DIGIT_)])
+    at = np.nonzero(signs)[0]
+    near = digit[np.minimum(at + 16, len(t.start))] > digit[np.maximum(at - 12, 0)]
+    last = 0
+    for a in t.start[at[near]].tolist():
+        if a < last:
+            continue
+        for m in _STREET.finditer(text, max(last, a - _REACH), a + _REACH):
+            if m.start() > a:
+                break
+            if m.end() > a:
+                streets.append((*m.span(), 1))
+                last = m.end()
+    last = 0
+    for sign in _NUMBER_SIGN.finditer(text):
+        if sign.start() < last:
+            continue
+        for m in _NUMBER.finditer(text, max(last, sign.start() - 12), sign.end() + _REACH):
+            if m.start() > sign.end():
+                break
+            n, (s, e) = m[0], m.span()
+            last = e
+            if not 6 <= sum(map(str.isdigit, n)) <= 20:
+                continue
+            if n[0].isdigit() or n[0] in "(+":  # a letter behind a blank belongs to numbers that open with letters
+                k = re.search(r" [A-Z]$", n)
+                e -= len(k[0]) if k else 0
+            numbers.append((s, e, 2))
+    # A short number is a phone's extension.
+    for i in np.nonzero(_in(t.hash, _H["extension"]))[0]:
+        for j in range(i + 1, min(i + 3, len(t.start))):
+            s, e = int(t.start[j]), int(t.end[j])
+            if t.kind[j] == _DIGIT_ and 3 <= e - s < 6 and (j == i + 1 or t.hash[j - 1] == _DOT_) and not text[s - 1] == "_" and not re.match(r"[\w@]|[.-]\w", text[e : e + 2]):
+                numbers.append((s, e, 2))
+    out: list[tuple[int, int, int]] = []
+    for part in (mails, streets, sorted(numbers)):
+        taken = np.array([(s, e) for s, e, _ in out], np.int64).reshape(-1, 2)
+        for s, e, k in part:
+            at = int(np.searchsorted(taken[:, 1], s, "right"))
+            if at == len(taken) or taken[at, 0] >= e:
+                out.append((s, e, k))
+        out.sort()
+    return out
 
 
-def units(texts: list[str | None], lower: dict[str, float], learn: bool = False) -> Units:
-    """Nodes, features and edges of ``texts``. ``lower`` gives the share of small spellings of words: a feature, whatever it is."""
-    u = Units([], [], [], [], [], [], [], [], [])
-    for d, text in enumerate(texts):
-        if not text:
-            continue
-        first = len(u.doc)
-        mails = [m for m in re.findall(r"[\w.+-]+(?= ?(?:@|\(at\)|\[at\]))", text.lower())]
-        local = "\n".join(mails)
-        last: dict[str, int] = {}
-        stem: dict[str, int] = {}
-        for m in _UNITS.finditer(text):
-            kind, s, e, t = m.lastgroup, m.start(), m.end(), m[0]
-            if kind == "n":
-                digits = sum(c.isdigit() for c in t)
-                if digits < 6 or digits > 20:
-                    continue
-                if t[0].isdigit() or t[0] in "(+":  # a letter behind a blank belongs to numbers that open with letters
-                    k = re.search(r" [A-Z]$", t)
-                    if k:
-                        t, e = t[: k.start()], s + k.start()
-            elif kind == "w":
-                w = t.lower()
-                if len(w) < 2 or w in _TITLES:
-                    continue
-                small = lower.get(w, 0.0)
-            before = text[max(0, s - 56) : s]
-            lead = _LEFT.search(before)[0] if kind == "w" else ""
-            if lead:  # initials and particles belong to a name: what stands before them is its context
-                before = before[: -len(lead)]
-            toks = _TOKEN.findall(before)[-3:]
-            after = _TOKEN.findall(text[e : e + 24])[:2]
-            p1 = toks[-1].lower() if toks else "^"
-            p2 = toks[-2].lower() if len(toks) > 1 else "^"
-            n1 = after[0].lower() if after else "$"
-            n2 = after[1].lower() if len(after) > 1 else "$"
-            if p1 == "." and p2 in _TITLES:
-                p1 = p2 + "."
-            ctx = [f"p1={p1}", f"p2={p2} {p1}", f"n1={n1}", f"n2={n1} {n2}"]
-            weak = -1
-            if kind == "m":
-                own, weak = ["mail"], MAIL
-            elif kind == "a":
-                own, weak = ["addr"], ADDRESS
-            elif kind == "n":
-                mask = _mask(t)
-                own = [f"m={mask}", f"md={re.sub('[^9A]', '', mask)}", f"m0={mask[:3]}", f"dg={sum(c == '9' for c in mask)}", f"first={t[:2]}"]
-                if _DATE.fullmatch(mask) or _OTHER_CUE.search(before):
-                    weak = NONE
-                elif _ID_CUE.search(before):
-                    weak = IDENTITY
-                elif _PHONE_CUE.search(before):
-                    weak = PHONE
-            else:
-                shape = _shape(t)
-                titled = bool(_TITLE_DOT.search(before.rstrip())) and before.endswith(" ")
-                bol = not before or before[-1] == "\n" or before.endswith("\n- ")
-                eol = e >= len(text) or text[e] == "\n"
-                bos = bol or before.endswith((". ", "? ", "! "))
-                inmail = len(w) > 3 and any(x in local for x in re.split("[-'’ ]", w) if len(x) > 3)
-                nxt_up = len(after) > 0 and after[0][:1].isupper() and text[e : e + 1] == " "
-                ctx += [f"t={titled}", f"bol={bol}{eol}", f"bos={bos}", f"up={nxt_up}", f"lead={bool(lead)}", f"cue={bool(_NAME_CUE.search(before))}"]
-                own = [f"w={w}", *(f"{k}={x}" for p in set(re.split("[-'’]", w)) if len(p) > 1 for k, x in (("a", p[:3]), ("b", p[:4]), ("c", p[-3:]), ("d", p[-4:]), ("e", p[-2:]))), f"sh={shape}", f"mail={inmail}", f"lr={small > 0.02}", f"lo={small > COMMON}", f"ln={min(len(w), 12)}"]
-                if learn and small > COMMON:  # cues stand before common words too; a form of address doesn't
-                    if titled:
-                        weak = NAME
-                    elif not (_NAME_CUE.search(before) or _SIGN_OFF.search(before)):
-                        weak = NONE
-                elif learn:
-                    if titled or _NAME_CUE.search(before) or _SIGN_OFF.search(before) or (inmail and shape != "XxX"):
-                        weak = NAME if shape != "XxX" else NONE
-                    elif shape == "XxX" or p1 in ("the", "das", "le", "el", "la", "dem", "der", "element", "kandidat"):
-                        weak = NONE
-            i = len(u.doc)
-            for a, v in ((u.doc, d), (u.start, s), (u.end, e), (u.kind, kind), (u.text, t), (u.weak, weak), (u.feats, [_h(kind + x) for x in ctx] + [_h(kind + x) for x in own] + [_h(kind)]), (u.split, len(ctx))):
-                a.append(v)
-            if i > first and kind == "w" and u.kind[i - 1] == "w":
-                gap = text[u.end[i - 1] : s]
-                if _GAP.fullmatch(gap):
-                    u.edges.append((i - 1, i, 0))
-                elif _COMMA.fullmatch(gap):
-                    u.edges.append((i - 1, i, 1))
-            if kind in "wn":
-                key = t.lower()
-                if key in last:
-                    u.edges.append((last[key], i, 2))
-                elif kind == "w" and len(key) > 5 and key[:6] in stem:
-                    u.edges.append((stem[key[:6]], i, 3))
-                last[key] = i
-                if kind == "w" and len(key) > 5:
-                    stem[key[:6]] = i
+def units(texts: list[str | None], lower: tuple[np.ndarray, np.ndarray], learn: bool = False) -> Units:
+    """Nodes, features and edges of ``texts``. ``lower`` gives the share of small spellings of words (sorted hashes, shares): a feature, whatever it is."""
+    t = Texts(texts)
+    spans = _spans(t)
+    sp = np.array(spans, np.int64).reshape(-1, 3)
+    # Words: capitalised, of two letters or more, not part of an address or of a code.
+    w = np.nonzero((t.kind == _LETTER) & t.big & (t.end - t.start > 1))[0]
+    before, behind = t.code[t.start[w] - 1], t.code[t.end[w]]
+    kinds = _TABLES[0][0]
+    keep = (kinds[before] != _DIGIT_) & (kinds[behind] != _DIGIT_) & ~np.isin(before, [64, 46, 43, 45, 95]) & ~np.isin(behind, [64, 95]) & ~_in(t.hash[w], _H["titles"])
+    if len(sp):
+        at = np.minimum(np.searchsorted(sp[:, 1], t.start[w], "right"), len(sp) - 1)
+        keep &= ~((sp[at, 0] < t.end[w]) & (sp[at, 1] > t.start[w]))
+    w = w[keep]
+    start, end = np.concatenate([sp[:, 0], t.start[w]]), np.concatenate([sp[:, 1], t.end[w]])
+    kind = np.concatenate([sp[:, 2], np.full(len(w), 3)])
+    i = np.concatenate([np.searchsorted(t.start, sp[:, 0]), w])
+    j = np.concatenate([np.searchsorted(t.start, sp[:, 1]), w + 1])
+    by = np.argsort(start, kind="stable")
+    start, end, kind, i, j = start[by], end[by], kind[by], i[by], j[by]
+    n, word = len(start), kind == 3
+    # Initials and particles belong to a name: what stands before them is its context.
+    particle = _in(t.hash, _H["particles"]) & ~t.big
+    single = t.big & (t.end - t.start == 1) & (t.kind == _LETTER)
+    b, lead = i - 1, np.zeros(n, np.int64)
+    for _ in range(6):
+        back = np.where(word & particle[b], 1, np.where(word & (t.hash[b] == _DOT_) & single[np.maximum(b - 1, 0)], 2, 0))
+        if not back.any():
+            break
+        b, lead = b - back, lead + (back > 0)
+    edge = t.kind == _EDGE
+    p1 = t.hash[b]
+    p2 = np.where(edge[b], p1, t.hash[np.maximum(b - 1, 0)])
+    n1 = t.hash[j]
+    n2 = np.where(edge[j], n1, t.hash[np.minimum(j + 1, len(t.hash) - 1)])
+    dotted = (p1 == _DOT_) & _in(p2, _H["titles"])
+    titled = word & (dotted | (_in(p1, _H["titles"]) & (t.kind[b] == _LETTER)))
+    p1 = np.where(dotted, p2 ^ np.uint64(0x5555), p1)
+    opens = edge[b] | (t.kind[b] == _LINE) | ((t.hash[b] == _DASH) & ~(t.kind[np.maximum(b - 1, 0)] <= _SIGN))
+    closes = edge[j] | (t.kind[j] == _LINE)
+    blank = t.code[np.minimum(end, len(t.code) - 1)] == 32
+    flags = [titled, opens, closes, opens | _in(t.hash[b], _STOPS), t.big[j] & blank & (t.kind[j] == _LETTER), lead > 0]
+    h = t.span(start, end)
+    doc = t.doc(start)
+    length = np.minimum(end - start, 12)
+    mailed = np.zeros(n, bool)
+    mails = {}
+    for k in np.nonzero(kind == 0)[0]:
+        mails.setdefault(int(doc[k]), []).append(re.split(r" ?(?:@|[(\[]at)| at ", t.text[start[k] : end[k]])[0].lower())
+    if mails:
+        for k in np.nonzero(word & np.isin(doc, list(mails)) & (end - start > 3))[0]:
+            local = "\n".join(mails[int(doc[k])])
+            mailed[k] = any(x in local for x in re.split("[-'’]", t.text[start[k] : end[k]].lower()) if len(x) > 3)
+    capitals, joins = t.capitals[end] - t.capitals[start], t.joins[end] - t.joins[start]
+    shape = np.where(capitals == end - start - joins, 1, np.where(capitals == 1, 0, np.where(capitals == 1 + joins, 2, 3)))
+    known, share = lower
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    small = np.where(known[at] == h, share[at], 0.0) if len(known) else np.zeros(n)
+    given = _in(h, _H["given"])
+    feats = np.full((n, AROUND + OWN), HASHES, np.int32)
+    k = kind.astype(np.uint64)
+    feats[:, 0], feats[:, 1], feats[:, 2], feats[:, 3] = _feature(1, p1, k), _feature(2, p1, p2 ^ k), _feature(3, n1, k), _feature(4, n1, n2 ^ k)
+    for f, x in enumerate([*flags, opens + 2 * closes]):
+        feats[word, 4 + f] = _feature(10 + f, x[word].astype(np.uint64))
+    own = [h, t.span(start, np.minimum(start + 3, end)), t.span(start, np.minimum(start + 4, end)), t.span(np.maximum(end - 3, start), end), t.span(np.maximum(end - 4, start), end), t.span(np.maximum(end - 2, start), end)]
+    own += [x.astype(np.uint64) for x in (shape, mailed, small > 0.02, small > COMMON, length, given)]
+    for f, x in enumerate(own):
+        feats[word, AROUND + f] = _feature(20 + f, x[word])
+    feats[:, AROUND + OWN - 1] = _feature(40, k)
+    numbers = np.nonzero(kind == 2)[0]
+    if len(numbers):
+        written = [t.text[start[x] : end[x]] for x in numbers]
+        own = np.array([[_word_hash(z) for z in (m, re.sub("[^9A]", "", m), m[:3], str(m.count("9")), w2[:2])] for w2, m in zip(written, map(_mask, written), strict=True)], np.uint64)
+        for f in range(5):
+            feats[numbers, AROUND + f] = _feature(50 + f, own[:, f])
+    # Edges: neighbours over blanks, initials and particles, or over a comma; then repeated and alike words of a text.
+    parts = []
+    token = np.where(word, i, -9)
+    follows = np.nonzero(word[1:] & word[:-1])[0]
+    tight, comma = b[follows + 1] == token[follows], (t.hash[b[follows + 1]] == _COMMA_) & (b[follows + 1] - 1 == token[follows])
+    for kind_, m in ((0, tight), (1, comma)):
+        parts.append(np.column_stack([follows[m], follows[m] + 1, np.full(m.sum(), kind_)]))
+    skip = np.nonzero(kind >= 2)[0]
+    o = skip[np.lexsort((skip, h[skip], kind[skip], doc[skip]))]
+    same = (h[o][1:] == h[o][:-1]) & (doc[o][1:] == doc[o][:-1]) & (kind[o][1:] == kind[o][:-1])
+    parts.append(np.column_stack([o[:-1][same], o[1:][same], np.full(same.sum(), 2)]))
+    new = np.concatenate([[True], ~same])[: len(o)]
+    f = o[new]
+    f = f[word[f] & (end[f] - start[f] > 5)]
+    stem = t.span(start[f], np.minimum(start[f] + 6, end[f]))
+    o = np.lexsort((f, stem, doc[f]))
+    alike = (stem[o][1:] == stem[o][:-1]) & (doc[f[o]][1:] == doc[f[o]][:-1])
+    parts.append(np.column_stack([f[o][:-1][alike], f[o][1:][alike], np.full(alike.sum(), 3)]))
+    u = Units(t, doc, start, end, kind, h, feats, np.full(n, -1), np.concatenate(parts).astype(np.int64))
+    if learn:
+        for x in range(n):
+            u.weak[x] = _weak(t.text, int(start[x]), int(t.start[b[x] + 1]), "manw"[kind[x]], u.text(x), bool(titled[x]), bool(mailed[x]), float(small[x]), bool(given[x]))
     return u
 
 
+def _weak(text: str, s: int, lead: int, kind: str, t: str, titled: bool, mailed: bool, small: float, given: bool) -> int:
+    """The label that a context tells, for training; -1 where it tells none."""
+    if kind in "ma":
+        return MAIL if kind == "m" else ADDRESS
+    before = text[max(0, (lead if kind == "w" else s) - 56) : lead if kind == "w" else s].rsplit("\0", 1)[-1]
+    if kind == "n":
+        if _DATE.fullmatch(_mask(t)) or _OTHER_CUE.search(before):
+            return NONE
+        if _ID_CUE.search(before):
+            return IDENTITY
+        return PHONE if _PHONE_CUE.search(before) else -1
+    mixed = bool(re.search("[^\\W\\d_][^\\W\\d_a-zà-ÿ'’-]", t)) and not t.isupper()
+    cued = bool(_NAME_CUE.search(before) or _SIGN_OFF.search(before))
+    if small > COMMON:  # cues stand before common words too; a form of address doesn't
+        return NAME if titled else -1 if cued else NONE
+    if titled or cued or (mailed and not mixed):
+        return NONE if mixed else NAME
+    if mixed or re.search(r"(?i)(?:^|\W)(?:the|das|le|el|la|dem|der|element|kandidat)\W*$", before):
+        return NONE
+    return NAME if given else -1
+
+
 @dataclass
 class Field:
-    weights: np.ndarray  # label by feature
+    weights: np.ndarray  # feature by label; the last row, of no feature, is zero
     pair: np.ndarray  # edge type by label by label, log potentials
-    lower: dict[str, float]
+    lower: tuple[np.ndarray, np.ndarray]  # sorted word hashes, shares of small spellings
+
+    def save(self, spark, path: str) -> None:
+        """Write the field as a one-row table."""
+        row = tuple(bytearray(np.ascontiguousarray(x).tobytes()) for x in (self.weights, self.pair, *self.lower))
+        spark.createDataFrame([row], "weights binary, pair binary, words binary, shares binary").coalesce(1).write.mode("overwrite").parquet(path)
 
+    @staticmethod
+    def load(spark, path: str) -> Field:
+        r = [bytes(x) for x in spark.read.parquet(path).select("weights", "pair", "words", "shares").first()]
+        n = len(LABELS)
+        return Field(np.frombuffer(r[0], np.float32).reshape(-1, n), np.frombuffer(r[1]).reshape(4, n, n), (np.frombuffer(r[2], np.uint64), np.frombuffer(r[3])))
 
-def _node_scores(u: Units, weights: np.ndarray) -> np.ndarray:
-    sizes = np.array([len(f) for f in u.feats])
-    flat = np.fromiter((x for f in u.feats for x in f), np.int64, int(sizes.sum()))
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.add.reduceat(weights[:, flat], at, axis=1).T
+
+def scores(u: Units, weights: np.ndarray) -> np.ndarray:
+    """Node potentials: one gather for all units."""
+    out = np.empty((len(u.doc), len(LABELS)))
+    for s in range(0, len(out), 4096):
+        out[s : s + 4096] = weights[u.feats[s : s + 4096]].sum(axis=1)
+    return _restrict(u.kind, out)
 
 
 #: Labels a unit of a kind can have.
-_ALLOWED = {"m": (NONE, MAIL), "a": (NONE, ADDRESS), "n": (NONE, PHONE, IDENTITY), "w": (NONE, NAME)}
+_ALLOWED = ((NONE, MAIL), (NONE, ADDRESS), (NONE, PHONE, IDENTITY), (NONE, NAME))
+_PRIOR = np.full((4, len(LABELS)), -30.0)
+for _k, _ls in enumerate(_ALLOWED):
+    _PRIOR[_k, list(_ls)] = 0.0
+_PRIOR[0, MAIL] = _PRIOR[1, ADDRESS] = SPELLED
 
 
-def _restrict(u: Units, scores: np.ndarray) -> np.ndarray:
-    mask = np.full((4, len(LABELS)), -30.0)
-    order = {k: i for i, k in enumerate(_ALLOWED)}
-    for k, ls in _ALLOWED.items():
-        mask[order[k], list(ls)] = 0.0
-    mask[order["m"], MAIL] = mask[order["a"], ADDRESS] = SPELLED
-    return scores + mask[[order[k] for k in u.kind]]
+def _restrict(kinds: np.ndarray, potentials: np.ndarray) -> np.ndarray:
+    return potentials + _PRIOR[kinds]
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -239,9 +458,9 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return s / s.sum(axis=1, keepdims=True)
 
 
-def propagate(scores: np.ndarray, edges: list[tuple[int, int, int]], pair: np.ndarray) -> np.ndarray:
+def propagate(scores: np.ndarray, edges: list[tuple[int, int, int]] | np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Label probabilities after loopy message passing along all edges, both ways at once."""
-    if not edges:
+    if not len(edges):
         return _softmax(scores)
     e = np.array(edges)
     src, dst, kind = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]]), np.concatenate([e[:, 2], e[:, 2]])
@@ -263,45 +482,93 @@ def propagate(scores: np.ndarray, edges: list[tuple[int, int, int]], pair: np.nd
     return _softmax(belief)
 
 
-def _fit_weights(u: Units, labels: np.ndarray, rng: np.random.Generator, start: np.ndarray | None = None) -> np.ndarray:
-    """Multinomial logistic weights by AdaGrad over rows with labels; half of the rows lose context or identity."""
+def settle(u: Units, scores: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The label of each unit. Words have two labels and share edges with words alone, so their messages are log odds."""
+    best = scores.argmax(axis=1)
+    e = u.edges
+    if not len(e):
+        return best
+    word = u.kind == 3
+    of_words = word[e[:, 0]]
+    other = e[~of_words]
+    if len(other):
+        at = np.unique(other[:, :2])
+        near = np.column_stack([np.searchsorted(at, other[:, :2]), other[:, 2]])
+        best[at] = propagate(scores[at], near, pair).argmax(axis=1)
+    e = e[of_words]
+    if len(e):
+        src, dst, kind = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]]), e[:, 2]
+        n = len(e)
+        back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
+        two = pair[:, [[NONE], [NAME]], [NONE, NAME]]
+        pots = np.concatenate([two[kind], two[kind].transpose(0, 2, 1)])  # of source and target
+        odds = scores[:, NAME] - scores[:, NONE]
+        msg = np.zeros(2 * n)
+        for _ in range(ROUNDS):
+            out = (odds + np.bincount(dst, msg, len(odds)))[src] - msg[back]
+            new = np.logaddexp(pots[:, 0, 1], out + pots[:, 1, 1]) - np.logaddexp(pots[:, 0, 0], out + pots[:, 1, 0])
+            msg = 0.5 * msg + 0.5 * new
+        best[word] = np.where((odds + np.bincount(dst, msg, len(odds)))[word] > 0, NAME, NONE)
+    return best
+
+
+def _fit(u: Units, labels: np.ndarray, rng: np.random.Generator, rounds: int = 4, start: np.ndarray | None = None, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by AdaGrad over rows with labels; half of the rows lose context or identity.
+
+    With ``edges`` it is the pseudo-likelihood of the field: each label given those of
+    its neighbours, so that edge potentials are trained with the node potentials.
+    """
+    n = len(LABELS)
     rows = np.nonzero(labels >= 0)[0]
-    w = np.zeros((len(LABELS), HASHES), np.float32) if start is None else start
-    g2 = np.full((len(LABELS), HASHES), 1e-2, np.float32)
-    for _ in range(4):
+    w = np.zeros((HASHES + 1, n), np.float32) if start is None else start
+    g2 = np.full((HASHES + 1, n), 1e-2, np.float32)
+    pair, p2 = np.zeros((4, n, n)), np.full((4, n, n), 1e-2)
+    near = None
+    if edges is not None and len(edges):
+        both = np.concatenate([edges, edges[:, [1, 0, 2]]])
+        side = np.repeat([0, 1], len(edges))
+        keep = (labels[both[:, 1]] >= 0) & (labels[both[:, 0]] >= 0)
+        both, side = both[keep], side[keep]
+        by = np.argsort(both[:, 0], kind="stable")
+        both, side = both[by], side[by]
+        near = np.searchsorted(both[:, 0], np.arange(len(labels) + 1))
+    for _ in range(rounds):
         rng.shuffle(rows)
         for s in range(0, len(rows), 256):
             part = rows[s : s + 256]
             drop = rng.random(len(part))
-            feats = [u.feats[i][u.split[i] :] if r < 0.35 else u.feats[i][: u.split[i]] + u.feats[i][u.split[i] + 1 :] if r < 0.6 else u.feats[i] for i, r in zip(part, drop, strict=True)]
-            sizes = np.array([len(f) for f in feats])
-            flat = np.concatenate([np.array(f, np.int64) for f in feats])
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            sub = Units([], [], [], [u.kind[i] for i in part], [], [], [], [], [])
-            p = _softmax(_restrict(sub, np.add.reduceat(w[:, flat], at, axis=1).T))
+            used = u.feats[part].astype(np.int64)
+            used[drop < 0.35, :AROUND] = HASHES
+            used[(drop >= 0.35) & (drop < 0.6), AROUND] = HASHES
+            if near is not None:  # some keep their kind alone, so that edges are learned too
+                used[drop > 0.8, :-1] = HASHES
+            score = w[used].sum(axis=1).astype(np.float64)
+            if near is not None:
+                count = near[part + 1] - near[part]
+                where = np.repeat(np.arange(len(part)), count)
+                e = np.repeat(near[part] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                kind, other, right = both[e, 2], labels[both[e, 1]], side[e] == 1
+                np.add.at(score, where, np.where(right[:, None], pair[kind, other], pair[kind, :, other]))
+            p = _softmax(_restrict(u.kind[part], score))
             p[np.arange(len(part)), labels[part]] -= 1.0
-            grad = np.repeat(p.T, sizes, axis=1).astype(np.float32)
-            for k in range(len(LABELS)):
-                np.add.at(g2[k], flat, grad[k] ** 2)
-                np.add.at(w[k], flat, -0.15 * grad[k] / np.sqrt(g2[k][flat]))
-    return w
-
-
-def _pairs(u: Units, labels: np.ndarray) -> np.ndarray:
-    """Log potentials of edges: how much oftener two labels meet than by chance, for each edge type."""
-    share = np.bincount(labels, minlength=len(LABELS)) + 1.0
-    share /= share.sum()
-    out = np.zeros((4, len(LABELS), len(LABELS)))
-    for t in range(4):
-        n = np.full((len(LABELS), len(LABELS)), 0.5)
-        for a, b, k in u.edges:
-            if k == t:
-                n[labels[a], labels[b]] += 1
-        row, col = n.sum(axis=1, keepdims=True), n.sum(axis=0, keepdims=True)
-        out[t] = np.clip(np.log(n * n.sum() / (row * col)), -2.0, 2.0)
-        if t >= 2:
-            out[t] = (out[t] + out[t].T) / 2
-    return out
+            flat, back = np.unique(used.ravel(), return_inverse=True)
+            of = np.repeat(np.arange(len(part)), used.shape[1])
+            step = np.empty((len(flat), n))
+            square = np.empty((len(flat), n))
+            for k in range(n):
+                step[:, k] = np.bincount(back, p[of, k], len(flat))
+                square[:, k] = np.bincount(back, p[of, k] ** 2, len(flat))
+            g2[flat] += square
+            w[flat] -= 0.15 * step / np.sqrt(g2[flat])
+            w[HASHES] = 0
+            if near is not None and len(e):
+                g = np.zeros_like(pair)
+                np.add.at(g, (kind[right], other[right]), p[where[right]])
+                np.add.at(g.transpose(0, 2, 1), (kind[~right], other[~right]), p[where[~right]])
+                g[2:] = (g[2:] + g[2:].transpose(0, 2, 1)) / 2  # repeated and alike words have no first and second
+                p2 += g * g
+                pair = np.clip(pair - 0.05 * g / np.sqrt(p2), -BOUND, BOUND)
+    return w, pair
 
 
 def small_words(documents: DataFrame, text: str) -> dict[str, float]:
@@ -335,82 +602,82 @@ def small_words(documents: DataFrame, text: str) -> dict[str, float]:
     both = stage(both, "words")
     total = both.where("w = ''").agg(F.sum("s")).first()[0] or 0
     often = both.where("w <> ''").where(F.col("s") >= WORD_SHARE * total).where("s > 0.02 * b")
-    # The most frequent words of the language; names are far below.
-    return {r["w"]: r["s"] / (r["s"] + r["b"]) for r in often.orderBy(F.desc("s"), "w").limit(50_000).collect()}
+    return {r["w"]: r["s"] / (r["s"] + r["b"]) for r in often.collect()}
 
 
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    lower = small_words(documents, text)
+    words = small_words(documents, text)
+    h = np.array([_word_hash(w) for w in words], np.uint64)
+    by = np.argsort(h)
+    lower = (h[by], np.array(list(words.values()), np.float64)[by])
     base = documents.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text")).where("text is not null and text <> ''")
     rows = base.count()
     share = F.pmod("h", F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, SAMPLE_DOCS / max(rows, 1))))
-    # The tail of very long texts is cut for training only; finding reads whole texts.
-    picked = (base.where(share) if rows > SAMPLE_DOCS else base).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toArrow()
+    picked = (base.where(share) if rows > SAMPLE_DOCS else base).toArrow()
     order = np.argsort(picked.column("h").to_numpy(), kind="stable")
     texts = [picked.column("text")[int(i)].as_py() for i in order]
     rng = np.random.default_rng(5)
     u = units(texts, lower, learn=True)
-    if not u.doc:
-        return Field(np.zeros((len(LABELS), HASHES), np.float32), np.zeros((4, len(LABELS), len(LABELS))), lower)
-    labels = np.array(u.weak)
+    if not len(u.doc):
+        return Field(np.zeros((HASHES + 1, len(LABELS)), np.float32), np.zeros((4, len(LABELS), len(LABELS))), lower)
+    labels, word = u.weak.copy(), u.kind == 3
     # Reliable non-names: common words that no context calls a name, and what stands before one of them.
-    seeds = {t.lower() for t, l in zip(u.text, u.weak, strict=True) if l == NAME}
-    seen = Counter(t.lower() for t, k in zip(u.text, u.kind, strict=True) if k == "w")
-    common = {w for w, n in seen.items() if n >= max(6, len(texts) // 200) and w not in seeds}
-    follow = {a: b for a, b, t in u.edges if t == 0}
-    for i, (t, k) in enumerate(zip(u.text, u.kind, strict=True)):
-        if k == "w" and labels[i] < 0:
-            if t.lower() in common or (i in follow and u.text[follow[i]].lower() in common):
-                labels[i] = NONE
+    seen, n = np.unique(u.word[word], return_counts=True)
+    common = seen[(n >= max(6, len(texts) // 200)) & ~np.isin(seen, u.word[word & (u.weak == NAME)])]
+    usual = word & _in(u.word, common)
+    tight = u.edges[u.edges[:, 2] == 0]
+    usual[tight[usual[tight[:, 1]], 0]] = True
+    labels[usual & word & (labels < 0)] = NONE
     # A name cue also holds for what is tied to its word: Anna | Berg.
-    for a, b, t in u.edges:
-        if t == 0 and labels[a] == NAME and labels[b] < 0:
+    for a, b in tight[:, :2]:
+        if labels[a] == NAME and labels[b] < 0:
             labels[b] = NAME
-    w = _fit_weights(u, labels, rng)
-    p = _softmax(_restrict(u, _node_scores(u, w)))
-    second = labels.copy()
-    best, sure = p.argmax(axis=1), p.max(axis=1)
+    w, _ = _fit(u, labels, rng)
+    p = _softmax(scores(u, w))
+    second, best, sure = labels.copy(), p.argmax(axis=1), p.max(axis=1)
     fresh_ = (labels < 0) & (sure > 0.8)
     second[fresh_] = best[fresh_]
-    w = _fit_weights(u, second, rng)
-    scores = _restrict(u, _node_scores(u, w))
-    pair = _pairs(u, scores.argmax(axis=1))
-    return Field(w.astype(np.float32), pair, lower)
+    w, _ = _fit(u, second, rng)
+    full = np.where(labels >= 0, labels, scores(u, w).argmax(axis=1))
+    w, pair = _fit(u, full, rng, 4, None, u.edges)
+    return Field(w, pair, lower)
 
 
 def mentions(texts: list[str | None], field: Field) -> list[tuple[int, int, int, int]]:
     """(doc, label, start, end) of every mention, from 0, ends excluded."""
     u = units(texts, field.lower)
-    if not u.doc:
+    if not len(u.doc):
         return []
-    scores = _restrict(u, _node_scores(u, field.weights))
-    label = propagate(scores, u.edges, field.pair).argmax(axis=1)
-    tied = {b: (a, t) for a, b, t in u.edges if t < 2}
+    label = settle(u, scores(u, field.weights), field.pair)
+    hit = np.nonzero(label != NONE)[0]
+    text, base = u.texts.text, u.texts.edge + 1
+    tied = {b: (a, t) for a, b, t in u.edges[(u.edges[:, 2] < 2) & (label[u.edges[:, 0]] == NAME) & (label[u.edges[:, 1]] == NAME)].tolist()}
+    onward = {a: b for b, (a, _) in tied.items()}
     out: list[tuple[int, int, int, int]] = []
     group: list[int] = []
+    start, end, doc, kinds = u.start.tolist(), u.end.tolist(), u.doc.tolist(), label.tolist()
 
     def close() -> None:
         if not group:
             return
-        text = texts[u.doc[group[0]]]
-        s, e = u.start[group[0]], u.end[group[-1]]
-        left = _LEFT.search(text[max(0, s - 30) : s])
+        s, e, d = start[group[0]], end[group[-1]], doc[group[0]]
+        left = _LEFT.search(text[max(int(base[d]), s - 30) : s])
         if left and left[0]:
             lead = re.sub(rf"^(?:{'|'.join(x.capitalize() for x in sorted(_TITLES))})\.? ", "", left[0])
             s -= len(lead)
-        out.append((u.doc[group[0]], NAME, s, e))
+        out.append((d, NAME, s - int(base[d]), e - int(base[d])))
         group.clear()
 
-    for i, l in enumerate(label):
-        if l == NAME:
+    for i in hit.tolist():
+        if kinds[i] == NAME:
             a, t = tied.get(i, (-1, -1))
-            if not (group and group[-1] == a and (t == 0 or (len(group) == 1 and not (i + 1 < len(label) and label[i + 1] == NAME and tied.get(i + 1, (-1,))[0] == i and " " in texts[u.doc[a]][u.start[a] : u.end[a]])))):
+            if not (group and group[-1] == a and (t == 0 or (len(group) == 1 and not (i in onward and tied[onward[i]][1] >= 0 and " " in text[start[a] : end[a]])))):
                 close()
             group.append(i)
         else:
             close()
-            if l != NONE:
-                out.append((u.doc[i], int(l), u.start[i], u.end[i]))
+            b = int(base[doc[i]])
+            out.append((doc[i], kinds[i], start[i] - b, end[i] - b))
     close()
     return out
 
@@ -427,8 +694,8 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", field: F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 200):
-                part = batch.slice(s, 200)
+            for s in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(s, TEXTS)
                 found = mentions(part.column(1).to_pylist(), shared.value)
                 if found:
                     d, l, a, e = zip(*found, strict=True)
@@ -447,7 +714,8 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", field:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             cut: dict[int, list[tuple[int, int, str]]] = {}
-            for d, l, s, e in mentions(texts, shared.value):
+            found = [(first + d, *m) for first in range(0, len(texts), TEXTS) for d, *m in mentions(texts[first : first + TEXTS], shared.value)]
+            for d, l, s, e in found:
                 cut.setdefault(d, []).append((s, e, f"[{LABELS[l].upper()}]"))
             for d, spans in cut.items():
                 out, last = [], 0

@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import numpy as np
@@ -84,9 +85,75 @@ def test_names_in_addresses_are_not_small_words(spark):
     assert few == many and "nora" not in few and few["panel"] == 0.75
 
 
+def shares(**words):
+    h = np.array([ps._word_hash(w) for w in words], np.uint64)
+    return np.sort(h), np.array(list(words.values()))[np.argsort(h)]
+
+
 def test_common_words_are_units():
-    u = ps.units(["Thank you. Mrs Rose called the Rose Panel."], {"rose": 0.6, "panel": 0.9, "thank": 0.9}, learn=True)
-    assert list(zip(u.text, u.weak, strict=True)) == [("Thank", ps.NONE), ("Rose", ps.NAME), ("Rose", ps.NONE), ("Panel", ps.NONE)]
+    u = ps.units(["Thank you. Mrs Rose called the Rose Panel."], shares(rose=0.6, panel=0.9, thank=0.9), learn=True)
+    assert [(u.text(i), u.weak[i]) for i in range(len(u.doc))] == [("Thank", ps.NONE), ("Rose", ps.NAME), ("Rose", ps.NONE), ("Panel", ps.NONE)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aBé Ωж.,-'’_19\n@𝒜\0ﬀ", max_size=30)), max_size=5))
+def test_tokens_of_joined_texts(texts):
+    """Tokens, places and hashes are those of each text alone."""
+    t = ps.Texts(texts)
+    got = [(int(d), t.text[a:b], int(h)) for d, a, b, h, k in zip(t.doc(t.start), t.start, t.end, t.hash, t.kind, strict=True) if k != ps._EDGE]
+    want = []
+    for d, x in enumerate(texts):
+        for m in re.finditer(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+|\n|[^\w\s]", (x or "").replace("\0", " ").replace("𝒜", "*")):
+            want.append((d, m[0]))
+    assert [(d, x.replace("𝒜", "*")) for d, x, _ in got] == want
+    assert all(h == ps._word_hash(x) for _, x, h in got if "𝒜" not in x and len(x.lower()) == len(x))
+
+
+def test_edges_of_a_text():
+    u = ps.units(["Anna M. van der Kolm and Berg, Anna. Kolmberg", "Anna"], shares())
+    name = [u.text(i) for i in range(len(u.doc))]
+    assert name == ["Anna", "Kolm", "Berg", "Anna", "Kolmberg", "Anna"] and u.doc.tolist() == [0, 0, 0, 0, 0, 1]
+    assert sorted(map(tuple, u.edges.tolist())) == [(0, 1, 0), (0, 3, 2), (2, 3, 1)]
+
+
+def test_windows_find_what_whole_texts_hold():
+    pieces = ["call +44 (0)1632 960 434 ext. 12", "at Flat 3, 180B Saltmarsh Rd., Tarnow 00400", "x@y.example", "Calle de la Luna 4, bajo", "10 bis rue de la Paix, 75001 Paris", "Hauptstr. 5, 10115 Berlin", "Am Alten Markt 12", "P.O. Box 17", "ID AB 12 34 56 C", "row 12 of place 4", "extension 4711"]
+    text = " and then we went on to say something long. ".join(pieces * 3)
+    found = [(text[s - 1 : e - 1], k) for s, e, k in ps._spans(ps.Texts([text]))]
+    for want, kind in (("+44 (0)1632 960 434 ext. 12", 2), ("Flat 3, 180B Saltmarsh Rd., Tarnow 00400", 1), ("x@y.example", 0), ("Calle de la Luna 4, bajo", 1), ("10 bis rue de la Paix, 75001 Paris", 1), ("Hauptstr. 5, 10115 Berlin", 1), ("Am Alten Markt 12", 1), ("P.O. Box 17", 1), ("AB 12 34 56 C", 2), ("4711", 2)):
+        assert found.count((want, kind)) == 3, want
+    assert len(found) == 30
+
+
+def test_names_not_seen_in_training(spark, field):
+    """Names, towns and forms that the training texts don't hold."""
+    cases = {
+        "Please contact Dr. Hamilton about it.": [("person_name", "Hamilton")],
+        "Participant Maria Gonzalez called.": [("person_name", "Maria Gonzalez")],
+        "Mrs Okonkwo has passport X00987654 now.": [("person_name", "Okonkwo"), ("identity_number", "X00987654")],
+        "Call +44 (0)1632 960 777 and ask for Mrs Nakamura about it.": [("phone", "+44 (0)1632 960 777"), ("person_name", "Nakamura")],
+        "Write to j.doe+x@lab.example.org or to 1600 Pennsylvania Avenue, Washington DC 20500.": [("email", "j.doe+x@lab.example.org"), ("street_address", "1600 Pennsylvania Avenue, Washington DC 20500")],
+        "Sample tubes carry the barcode 8234567891.": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {}
+    for r in ps.find(df, field=field).collect():
+        got.setdefault(r.id, []).append((r.pii_type, list(cases)[r.id][r.start_at - 1 : r.end_at]))
+    hits = sum(w in got.get(i, []) for i, ws in enumerate(cases.values()) for w in ws)
+    assert hits >= 7 and not got.get(5)
+
+
+def test_field_is_saved(spark, field, tmp_path):
+    field.save(spark, str(tmp_path / "field"))
+    back = ps.Field.load(spark, str(tmp_path / "field"))
+    assert ps.mentions([NOTE], back) == ps.mentions([NOTE], field) != []
+
+
+def test_word_messages_are_the_general_ones(field):
+    texts = [NOTE, "Kolm, Anna. Anna Kolm saw Kolmann."] * 3
+    u = ps.units(texts, field.lower)
+    s = ps.scores(u, field.weights)
+    assert (ps.settle(u, s, field.pair) == ps.propagate(s, u.edges, field.pair).argmax(axis=1)).all()
 
 
 def test_messages_agree_with_enumeration():
