@@ -20,9 +20,7 @@ can only refuse them.
 
 from __future__ import annotations
 
-import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,14 +234,18 @@ def _mask(s: str) -> str:
     return re.sub("[A-Z]", "A", re.sub(r"\d", "9", re.sub(r" ext\.? ?\d+", " ext", s)))
 
 
-def _spans(t: Texts) -> list[tuple[int, int, int]]:
-    """What is written like a mail address, a street address or a long number; earlier kinds win where two overlap."""
-    text, mails, streets, numbers = t.text, [], [], []
-    last = 0
+def _mails(text: str) -> list[tuple[int, int, int]]:
+    found, last = [], 0
     for m in _MAIL_SIGN.finditer(text):
         if m.start() >= last and (k := _MAIL.search(text, max(last, m.start() - _REACH), m.end() + _REACH)) and k.start() < m.start() < k.end():
-            mails.append((*k.span(), 0))
+            found.append((*k.span(), 0))
             last = k.end()
+    return found
+
+
+def _spans(t: Texts) -> list[tuple[int, int, int]]:
+    """What is written like a mail address, a street address or a long number; earlier kinds win where two overlap."""
+    text, mails, streets, numbers = t.text, _mails(t.text), [], []
     signs = np.where(t.big, _in(t.hash, _H["Streets"]), _in(t.hash, _H["streets"]))
     ends = np.nonzero(t.big & (t.end - t.start > 4) & ~signs & (t.kind == _LETTER))[0]
     for end in _STREET_ENDS:
@@ -571,45 +573,52 @@ def _fit(u: Units, labels: np.ndarray, rng: np.random.Generator, rounds: int = 4
     return w, pair
 
 
-def small_words(documents: DataFrame, text: str) -> dict[str, float]:
-    """Share of small spellings of each word that is written both ways, over all texts without their e-mail addresses.
+def small_words(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, shares): the share of small spellings of each word that is written both ways, over all texts without their e-mail addresses.
 
     Only for words whose small spellings are ``WORD_SHARE`` of all words, so that the
     size of the corpus changes nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small: Counter[str] = Counter()
-        big: Counter[str] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         total = 0
-        word = re.compile(r"[^\W\d_]{2,24}")
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return h, *(np.bincount(back, np.concatenate([x[k] for x in held]), len(h)).astype(np.int64) for k in (1, 2))
+
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    if _MAIL_SIGN.search(t):
-                        t = _MAIL.sub(" ", t)
-                    for w, n in Counter(word.findall(t)).items():
-                        total += n
-                        if w[0].islower():
-                            small[w] += n
-                        else:
-                            big[w.lower()] += n
-        words = [w for w in big if w in small]
-        # The empty word holds the number of all words.
-        yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([total, *(small[w] for w in words)], pa.int64()), pa.array([0, *(big[w] for w in words)], pa.int64())], names=["w", "s", "b"])
-
-    both = documents.select(text).mapInArrow(run, "w string, s long, b long").groupBy("w").agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
-    both = stage(both, "words")
-    total = both.where("w = ''").agg(F.sum("s")).first()[0] or 0
-    often = both.where("w <> ''").where(F.col("s") >= WORD_SHARE * total).where("s > 0.02 * b")
-    return {r["w"]: r["s"] / (r["s"] + r["b"]) for r in often.collect()}
+            for s in range(0, batch.num_rows, TEXTS):
+                t = Texts(batch.column(0).slice(s, TEXTS).to_pylist())
+                size = t.end - t.start
+                use = (t.kind == _LETTER) & (size > 1) & (size < 25)
+                spans = np.array(_mails(t.text), np.int64).reshape(-1, 3)
+                if len(spans):
+                    at = np.minimum(np.searchsorted(spans[:, 1], t.start, "right"), len(spans) - 1)
+                    use &= ~((spans[at, 0] < t.end) & (spans[at, 1] > t.start))
+                h, back = np.unique(t.hash[use], return_inverse=True)
+                big = np.bincount(back, t.big[use], len(h)).astype(np.int64)
+                n = np.bincount(back, minlength=len(h))
+                held.append((h, n - big, big))
+                total += int(use.sum())
+                if len(held) > 50:
+                    held[:] = [merged()]
+        if held:
+            h, small, big = merged()
+            # Hash 0 holds the number of all words.
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[0], h.view(np.int64)])), pa.array(np.concatenate([[total], small])), pa.array(np.concatenate([[0], big]))], names=["w", "s", "b"])
+
+    both = stage(documents.select(text).mapInArrow(run, "w long, s long, b long").groupBy("w").agg(F.sum("s").alias("s"), F.sum("b").alias("b")), "words")
+    total = both.where("w = 0").agg(F.sum("s")).first()[0] or 0
+    often = both.where("w <> 0").where(F.col("s") >= WORD_SHARE * total).where("b > 0 and s > 0.02 * b").toArrow()
+    h, small, big = (often.column(c).to_numpy() for c in ("w", "s", "b"))
+    by = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[by], (small / np.maximum(small + big, 1))[by]
 
 
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    words = small_words(documents, text)
-    h = np.array([_word_hash(w) for w in words], np.uint64)
-    by = np.argsort(h)
-    lower = (h[by], np.array(list(words.values()), np.float64)[by])
+    lower = small_words(documents, text)
     base = documents.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text")).where("text is not null and text <> ''")
     rows = base.count()
     share = F.pmod("h", F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, SAMPLE_DOCS / max(rows, 1))))
