@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 #: Cells that mean "no value" (fixed values: the default list of pandas, and "na").
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "na"]
-#: Labels that stand for a missing answer.
-SENTINEL = r"^(missing|refused|unknown|not applicable|n/?a|don.?t know|do not know|prefer not to (answer|say)|no answer|not asked)$"
+#: Labels that stand for a missing answer: what they hold anywhere, and what they are in full (fixed values).
+SENTINEL_PARTS = ["missing", "prefer not", "not applicable", "do not know", "don't know", "dont know", "refused", "not asked", "declined"]
+SENTINEL_WORDS = ["unknown", "n/a", "na", "no answer", "dk", "nk", "not sure", "refuse", "none available"]
+SENTINEL = f"({'|'.join(SENTINEL_PARTS)})|^({'|'.join(SENTINEL_WORDS)})$"
+#: Instructions of questionnaires that say nothing about the concept (fixed values).
+BOILERPLATE = [
+    "read if necessary", "do not read", "read out", "read all that apply", "select all that apply", "check all that apply", "mark all that apply",
+    "choose all that apply", "select one", "if necessary", "for office use only", "office use only", "see instructions", "please specify",
+]
+#: Words of questions and names that ask for open text, and data types that hold it (fixed values).
+OPEN_TEXT = r"specify|describe|free[\s_-]?text|please list|elaborat|in your own words"
+TEXT_TYPES = ["text", "string", "char", "character", "free text"]
 
 
 def null_if_na(cell: Column) -> Column:
@@ -30,25 +40,49 @@ def straight_quotes(text: Column) -> Column:
     return F.translate(text, "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f", "''''\"\"\"\"")
 
 
-def strip_markup(text: Column) -> Column:
-    """Tags of a known list gone (block tags as a blank), script and style with their content, common entities decoded."""
-    t = F.regexp_replace(text, r"(?is)<(script|style|head)\b[^>]*>.*?</(script|style|head)>", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</?(p|div|li|ul|ol|tr|td|th|table|h[1-6])\b[^>]*>", " ")
-    t = F.regexp_replace(t, r"(?i)</?(b|i|u|em|strong|span|font|a|sup|sub|small)\b[^>]*>", "")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
-    return t
+#: Tags that are taken out; other signs in angle brackets, as <OR> or <50, stay (fixed values).
+TAGS = "p|br|div|span|table|thead|tbody|tfoot|tr|td|th|ul|ol|li|dl|dt|dd|b|i|u|em|strong|a|h[1-6]|hr|img|sup|sub|blockquote|pre|code|small|font|center|caption|colgroup|col"
+#: Entities that are decoded without Python. The ampersand comes last.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&#34;": '"', "&deg;": "°", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&micro;": "µ", "&plusmn;": "±", "&times;": "×", "&ge;": "≥", "&le;": "≤", "&hellip;": "…", "&amp;": "&"}
+#: A question in quotes behind an introduction that says "question", up to a tag or the end; or in quotes from the start, up to a tag.
+PREAMBLE = "(?is)^[^\"“”]{0,80}?\\bquestions?\\b\\s*:?\\s*[\"“”'](.*?)[\"“”']\\s*(?:<.*)?$"
+QUOTED = "(?is)^\\s*[\"“”'](.*?)[\"“”']\\s*<.*$"
+
+
+def decode_entities(text: Column) -> Column:
+    """The entities of ``ENTITIES`` and decimal ones of ASCII signs as what they stand for."""
+    for entity, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
 
 
 def unwrap_question(text: Column) -> Column:
-    """A question that stands in quotes behind an introduction, alone."""
-    inner = F.regexp_extract(text, r'^[^"]{0,80}:\s*"([^"]+\?)"\s*$', 1)
-    return F.when(inner != "", inner).otherwise(text)
+    """The question in quotes behind an introduction of an instrument, without what follows it."""
+    return F.when(text.rlike(PREAMBLE), F.regexp_extract(text, PREAMBLE, 1)).when(text.rlike(QUOTED), F.regexp_extract(text, QUOTED, 1)).otherwise(text)
+
+
+def strip_tags(text: Column) -> Column:
+    """Script and style with their content, and tags of a known list, as a blank each."""
+    t = F.regexp_replace(text, r"(?is)<(script|style|head)\b[^>]*>.*?</(script|style|head)>", " ")
+    return F.regexp_replace(t, rf"(?i)</?(?:{TAGS})\b[^>]*>", " ")
 
 
-def clean(text: Column) -> Column:
-    """The whole chain; a text that it would blank stays as it was."""
-    out = squeeze(unwrap_question(strip_markup(straight_quotes(text))))
+def strip_markup(text: Column) -> Column:
+    """A page's text: tags gone, entities decoded."""
+    return decode_entities(strip_tags(text))
+
+
+def clean(text: Column, boilerplate: bool = False) -> Column:
+    """The whole chain: entities, question out of its wrapping, tags, on demand instructions, white space. Empty for null."""
+    t = strip_tags(unwrap_question(decode_entities(F.coalesce(text, F.lit("")))))
+    if boilerplate:
+        t = F.regexp_replace(t, f"(?i){'|'.join(BOILERPLATE)}", " ")
+    return squeeze(t)
+
+
+def clean_or_keep(text: Column) -> Column:
+    """As ``clean``, but a text that it would blank stays as it was."""
+    out = clean(text)
     return F.when(out != "", out).otherwise(text)
 
 
@@ -65,12 +99,18 @@ def tokens(text: Column, least: int = 2) -> Column:
 
 
 def is_sentinel(label: Column) -> Column:
+    """Whether a label is empty or stands for a missing answer, anywhere in it or as a whole."""
     return F.coalesce(F.lower(F.trim(label)).rlike(SENTINEL) | (F.trim(label) == ""), F.lit(True))
 
 
+def encoding_label(part: Column) -> Column:
+    """The label of one ``code=label`` or ``code, label``."""
+    return F.trim(F.when(F.contains(part, F.lit("=")), F.regexp_replace(part, "^[^=]*=", "")).when(F.contains(part, F.lit(",")), F.regexp_replace(part, "^[^,]*,", "")).otherwise(part))
+
+
 def strip_sentinels(encoding: Column) -> Column:
     """Entries of ``code=label|..`` whose label stands for a missing answer removed; null where none is left."""
-    parts = F.filter(F.split(encoding, r"\|"), lambda p: ~is_sentinel(F.regexp_replace(p, "^[^=]*=", "")))
+    parts = F.filter(F.transform(F.split(encoding, r"\|"), lambda p: F.trim(p)), lambda p: ~is_sentinel(encoding_label(p)))
     return F.nullif(F.array_join(parts, "|"), F.lit(""))
 
 
@@ -92,5 +132,8 @@ def set_id(keys: Column) -> Column:
     return F.concat(F.lit("c"), F.substring(F.sha1(F.array_join(F.array_sort(keys), "\u001f")), 1, 12))
 
 
-def looks_free_text(data_type: Column, options: Column) -> Column:
-    return F.lower(F.coalesce(data_type, F.lit(""))).rlike("free|open|text|string") & (F.coalesce(options, F.lit("")) == "")
+def looks_free_text(question: Column, label: Column, name: Column, data_type: Column, n_options: Column) -> Column:
+    """Open text: question, label or name say so, or a text type has no options."""
+    said = F.concat_ws(" ", question, label)
+    open_type = F.lower(F.trim(F.coalesce(data_type, F.lit("")))).isin(TEXT_TYPES) & (F.coalesce(n_options, F.lit(0)) == 0)
+    return F.lower(said).rlike(OPEN_TEXT) | F.coalesce(F.lower(name).rlike(OPEN_TEXT), F.lit(False)) | open_type

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as tx
+from fieldloom.runtime import broadcast_if_small, stage
 
 
 def enumerated_families(rows: DataFrame, group: str, label: str, members: int = 8, share: float = 0.7, template: int = 3, slot: int = 3, fraction: float = 0.6) -> DataFrame:
@@ -38,8 +39,12 @@ def wide_to_long_specs(fields: DataFrame, scope: str, name: str, key: str, least
 
 
 def magnets(rows: DataFrame, target: str, least: int = 8) -> DataFrame:
-    """``magnet``: whether a target draws ``least`` or more rows."""
-    return rows.withColumn("magnet", F.count("*").over(Window.partitionBy(target)) >= least)
+    """``magnet``: whether a target draws ``least`` or more rows; false for rows without a target.
+
+    Targets are counted with partial sums and joined back, so none is gathered.
+    """
+    often = rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(target, F.lit(True).alias("magnet"))
+    return rows.join(broadcast_if_small(stage(often, "magnets")), target, "left").withColumn("magnet", F.coalesce("magnet", F.lit(False)))
 
 
 def label_coverage(observed: DataFrame, offered: DataFrame, key: str, label: str) -> DataFrame:

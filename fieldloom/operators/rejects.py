@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.operators.dictionary import detect_roles
 from fieldloom.runtime import broadcast_if_small, fresh
 
 QUOTING, COLUMN_COUNT, INVALID_VALUE, UNKNOWN_FILE = "quoting", "column_count", "invalid_value", "unknown_file"
@@ -164,6 +165,10 @@ def parse_records(lines: DataFrame, files: DataFrame, *, key: str = "line_id", f
     return joined.mapInArrow(run, schema).withColumnsRenamed({"key": key, "file_name": file})
 
 
+#: Kinds of header that ``by_role`` takes.
+HEADERS = 10_000
+
+
 def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where("reason is not null").drop("cells")
 
@@ -173,3 +178,27 @@ def loaded(parsed: DataFrame, columns: list[str]) -> DataFrame:
     keep = [c for c in parsed.columns if c not in ("reason", "failing", "cells")]
     as_column = lambda c: F.col("cells")[c].try_cast("int") if c == "n_codes" else F.col("cells")[c]
     return parsed.where("reason is null").select(*keep, *(as_column(c).alias(c) for c in columns))
+
+
+def by_role(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """The good records with a column for each role that some file has, ``n_codes`` as a number, and all other cells in ``other`` as JSON.
+
+    Roles are found from each header. A file's label stands in for a description that it
+    lacks, and stays in ``other``. No cell is lost.
+    """
+    headers = files.select("delimiter", "header").distinct().limit(HEADERS + 1).collect()
+    if len(headers) > HEADERS:
+        raise ValueError(f"more than {HEADERS} kinds of header")
+    columns: dict[str, list[str]] = {}
+    for r in sorted(headers, key=lambda r: r["header"]):
+        for role, column in detect_roles(r["header"].split(r["delimiter"])).items():
+            if column not in columns.setdefault(role, []):
+                columns[role].append(column)
+    cells = F.col("cells")
+    first = lambda role: F.coalesce(F.lit(None).cast("string"), *(cells[c] for c in columns.get(role, [])))
+    roles = {role: first(role) for role in sorted(columns) if role not in ("field_id", "short_label")}
+    roles["description"] = F.coalesce(first("description"), first("short_label"))
+    used = {c for role in roles for c in columns.get(role, [])} | {"n_codes"}
+    keep = [c for c in parsed.columns if c not in ("reason", "failing", "cells")]
+    other = F.to_json(F.map_filter(cells, lambda k, v: v.isNotNull() & ~k.isin(*sorted(used))))
+    return parsed.where("reason is null").select(*keep, *(c.alias(role) for role, c in roles.items()), cells["n_codes"].try_cast("int").alias("n_codes"), other.alias("other"))

@@ -29,8 +29,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The good records of all files as columns."""
-    return rejects.loaded(_parsed(spark, sf_dir), ["variable_name", "description", "data_type", "units", "value_encoding", "n_codes"])
+    """The good records of all files, every cell: columns by role, the rest as JSON."""
+    return rejects.by_role(_parsed(spark, sf_dir), table(spark, sf_dir, "raw_files"))
 
 
 def queries() -> dict:

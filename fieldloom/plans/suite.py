@@ -52,18 +52,23 @@ def na_cells(spark, d):
     return t.select("row_id", tx.null_if_na(F.col("category")).alias("category"), tx.null_if_na(F.col("units")).alias("units"), tx.first_value(F.col("question_text"), F.col("description"), F.col("variable_name")).alias("shown"))
 
 
-_MARK = r"regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)>', ' ', 'g'), '(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6])\b[^>]*>', ' ', 'g'), '(?i)</?(?:b|i|u|em|strong|span|font|a|sup|sub|small)\b[^>]*>', '', 'g')"
-_ENT = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
-_MARKUP = "'<p>' || replace({0}, ' in ', ' <b>in</b>&nbsp;') || '</p>'"
-
-
-@query(f"""WITH m AS (SELECT row_id, {_ENT.format(_MARK.format(_MARKUP.format('question_text')))} AS t FROM dictionary_fields),
- q AS (SELECT row_id, CASE WHEN regexp_extract(t, '^[^"]{{0,80}}:\\s*"([^"]+\\?)"\\s*$', 1) <> '' THEN regexp_extract(t, '^[^"]{{0,80}}:\\s*"([^"]+\\?)"\\s*$', 1) ELSE t END AS t FROM m)
- SELECT row_id, {_SQ.format('t')} AS cleaned FROM q""")
+_TAG = rf"regexp_replace(regexp_replace({{0}}, '(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)>', ' ', 'g'), '(?i)</?(?:{tx.TAGS})\b[^>]*>', ' ', 'g')"
+_ENT = "{0}"
+for _e, _c in tx.ENTITIES.items():
+    _ENT = f"replace({_ENT}, '{_e}', '{_c if _c != chr(39) else chr(39) * 2}')"
+_PRE, _QUO = (x.replace("'", "''") for x in (tx.PREAMBLE, tx.QUOTED))
+_SENT = f"(regexp_matches(lower(trim({{0}})), '{tx.SENTINEL.replace(chr(39), chr(39) * 2)}') OR trim({{0}}) = '')"
+_LABEL = "trim(CASE WHEN contains({0}, '=') THEN regexp_replace({0}, '^[^=]*=', '') WHEN contains({0}, ',') THEN regexp_replace({0}, '^[^,]*,', '') ELSE {0} END)"
+_MARKUP = "'ACE touchscreen question: \"' || replace(question_text, ' in ', ' <b>in</b>&nbsp;') || '\"<br>Select one &amp; go on'"
+
+
+@query(f"""WITH m AS (SELECT row_id, {_ENT.format(f"CASE WHEN row_id % 3 = 0 THEN coalesce(question_text, '') ELSE coalesce({_MARKUP}, '') END")} AS t FROM dictionary_fields),
+ q AS (SELECT row_id, CASE WHEN regexp_matches(t, '{_PRE}') THEN regexp_extract(t, '{_PRE}', 1) WHEN regexp_matches(t, '{_QUO}') THEN regexp_extract(t, '{_QUO}', 1) ELSE t END AS t FROM m)
+ SELECT row_id, {_SQ.format(_TAG.format('t'))} AS cleaned FROM q""")
 def clean_field_text(spark, d):
     t = table(spark, d, "dictionary_fields")
-    marked = F.concat(F.lit("<p>"), F.replace("question_text", F.lit(" in "), F.lit(" <b>in</b>&nbsp;")), F.lit("</p>"))
-    return t.select("row_id", tx.clean(marked).alias("cleaned"))
+    marked = F.concat(F.lit('ACE touchscreen question: "'), F.replace("question_text", F.lit(" in "), F.lit(" <b>in</b>&nbsp;")), F.lit('"<br>Select one &amp; go on'))
+    return t.select("row_id", tx.clean(F.when(F.col("row_id") % 3 == 0, F.col("question_text")).otherwise(marked)).alias("cleaned"))
 
 
 @query(f"SELECT row_id, list_aggregate({_WORDS.format('variable_name')}, 'string_agg', ' ') AS words, CAST(len({_WORDS.format('variable_name')}) AS INTEGER) AS n_words FROM dictionary_fields")
@@ -87,21 +92,22 @@ def placeholder_replace(spark, d):
 
 
 @query(f"""WITH p AS (SELECT cohort, {_WORDS.format('variable_name')} AS p FROM dictionary_fields),
- n AS (SELECT cohort, count(*) AS n FROM dictionary_fields GROUP BY cohort),
- e AS (SELECT cohort, p, unnest(range(1, least(len(p) - 1, 6) + 1)) AS depth FROM p WHERE len(p) > 1),
- s AS (SELECT e.cohort, depth, list_aggregate(p[1:depth], 'string_agg', '_') AS prefix, count(*) AS c FROM e GROUP BY ALL),
- k AS (SELECT s.*, row_number() OVER (PARTITION BY s.cohort ORDER BY depth DESC, c DESC, prefix) AS k FROM s JOIN n USING (cohort) WHERE c >= greatest(2, floor(n.n * 0.02)) AND length(prefix) >= 1)
- SELECT cohort, prefix, CAST(depth AS INTEGER) AS depth, c AS n_fields FROM k WHERE k = 1""")
+ n AS (SELECT cohort, count(*) AS n, min(coalesce(len(p), 0)) AS least FROM p GROUP BY cohort),
+ e AS (SELECT p.cohort, n, p, unnest(range(1, least + 1)) AS depth FROM p JOIN n USING (cohort)),
+ s AS (SELECT cohort, n, depth, list_aggregate(p[1:depth], 'string_agg', '_') AS prefix, count(*) AS c FROM e GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY depth DESC, c DESC, prefix) AS k FROM s WHERE c >= greatest(2, floor(n * 0.02)))
+ SELECT cohort, prefix, CAST(depth AS INTEGER) AS depth, c AS n_fields FROM k WHERE k = 1 AND length(prefix) >= 1""")
 def common_prefix(spark, d):
     return dx.common_prefix(table(spark, d, "dictionary_fields"), 0.02, 1)
 
 
-@query("SELECT row_id, CASE WHEN row_number() OVER w = 1 THEN variable_name ELSE variable_name || '__' || row_number() OVER w END AS unique_name FROM dictionary_fields WINDOW w AS (PARTITION BY cohort, variable_name ORDER BY ord, row_id)")
+@query("""WITH n AS (SELECT row_id, cohort, variable_name, row_number() OVER (PARTITION BY cohort, variable_name ORDER BY ord, row_id) AS n FROM dictionary_fields), taken AS (SELECT DISTINCT cohort, variable_name FROM dictionary_fields)
+ SELECT n.row_id, CASE WHEN n = 1 THEN n.variable_name WHEN t.cohort IS NULL THEN n.variable_name || '__' || n ELSE n.variable_name || '____' || n END AS unique_name FROM n LEFT JOIN taken t ON n.cohort = t.cohort AND t.variable_name = n.variable_name || '__' || n.n""")
 def disambiguate_names(spark, d):
     return dx.distinct_names(table(spark, d, "dictionary_fields")).select("row_id", "unique_name")
 
 
-@query(f"SELECT row_id, coalesce(contains(lower(description), list_aggregate({_WORDS.format('variable_name')}, 'string_agg', ' ')), false) AS name_in_description FROM dictionary_fields")
+@query("SELECT row_id, coalesce(contains(lower(description), trim(lower(translate(variable_name, '_.-', '   ')))) AND trim(translate(variable_name, '_.-', '   ')) <> '', false) AS name_in_description FROM dictionary_fields")
 def name_dedup(spark, d):
     return table(spark, d, "dictionary_fields").select("row_id", dx.name_in_description(F.col("variable_name"), F.col("description")).alias("name_in_description"))
 
@@ -113,7 +119,7 @@ def embedding_texts(spark, d):
     return table(spark, d, "dictionary_fields").select("row_id", t.alias("embedding_text"), tx.short_hash(t).alias("content_hash"))
 
 
-@query(f"""SELECT row_id, nullif(list_aggregate(list_filter(string_split(value_encoding, '|'), lambda p: NOT (regexp_matches(lower(trim(regexp_replace(p, '^[^=]*=', ''))), '{tx.SENTINEL}') OR trim(regexp_replace(p, '^[^=]*=', '')) = '')), 'string_agg', '|'), '') AS stripped
+@query(f"""SELECT row_id, nullif(list_aggregate(list_filter(list_transform(string_split(value_encoding, '|'), lambda p: trim(p)), lambda p: NOT {_SENT.format(_LABEL.format('p'))}), 'string_agg', '|'), '') AS stripped
  FROM dictionary_fields WHERE value_encoding IS NOT NULL""")
 def strip_sentinels(spark, d):
     t = table(spark, d, "dictionary_fields").where("value_encoding is not null")
@@ -126,15 +132,19 @@ def signatures(spark, d):
     return t.groupBy("signature").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
 
 
-@query("SELECT cohort, 'c' || substr(sha1(list_aggregate(list_sort(list(DISTINCT variable_name)), 'string_agg', chr(31))), 1, 12) AS set_id, substr(sha1(cohort || chr(31) || 'fields'), 1, 12) AS token FROM dictionary_fields WHERE variable_name IS NOT NULL GROUP BY cohort")
+@query("""WITH k AS (SELECT DISTINCT cohort, variable_name AS k, substr(md5(variable_name), 1, 3) AS b FROM dictionary_fields WHERE variable_name IS NOT NULL),
+ s AS (SELECT cohort, b, sha1(string_agg(k, chr(31) ORDER BY k)) AS s FROM k GROUP BY ALL)
+ SELECT cohort, 'c' || substr(sha1(string_agg(s, chr(31) ORDER BY b)), 1, 12) AS set_id, substr(sha1(cohort || chr(31) || 'fields'), 1, 12) AS token FROM s GROUP BY cohort""")
 def content_ids(spark, d):
-    t = table(spark, d, "dictionary_fields").where("variable_name is not null")
-    return t.groupBy("cohort").agg(tx.set_id(F.collect_set("variable_name")).alias("set_id")).select("cohort", "set_id", tx.ordered_id(F.col("cohort"), F.lit("fields")).alias("token"))
+    t = dx.set_digests(table(spark, d, "dictionary_fields"), "cohort", "variable_name")
+    return t.select("cohort", "set_id", tx.ordered_id(F.col("cohort"), F.lit("fields")).alias("token"))
 
 
-@query("SELECT row_id, regexp_matches(lower(coalesce(data_type, '')), 'free|open|text|string') AND coalesce(value_encoding, '') = '' AS free_text FROM dictionary_fields")
+@query(f"""SELECT row_id, regexp_matches(lower(concat_ws(' ', question_text, description)), '{tx.OPEN_TEXT}') OR coalesce(regexp_matches(lower(variable_name), '{tx.OPEN_TEXT}'), false)
+ OR (lower(trim(coalesce(data_type, ''))) IN ({", ".join(f"'{t}'" for t in tx.TEXT_TYPES)}) AND coalesce(n_codes, 0) = 0) AS free_text FROM dictionary_fields""")
 def free_text_flags(spark, d):
-    return table(spark, d, "dictionary_fields").select("row_id", tx.looks_free_text(F.col("data_type"), F.col("value_encoding")).alias("free_text"))
+    free = tx.looks_free_text(F.col("question_text"), F.col("description"), F.col("variable_name"), F.col("data_type"), F.col("n_codes"))
+    return table(spark, d, "dictionary_fields").select("row_id", free.alias("free_text"))
 
 
 # --- roles, lookups, hierarchy ---------------------------------------------------------------------------------------
@@ -143,9 +153,9 @@ def free_text_flags(spark, d):
 def _role_sql() -> str:
     arms = []
     for role, patterns in dx.ROLES.items():
-        parts = ", ".join(f"CASE WHEN contains(c, '{p}') THEN {round(0.9 - 0.1 * i, 1)} + CASE WHEN c = '{p}' THEN 0.1 ELSE 0 END ELSE 0 END" for i, p in enumerate(patterns))
+        parts = ", ".join(f"CASE WHEN contains(c, '{p}') THEN {x} + CASE WHEN c = '{p}' THEN 0.1 ELSE 0 END ELSE 0 END" for p, x in patterns.items())
         arms.append(f"SELECT file_name, column_name, '{role}' AS role, CAST(round(greatest({parts}), 2) AS DOUBLE) AS score FROM cols")
-    return "WITH cols AS (SELECT file_name, column_name, lower(trim(column_name)) AS c FROM (SELECT file_name, unnest(string_split(header, delimiter)) AS column_name FROM raw_files)) SELECT * FROM (" + " UNION ALL ".join(arms) + ") WHERE score > 0"
+    return "WITH cols AS (SELECT file_name, column_name, regexp_replace(lower(trim(column_name)), '[^a-z0-9]+', '_', 'g') AS c FROM (SELECT file_name, unnest(string_split(header, delimiter)) AS column_name FROM raw_files)) SELECT * FROM (" + " UNION ALL ".join(arms) + ") WHERE score > 0"
 
 
 @query(_role_sql())
@@ -175,7 +185,7 @@ def encoding_rollup(spark, d):
     full = t.where("variable_name is not null and category is not null")
     n = t.where("encoding_id is not null").groupBy("encoding_id", "variable_name", "category").agg(F.min("ord").alias("o"))
     n = n.groupBy("encoding_id").agg(F.count("*").alias("n")).where("n <= 400")
-    out = dx.encoding_rollup(full, "encoding_id", "variable_name", "category", "ord", 1_000_000)
+    out = dx.encoding_rollup(full.join(n.select("encoding_id"), "encoding_id", "left_semi"), "encoding_id", "variable_name", "category", "ord", 400)
     return out.drop("n").join(n, "encoding_id").select("encoding_id", "n", "value_encoding")
 
 
@@ -261,18 +271,19 @@ def wrong_code_counts(spark, d):
 
 
 _UNIT_ROWS = ", ".join(f"('{s}', '{f}', '{u}', {x!r}::DOUBLE, {o!r}::DOUBLE)" for s, f, u, x, o in vx.UNITS)
+_UKEY = "regexp_replace(" + "replace(" * len(vx.UNIT_SIGNS) + "lower(trim({0}))" + "".join(f", '{a}', '{b}')" for a, b in vx.UNIT_SIGNS.items()) + r", '[\s.]+', '', 'g')"
 _UNITS = f"u(spelling, family, unit, factor, base_offset) AS (VALUES {_UNIT_ROWS})"
 
 
-@query(f"WITH {_UNITS} SELECT row_id, family, unit AS canonical, factor FROM dictionary_fields f LEFT JOIN u ON lower(trim(f.units)) = u.spelling")
+@query(f"WITH {_UNITS} SELECT row_id, family, unit AS canonical, factor FROM dictionary_fields f LEFT JOIN u ON {_UKEY.format('f.units')} = u.spelling")
 def canonical_units(spark, d):
     return vx.canonical_units(table(spark, d, "dictionary_fields"), "units").select("row_id", "family", "canonical", "factor")
 
 
 @query(f"""WITH {_UNITS}, x AS (SELECT DISTINCT units FROM dictionary_fields WHERE units IS NOT NULL)
- SELECT a.units AS source_unit, b.units AS target_unit, round(ua.factor / ub.factor, 10) AS factor, round((ua.base_offset - ub.base_offset) / ub.factor, 10) AS base_offset,
+ SELECT a.units AS source_unit, b.units AS target_unit, CASE WHEN abs(ua.factor / ub.factor) < 1e6 THEN round(ua.factor / ub.factor, 10) ELSE round(ua.factor / ub.factor, 2) END AS factor, CASE WHEN abs((ua.base_offset - ub.base_offset) / ub.factor) < 1e6 THEN round((ua.base_offset - ub.base_offset) / ub.factor, 10) ELSE round((ua.base_offset - ub.base_offset) / ub.factor, 2) END AS base_offset,
  abs(round(ua.factor / ub.factor, 10) - 1) <= 1e-9 AND abs(round((ua.base_offset - ub.base_offset) / ub.factor, 10)) <= 1e-9 AS identity
- FROM x a JOIN u ua ON lower(trim(a.units)) = ua.spelling JOIN u ub ON ua.family = ub.family JOIN x b ON lower(trim(b.units)) = ub.spelling""")
+ FROM x a JOIN u ua ON {_UKEY.format('a.units')} = ua.spelling JOIN u ub ON ua.family = ub.family JOIN x b ON {_UKEY.format('b.units')} = ub.spelling""")
 def unit_conversions(spark, d):
     x = table(spark, d, "dictionary_fields").where("units is not null").select("units").distinct()
     a, b = vx.canonical_units(x, "units", "a_").where("a_family is not null"), vx.canonical_units(x.withColumnRenamed("units", "target_unit"), "target_unit", "b_").where("b_family is not null")
@@ -345,16 +356,16 @@ def cluster_labels(spark, d):
     return dx.label_words(table(spark, d, "dictionary_fields"), "category", "description")
 
 
-@query("""WITH s AS (SELECT o_orderstatus AS g, trim(regexp_replace(regexp_replace(lower(o_clerk), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g')) AS sig, TRY_CAST(regexp_extract(o_clerk, '([0-9]+)', 1) AS BIGINT) AS num FROM (SELECT o_orderstatus, 'Clerk ' || (o_orderkey % 50) AS o_clerk FROM orders)),
- p AS (SELECT g, sig, count(*) AS n, count(DISTINCT num) AS k, min(num) AS lo, max(num) AS hi FROM s GROUP BY ALL), t AS (SELECT g, count(*) AS total FROM s GROUP BY g)
+@query("""WITH s AS (SELECT o_orderstatus AS g, trim(regexp_replace(regexp_replace(lower(o_clerk), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g')) AS sig, regexp_extract_all(o_clerk, '[0-9]+') AS nums FROM (SELECT o_orderstatus, 'Clerk ' || (o_orderkey % 50) || ' of ' || (o_custkey % 40) AS o_clerk FROM orders)),
+ c AS (SELECT g, sig, count(*) AS n FROM s GROUP BY ALL), v AS (SELECT g, sig, count(DISTINCT num) AS k, min(num) AS lo, max(num) AS hi FROM (SELECT g, sig, TRY_CAST(unnest(nums) AS BIGINT) AS num FROM s) GROUP BY ALL), p AS (SELECT * FROM c JOIN v USING (g, sig)), t AS (SELECT g, count(*) AS total FROM s GROUP BY g)
  SELECT p.g, sig AS signature, round(n / total, 6) AS share, k AS n_numbers, round(k / (hi - lo + 1), 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, sig) AS r FROM p) p JOIN t USING (g) WHERE r = 1 AND contains(sig, '#') AND n / total >= 0.7 AND k >= 4 AND k / (hi - lo + 1) >= 0.5""")
 def positional_families(spark, d):
-    t = table(spark, d, "orders").select(F.col("o_orderstatus").alias("g"), F.concat(F.lit("Clerk "), (F.col("o_orderkey") % 50).cast("string")).alias("label"))
+    t = table(spark, d, "orders").select(F.col("o_orderstatus").alias("g"), F.concat(F.lit("Clerk "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" of "), (F.col("o_custkey") % 40).cast("string")).alias("label"))
     return dx.positional_families(t, "g", "label")
 
 
 @query(f"""{_OPTIONS}, l AS (SELECT d.category, lower(x.label) AS label, min(d.row_id) AS first_row, count(*) AS n FROM (SELECT row_id, unnest(opts) AS x FROM o) q JOIN dictionary_fields d USING (row_id) WHERE d.category IS NOT NULL
- AND NOT (regexp_matches(lower(trim(x.label)), '{tx.SENTINEL}') OR trim(x.label) = '') GROUP BY ALL) SELECT category, label, first_row, n FROM l""")
+ AND NOT {_SENT.format('x.label')} GROUP BY ALL) SELECT category, label, first_row, n FROM l""")
 def observed_labels(spark, d):
     t = table(spark, d, "dictionary_fields").where("value_encoding is not null and category is not null")
     e = t.select("category", "row_id", F.explode(vx.parse_options(F.col("value_encoding"))).alias("o")).where(~tx.is_sentinel(F.col("o.label")))
@@ -419,32 +430,44 @@ _DN = """qv AS (SELECT vec_id AS q, label AS ql, embedding AS qv FROM embeddings
  ds AS (SELECT q, d, ql, dl, round(list_dot_product(qv::DOUBLE[], dv::DOUBLE[]) / (sqrt(list_dot_product(qv::DOUBLE[], qv::DOUBLE[])) * sqrt(list_dot_product(dv::DOUBLE[], dv::DOUBLE[]))), 6) AS score FROM qv JOIN dv ON q <> d)"""
 
 
-def _dense(spark, d):
+def _dense(spark, d, k: int):
     e = table(spark, d, "embeddings")
-    return rx.dense_scores(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("d"), F.col("embedding").alias("dv")))
+    return rx.dense_top(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("d"), F.col("embedding").alias("dv")), k)
 
 
 @query(f"WITH {_DN} SELECT q AS vec_id, d AS neighbour_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM ds) WHERE rank <= 10")
 def dense_topk(spark, d):
-    return rx.top(_dense(spark, d), 10).select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "score", "rank")
+    return _dense(spark, d, 10).select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "score", "rank")
+
+
+_HYB = f"""fv AS (SELECT vec_id AS id, embedding, {_WORDS.format('variable_name')} AS ts FROM field_vectors WHERE embedding IS NOT NULL AND sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) > 0),
+ dsc AS (SELECT a.id AS q, b.id AS d, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM fv a JOIN fv b ON a.id <> b.id WHERE a.id % 100 = 0),
+ tk AS (SELECT id, list_filter(ts, lambda t: length(t) >= 2) AS ts FROM fv), tot AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_len FROM tk),
+ po AS (SELECT d, len, term, count(*) AS tf FROM (SELECT id AS d, len(ts) AS len, unnest(ts) AS term FROM tk) GROUP BY ALL), fr AS (SELECT term, count(*) AS df FROM po GROUP BY term), ask AS (SELECT DISTINCT id AS q, unnest(ts) AS term FROM tk WHERE id % 100 = 0),
+ lsc AS (SELECT q, d, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM ask JOIN fr USING (term) JOIN po USING (term), tot WHERE q <> d GROUP BY q, d),
+ rk AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM dsc UNION ALL SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) FROM lsc),
+ fu AS (SELECT q, d, round(sum(1.0 / (60 + rank)), 6) AS score FROM rk WHERE rank <= 1000 GROUP BY q, d)"""
 
 
-@query(f"""WITH {_DN}, ls AS (SELECT q, d, round(CASE WHEN ql = dl THEN 1.0 ELSE 0.0 END + (q + d) % 7 / 10.0, 6) AS score FROM ds),
- r AS (SELECT q, d, 1.0 / (60 + row_number() OVER (PARTITION BY q ORDER BY score DESC, d)) AS part, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM ds UNION ALL SELECT q, d, 1.0 / (60 + row_number() OVER (PARTITION BY q ORDER BY score DESC, d)), row_number() OVER (PARTITION BY q ORDER BY score DESC, d) FROM ls),
- f AS (SELECT q, d, round(sum(part), 6) AS score FROM r WHERE rank <= 1000 GROUP BY q, d)
- SELECT q AS vec_id, d AS neighbour_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM f) WHERE rank <= 10""")
+def _hybrid(spark, d, k: int):
+    """Vectors of variables and the words of their names, fused by rank."""
+    v = table(spark, d, "field_vectors").where(vx.norm(F.col("embedding")) > 0)
+    asked = v.where("vec_id % 100 = 0")
+    dense = rx.dense_top(asked.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), v.select(F.col("vec_id").alias("d"), F.col("embedding").alias("dv")), rx.POOL)
+    words = F.array_join(tx.words_of_name(F.col("variable_name")), " ").alias("text")
+    lexical = rx.bm25_scores(asked.select(F.col("vec_id").alias("q"), words), v.select(F.col("vec_id").alias("d"), words)).where("q <> d")
+    return rx.fuse(dense, lexical, k)
+
+
+@query(f"WITH {_HYB} SELECT q AS vec_id, d AS neighbour_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM fu) WHERE rank <= 10")
 def hybrid_rrf_topk(spark, d):
-    dense = _dense(spark, d)
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    lexical = dense.join(F.broadcast(e.where("vec_id % 100 = 0").withColumnsRenamed({"vec_id": "q", "label": "ql"})), "q").join(e.withColumnsRenamed({"vec_id": "d", "label": "dl"}), "d")
-    lexical = lexical.select("q", "d", (F.when(F.col("ql") == F.col("dl"), 1.0).otherwise(0.0) + (F.col("q") + F.col("d")) % 7 / 10.0).alias("score"))
-    return rx.fuse(dense, lexical, 10).select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "score", "rank")
+    return _hybrid(spark, d, 10).select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "score", "rank")
 
 
 @query(f"""WITH {_DN}, k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM ds)
  SELECT q AS vec_id, d AS neighbour_id, round(0.7 * score + 0.3 * CASE WHEN ql = dl THEN 1.0 ELSE 0.0 END, 6) AS blended FROM k WHERE rank <= 5 AND round(0.7 * score + 0.3 * CASE WHEN ql = dl THEN 1.0 ELSE 0.0 END, 6) >= 0.3""")
 def value_blend_candidates(spark, d):
-    best = rx.top(_dense(spark, d), 5)
+    best = _dense(spark, d, 5)
     e = table(spark, d, "embeddings").select("vec_id", "label")
     j = best.join(e.withColumnsRenamed({"vec_id": "q", "label": "ql"}), "q").join(e.withColumnsRenamed({"vec_id": "d", "label": "dl"}), "d")
     out = rx.blend(j, F.when(F.col("ql") == F.col("dl"), 1.0).otherwise(0.0), 0.7, 0.3, 0.3)
@@ -455,7 +478,7 @@ def value_blend_candidates(spark, d):
  SELECT q AS vec_id, d AS neighbour_id, round(greatest(0.0, least(1.0, 0.6 * CASE WHEN ql = dl THEN 1.0 ELSE 0.2 END + 0.4 * score)), 6) AS confidence,
  CASE WHEN round(greatest(0.0, least(1.0, 0.6 * CASE WHEN ql = dl THEN 1.0 ELSE 0.2 END + 0.4 * score)), 6) >= 0.9 THEN 'auto_approved' WHEN round(greatest(0.0, least(1.0, 0.6 * CASE WHEN ql = dl THEN 1.0 ELSE 0.2 END + 0.4 * score)), 6) <= 0.3 THEN 'auto_rejected' ELSE 'pending_review' END AS review FROM k WHERE rank = 1""")
 def pairwise_map_triage(spark, d):
-    best = rx.top(_dense(spark, d), 1)
+    best = _dense(spark, d, 1)
     e = table(spark, d, "embeddings").select("vec_id", "label")
     j = best.join(e.withColumnsRenamed({"vec_id": "q", "label": "ql"}), "q").join(e.withColumnsRenamed({"vec_id": "d", "label": "dl"}), "d")
     j = j.withColumn("confidence", F.round(rx.mapping_score(F.when(F.col("ql") == F.col("dl"), 1.0).otherwise(0.2), F.col("score")), 6))
@@ -464,13 +487,13 @@ def pairwise_map_triage(spark, d):
 
 @query(f"WITH {_DN}, k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM ds) SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT d FROM k WHERE rank = 1)")
 def unmapped_targets(spark, d):
-    used = rx.top(_dense(spark, d), 1).select(F.col("d").alias("vec_id"))
+    used = _dense(spark, d, 1).select(F.col("d").alias("vec_id"))
     return table(spark, d, "embeddings").join(used, "vec_id", "left_anti").select("vec_id")
 
 
 @query(f"""WITH {_DN}, k AS (SELECT q, max(score) AS best FROM ds GROUP BY q) SELECT q AS vec_id, best, CASE WHEN best < 0.3 THEN 'novel' WHEN best >= 0.55 THEN 'adopt' ELSE 'refine' END AS verdict, best < 0.7 AS coverage_gap FROM k""")
 def verdict_ladder(spark, d):
-    best = rx.top(_dense(spark, d), 1)
+    best = _dense(spark, d, 1)
     v, gap = gx.verdict(F.col("score"))
     return best.select(F.col("q").alias("vec_id"), F.col("score").alias("best"), v.alias("verdict"), gap.alias("coverage_gap"))
 
@@ -479,7 +502,7 @@ def verdict_ladder(spark, d):
  SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN r <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM m, (SELECT unnest([1, 5, 10, 20, 50, 100]) AS k) GROUP BY k""")
 def recall_at_k(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    s = rx.top(_dense(spark, d), 1_000_000).join(e.withColumnsRenamed({"vec_id": "q", "label": "ql"}), "q").join(e.withColumnsRenamed({"vec_id": "d", "label": "dl"}), "d")
+    s = _dense(spark, d, 100).join(e.withColumnsRenamed({"vec_id": "q", "label": "ql"}), "q").join(e.withColumnsRenamed({"vec_id": "d", "label": "dl"}), "d")
     m = s.groupBy("q").agg(F.min(F.when(F.col("ql") == F.col("dl"), F.col("rank"))).alias("r"))
     ks = m.select("r", F.explode(F.array(*(F.lit(k) for k in (1, 5, 10, 20, 50, 100)))).alias("k"))
     return ks.groupBy("k").agg(F.round(F.avg(F.when(F.col("r") <= F.col("k"), 1.0).otherwise(0.0)), 6).alias("recall"))
@@ -509,15 +532,13 @@ def centroid_outliers(spark, d):
     return gx.representatives(e, c.where("n >= 5"), ["label"], "vec_id", "embedding", 1, True)
 
 
-@query(f"""WITH {_CENT}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cos DESC, vec_id) AS near, row_number() OVER (PARTITION BY label ORDER BY cos, vec_id) AS far FROM tc WHERE n >= 6)
- SELECT label, vec_id, CASE WHEN near = 1 THEN 'medoid' WHEN near <= 6 THEN 'core' ELSE 'edge' END AS part FROM k WHERE near <= 6 OR (near > 6 AND far <= CASE WHEN n < 10 THEN n ELSE least(20, greatest(5, CAST(ceil(n / 5.0) AS BIGINT))) END)""")
+@query(f"""WITH {_CENT}, m AS (SELECT label, arg_max(vec_id, {{'c': cos, 'i': -vec_id}}) AS mid FROM tc WHERE n > 5 GROUP BY label), mv AS (SELECT m.label, v AS mv FROM m JOIN u ON u.vec_id = m.mid),
+ s AS (SELECT tc.label, vec_id, n, round(list_dot_product(v, mv), 6) AS s FROM tc JOIN mv USING (label) JOIN u USING (vec_id)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS near, row_number() OVER (PARTITION BY label ORDER BY s, vec_id DESC) AS far FROM s)
+ SELECT label, vec_id, CASE WHEN near <= 5 THEN 'core' ELSE 'periphery' END AS part, CAST(CASE WHEN near <= 5 THEN near ELSE far END AS INTEGER) AS place FROM k
+ WHERE near <= 5 OR far <= least(n - 5, CASE WHEN n < 10 THEN greatest(1, n - 5) ELSE least(20, greatest(5, (n + 4) // 5)) END)""")
 def dual_sample(spark, d):
-    e, c = _cents(spark, d)
-    t = gx.to_centroid(e, c.where("n >= 6"), ["label"], "embedding")
-    near, far = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("cos"), "vec_id")), F.row_number().over(Window.partitionBy("label").orderBy("cos", "vec_id"))
-    t = t.withColumn("near", near).withColumn("far", far)
-    k2 = F.when(F.col("n") < 10, F.col("n")).otherwise(F.least(F.lit(20), F.greatest(F.lit(5), F.ceil(F.col("n") / 5.0))))
-    return t.where((F.col("near") <= 6) | (F.col("far") <= k2)).select("label", "vec_id", F.when(F.col("near") == 1, "medoid").when(F.col("near") <= 6, "core").otherwise("edge").alias("part"))
+    return gx.dual_sample(table(spark, d, "embeddings"), "label", "vec_id", "embedding", DIM)
 
 
 @query(f"""WITH {_UNIT}, s AS (SELECT label AS g, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM u) GROUP BY label, i), c AS (SELECT g, max(n) AS gn, list(s ORDER BY i) AS gs FROM s GROUP BY g),
@@ -573,12 +594,12 @@ def family_collapse(spark, d):
     return gx.collapse_families(r, "target", "variable_name", "score", "n").select("target", "variable_name", "row_id", "n", "score", "collapsed")
 
 
-@query(f"""WITH {_DN}, k AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank, dl FROM ds), b AS (SELECT q, dl, min(rank) AS best FROM k GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY best) AS gr FROM b),
- m AS (SELECT k.*, g.gr, row_number() OVER (PARTITION BY k.q, k.dl ORDER BY rank) AS inside FROM k JOIN g USING (q, dl) WHERE gr <= 3)
+@query(f"""WITH {_DN}, k AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank, dl FROM ds), b AS (SELECT q, dl, min(rank) AS best FROM k WHERE rank <= 1000 GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY best) AS gr FROM b),
+ m AS (SELECT k.*, g.gr, row_number() OVER (PARTITION BY k.q, k.dl ORDER BY rank) AS inside FROM k JOIN g USING (q, dl) WHERE gr <= 3 AND rank <= 1000)
  SELECT q AS vec_id, d AS neighbour_id, CAST(gr AS INTEGER) AS group_rank, CAST(inside AS INTEGER) AS inside FROM m WHERE inside <= 4""")
 def group_diverse_topk(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("d"), F.col("label").alias("dl"))
-    k = rx.top(_dense(spark, d), 1_000_000).join(e, "d")
+    k = _dense(spark, d, rx.POOL).join(e, "d")
     best = k.groupBy("q", "dl").agg(F.min("rank").alias("best")).withColumn("group_rank", F.row_number().over(Window.partitionBy("q").orderBy("best"))).where("group_rank <= 3")
     m = k.join(best, ["q", "dl"]).withColumn("inside", F.row_number().over(Window.partitionBy("q", "dl").orderBy("rank"))).where("inside <= 4")
     return m.select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "group_rank", "inside")
@@ -600,7 +621,7 @@ def wide_to_long_specs(spark, d):
     return fx.wide_to_long_specs(table(spark, d, "dictionary_fields"), "cohort", "variable_name", "row_id", 2)
 
 
-@query("SELECT row_id, count(*) OVER (PARTITION BY encoding_id) >= 8 AS magnet FROM dictionary_fields")
+@query("SELECT row_id, encoding_id IS NOT NULL AND count(*) OVER (PARTITION BY encoding_id) >= 8 AS magnet FROM dictionary_fields")
 def magnet_flags(spark, d):
     return fx.magnets(table(spark, d, "dictionary_fields").select("row_id", "encoding_id"), "encoding_id").select("row_id", "magnet")
 

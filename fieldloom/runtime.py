@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast after it was counted.
 BROADCAST_ROWS = 200_000
+#: Bytes of it, in memory.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="fieldloom-")
     sc.setCheckpointDir("file://" + own)
     return "file://" + own
@@ -77,11 +81,20 @@ def unstage(df: DataFrame) -> None:
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df``, counted now, has at most ``rows`` rows; else ``df`` for a shuffled join.
+    """A broadcast hint if ``df``, measured now, has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes; else ``df`` for a shuffled join.
 
-    Give it a staged or otherwise cheap table: the count is an action.
+    A staged table is measured by its files (compressed, so a quarter of the bound
+    counts). Give it a staged or otherwise cheap table: the count is an action.
     """
+    path = getattr(df, "_fieldloom_path", None)
+    if path and size_of(df.sparkSession, path) > BROADCAST_BYTES // 4:
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as tx
-from fieldloom.operators.dictionary import ROLES
+from fieldloom.operators.dictionary import ROLES, detect_roles
 
 
 def delimiter_of(path: str, head: str) -> str:
@@ -22,22 +22,6 @@ def delimiter_of(path: str, head: str) -> str:
     return best if any(best in x for x in lines) else ","
 
 
-def detect_roles(columns: list[str], hints: dict[str, str] | None = None) -> dict[str, str]:
-    """Role to column: hints first, then the best scored pair of a free role and column, and so on."""
-    taken = dict(hints or {})
-    scored = []
-    for at, column in enumerate(columns):
-        name = column.strip().lower().replace(" ", "_")
-        for role, patterns in ROLES.items():
-            score = max((0.9 - 0.1 * i + (0.1 if name == p else 0.0) for i, p in enumerate(patterns) if p in name), default=0.0)
-            if score > 0:
-                scored.append((-score, at, role, column))
-    for _, _, role, column in sorted(scored):
-        if role not in taken and column not in taken.values():
-            taken[role] = column
-    return taken
-
-
 def read_dictionary(spark: SparkSession, path: str, cohort: str, roles: dict[str, str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """One row per variable: cohort, ord, the role columns, and a map of all other columns.
 
@@ -50,7 +34,7 @@ def read_dictionary(spark: SparkSession, path: str, cohort: str, roles: dict[str
     raw = spark.read.options(header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE").csv(path)
     raw = raw.toDF(*(c.strip().lstrip("﻿") for c in raw.columns))
     found = detect_roles(raw.columns, roles)
-    if not {"variable_name", "description"} & set(found):
+    if not {"variable_name", "description", "short_label", "question_text"} & set(found):
         raise ValueError(f"no column of {path} names or describes its variables: {raw.columns}")
     missing = [c for c in (roles or {}).values() if c not in raw.columns]
     if missing:
@@ -58,7 +42,10 @@ def read_dictionary(spark: SparkSession, path: str, cohort: str, roles: dict[str
     cell = lambda c: tx.null_if_na(F.col(f"`{c}`"))
     rest = [c for c in raw.columns if c not in found.values()]
     other = F.map_filter(F.map_from_arrays(F.array(*(F.lit(c) for c in rest)), F.array(*(cell(c) for c in rest))), lambda _, v: v.isNotNull()) if rest else F.lit(None).cast("map<string,string>")
-    cols = [(cell(found[r]) if r in found else F.lit(None).cast("string")).alias(r) for r in ROLES]
+    cell_of = {r: cell(found[r]) if r in found else F.lit(None).cast("string") for r in ROLES}
+    # A label stands in for a description that the file has no column for.
+    cell_of["description"] = F.coalesce(cell_of["description"], cell_of["short_label"])
+    cols = [c.alias(r) for r, c in cell_of.items()]
     return raw.select(F.lit(cohort).alias("cohort"), F.monotonically_increasing_id().alias("ord"), *cols, other.alias("metadata"))
 
 

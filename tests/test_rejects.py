@@ -89,3 +89,13 @@ def test_blocks_match_brute_force(records):
             assert why[i] == "column_count"
         else:
             assert why[i] is None and [cells[n][i] for n in names] == want
+
+
+def test_all_cells_by_role(spark):
+    files = spark.createDataFrame([("a", ",", "variable_name,form_name,field_label,field_type,value_encoding,n_codes"), ("b", ";", "variable_name;description;codelist_name;n_codes")], "file_name string, delimiter string, header string")
+    lines = spark.createDataFrame([(1, "a", "x,F,Label,radio,1=Yes|2=No,2"), (2, "b", "y;Text;L;"), (3, "b", "y;;;"), (4, "b", "1y;;;")], "line_id long, file_name string, raw_line string")
+    got = {r.line_id: r for r in rj.by_role(rj.parse_records(lines, files), files).collect()}
+    assert sorted(got) == [1, 2, 3]
+    a, b, c = got[1], got[2], got[3]
+    assert (a.variable_name, a.category, a.description, a.data_type, a.value_encoding, a.n_codes, a.other) == ("x", "F", "Label", "radio", "1=Yes|2=No", 2, '{"field_label":"Label"}')
+    assert (b.description, b.n_codes) == ("Text", None) and "L" in (b.value_encoding or "") + b.other and (c.description, c.other) == (None, "{}")

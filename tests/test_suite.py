@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from fieldloom.plans import problems, suite
+from fieldloom.plans import problems, stages, suite
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -29,17 +29,20 @@ def plain(v):
     return repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(suite.SQL))
+SQL, QUERIES = suite.SQL | stages.SQL, suite.QUERIES | stages.QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
-    df = suite.QUERIES[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
-    rel = con.sql(suite.SQL[name])
+    rel = con.sql(SQL[name])
     at = [list(rel.columns).index(c) for c in cols]
     assert sorted(rel.columns) == cols
     got = sorted(tuple(map(plain, r)) for r in df.select(*cols).collect())
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(suite.QUERIES) - set(suite.SQL)) + sorted(problems.queries()))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)) + sorted(problems.queries()))
 def test_runs(spark, name):
-    assert {**suite.QUERIES, **problems.queries()}[name](spark, DIR).count() > 0
+    assert {**QUERIES, **problems.queries()}[name](spark, DIR).count() > 0
