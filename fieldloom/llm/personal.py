@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.words import DIGIT, EDGE, LETTER, LINE, SIGN, TABLES, Texts, word_hash
 from fieldloom.runtime import stage
 
 #: Texts that the field is trained on.
@@ -109,52 +110,8 @@ _DATE = re.compile(r"9999-99-99|9{1,2}[./]9{1,2}[./]9{4}")
 KINDS = "manw"
 #: Context features, then those of the unit itself, the first of which is its identity.
 AROUND, OWN = 11, 13
-_PRIME = np.uint64(0x100000001B3)
-_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-_GAP_, _LETTER, _DIGIT_, _SIGN, _LINE, _EDGE = range(6)
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each character up to 0xFFFF: its class, its small spelling, whether it is a capital. Others count as signs."""
-    kind, small, big = np.full(1 << 16, _SIGN, np.uint8), np.arange(1 << 16, dtype=np.uint64), np.zeros(1 << 16, bool)
-    for o in range(1 << 16):
-        c = chr(o)
-        if c.isalpha():
-            kind[o], big[o] = _LETTER, c.isupper() or c.istitle()
-            if len(c.lower()) == 1:
-                small[o] = ord(c.lower())
-        elif c.isdecimal() or c.isnumeric():
-            kind[o] = _DIGIT_
-        elif c.isspace() or c == "_":
-            kind[o] = _GAP_
-    kind[10], kind[0] = _LINE, _EDGE
-    return kind, small, big
-
-
-_TABLES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_PRIME, _INVERSE)):
-            x = np.full(max(n, 1 << 16), base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def _word_hash(word: str) -> int:
-    """What ``Texts`` gives a token, from its small spelling."""
-    out, power = 0, 1
-    for c in word.lower():
-        out = (out + (ord(c) + 1) * power) & 0xFFFFFFFFFFFFFFFF
-        power = (power * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return out
-
-
 def _hashes(words) -> np.ndarray:
-    return np.sort(np.array([_word_hash(w) for w in words], np.uint64))
+    return np.sort(np.array([word_hash(w) for w in words], np.uint64))
 
 
 def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -162,7 +119,7 @@ def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 _H = {"titles": _hashes(_TITLES), "particles": _hashes(_PARTICLES), "Streets": _hashes(w for w in _STREET_WORDS if w[0].isupper()), "streets": _hashes(w for w in _STREET_WORDS if w[0].islower()), "extension": _hashes(_EXTENSION), "given": _hashes(GIVEN)}
-_DOT_, _COMMA_, _DASH, _STOPS = np.uint64(_word_hash(".")), np.uint64(_word_hash(",")), np.uint64(_word_hash("-")), _hashes(".?!")
+_DOT_, _COMMA_, _DASH, _STOPS = np.uint64(word_hash(".")), np.uint64(word_hash(",")), np.uint64(word_hash("-")), _hashes(".?!")
 
 
 def _feature(template: int, *h: np.ndarray) -> np.ndarray:
@@ -174,44 +131,6 @@ def _feature(template: int, *h: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - 18)).astype(np.int32)
 
 
-class Texts:
-    """Texts joined by a zero character, with tokens: runs of letters (over - and '), of digits, single signs, line ends."""
-
-    def __init__(self, texts: list[str | None]):
-        self.text = "\0" + "\0".join("" if t is None else t.replace("\0", " ") for t in texts) + "\0"
-        if not _TABLES:
-            _TABLES.append(_tables())
-        kinds, small, big = _TABLES[0]
-        code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.minimum(code, 0xFFFF)
-        kind = kinds[code]
-        joins = np.nonzero((code == 45) | (code == 39) | (code == 0x2019))[0]
-        joins = joins[(kind[joins - 1] == _LETTER) & (kind[joins + 1] == _LETTER)]
-        kind[joins] = _LETTER
-        first = kind != _GAP_
-        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] >= _SIGN)
-        ends = kind != _GAP_
-        ends[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] >= _SIGN)
-        self.start, self.end = np.nonzero(first)[0], np.nonzero(ends)[0] + 1
-        self.kind, self.code = kind[self.start], code
-        power, self.inverse = _powers(len(code))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((small[code] + np.uint64(1)) * power)])
-        self.capitals = np.concatenate([[0], np.cumsum(big[code])])
-        self.joins = np.zeros(len(code) + 1, np.int64)
-        self.joins[joins + 1] = 1
-        self.joins = np.cumsum(self.joins)
-        self.hash = self.span(self.start, self.end)
-        self.big = big[code[self.start]]
-        self.edge = np.nonzero(code == 0)[0]  # before text d is edge d
-
-    def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of the small spelling of characters a to b."""
-        return (self.sums[b] - self.sums[a]) * self.inverse[np.minimum(a, len(self.inverse) - 1)]
-
-    def doc(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edge, at, "right") - 1
-
-
 @dataclass
 class Units:
     """Nodes of some texts: doc, place in the joined text, kind (place in KINDS), label where a context tells it (-1: it doesn't)."""
@@ -247,10 +166,10 @@ def _spans(t: Texts) -> list[tuple[int, int, int]]:
     """What is written like a mail address, a street address or a long number; earlier kinds win where two overlap."""
     text, mails, streets, numbers = t.text, _mails(t.text), [], []
     signs = np.where(t.big, _in(t.hash, _H["Streets"]), _in(t.hash, _H["streets"]))
-    ends = np.nonzero(t.big & (t.end - t.start > 4) & ~signs & (t.kind == _LETTER))[0]
+    ends = np.nonzero(t.big & (t.end - t.start > 4) & ~signs & (t.kind == LETTER))[0]
     for end in _STREET_ENDS:
-        signs[ends] |= (t.end[ends] - t.start[ends] > len(end)) & (t.span(t.end[ends] - len(end), t.end[ends]) == np.uint64(_word_hash(end)))
-    digit = np.concatenate([[0], np.cumsum(t.kind == _DIGIT_)])
+        signs[ends] |= (t.end[ends] - t.start[ends] > len(end)) & (t.span(t.end[ends] - len(end), t.end[ends]) == np.uint64(word_hash(end)))
+    digit = np.concatenate([[0], np.cumsum(t.kind == DIGIT)])
     at = np.nonzero(signs)[0]
     near = digit[np.minimum(at + 16, len(t.start))] > digit[np.maximum(at - 12, 0)]
     last = 0
@@ -282,7 +201,7 @@ def _spans(t: Texts) -> list[tuple[int, int, int]]:
     for i in np.nonzero(_in(t.hash, _H["extension"]))[0]:
         for j in range(i + 1, min(i + 3, len(t.start))):
             s, e = int(t.start[j]), int(t.end[j])
-            if t.kind[j] == _DIGIT_ and 3 <= e - s < 6 and (j == i + 1 or t.hash[j - 1] == _DOT_) and not text[s - 1] == "_" and not re.match(r"[\w@]|[.-]\w", text[e : e + 2]):
+            if t.kind[j] == DIGIT and 3 <= e - s < 6 and (j == i + 1 or t.hash[j - 1] == _DOT_) and not text[s - 1] == "_" and not re.match(r"[\w@]|[.-]\w", text[e : e + 2]):
                 numbers.append((s, e, 2))
     out: list[tuple[int, int, int]] = []
     for part in (mails, streets, sorted(numbers)):
@@ -301,10 +220,10 @@ def units(texts: list[str | None], lower: tuple[np.ndarray, np.ndarray], learn:
     spans = _spans(t)
     sp = np.array(spans, np.int64).reshape(-1, 3)
     # Words: capitalised, of two letters or more, not part of an address or of a code.
-    w = np.nonzero((t.kind == _LETTER) & t.big & (t.end - t.start > 1))[0]
+    w = np.nonzero((t.kind == LETTER) & t.big & (t.end - t.start > 1))[0]
     before, behind = t.code[t.start[w] - 1], t.code[t.end[w]]
-    kinds = _TABLES[0][0]
-    keep = (kinds[before] != _DIGIT_) & (kinds[behind] != _DIGIT_) & ~np.isin(before, [64, 46, 43, 45, 95]) & ~np.isin(behind, [64, 95]) & ~_in(t.hash[w], _H["titles"])
+    kinds = TABLES[0][0]
+    keep = (kinds[before] != DIGIT) & (kinds[behind] != DIGIT) & ~np.isin(before, [64, 46, 43, 45, 95]) & ~np.isin(behind, [64, 95]) & ~_in(t.hash[w], _H["titles"])
     if len(sp):
         at = np.minimum(np.searchsorted(sp[:, 1], t.start[w], "right"), len(sp) - 1)
         keep &= ~((sp[at, 0] < t.end[w]) & (sp[at, 1] > t.start[w]))
@@ -318,25 +237,25 @@ def units(texts: list[str | None], lower: tuple[np.ndarray, np.ndarray], learn:
     n, word = len(start), kind == 3
     # Initials and particles belong to a name: what stands before them is its context.
     particle = _in(t.hash, _H["particles"]) & ~t.big
-    single = t.big & (t.end - t.start == 1) & (t.kind == _LETTER)
+    single = t.big & (t.end - t.start == 1) & (t.kind == LETTER)
     b, lead = i - 1, np.zeros(n, np.int64)
     for _ in range(6):
         back = np.where(word & particle[b], 1, np.where(word & (t.hash[b] == _DOT_) & single[np.maximum(b - 1, 0)], 2, 0))
         if not back.any():
             break
         b, lead = b - back, lead + (back > 0)
-    edge = t.kind == _EDGE
+    edge = t.kind == EDGE
     p1 = t.hash[b]
     p2 = np.where(edge[b], p1, t.hash[np.maximum(b - 1, 0)])
     n1 = t.hash[j]
     n2 = np.where(edge[j], n1, t.hash[np.minimum(j + 1, len(t.hash) - 1)])
     dotted = (p1 == _DOT_) & _in(p2, _H["titles"])
-    titled = word & (dotted | (_in(p1, _H["titles"]) & (t.kind[b] == _LETTER)))
+    titled = word & (dotted | (_in(p1, _H["titles"]) & (t.kind[b] == LETTER)))
     p1 = np.where(dotted, p2 ^ np.uint64(0x5555), p1)
-    opens = edge[b] | (t.kind[b] == _LINE) | ((t.hash[b] == _DASH) & ~(t.kind[np.maximum(b - 1, 0)] <= _SIGN))
-    closes = edge[j] | (t.kind[j] == _LINE)
+    opens = edge[b] | (t.kind[b] == LINE) | ((t.hash[b] == _DASH) & ~(t.kind[np.maximum(b - 1, 0)] <= SIGN))
+    closes = edge[j] | (t.kind[j] == LINE)
     blank = t.code[np.minimum(end, len(t.code) - 1)] == 32
-    flags = [titled, opens, closes, opens | _in(t.hash[b], _STOPS), t.big[j] & blank & (t.kind[j] == _LETTER), lead > 0]
+    flags = [titled, opens, closes, opens | _in(t.hash[b], _STOPS), t.big[j] & blank & (t.kind[j] == LETTER), lead > 0]
     h = t.span(start, end)
     doc = t.doc(start)
     length = np.minimum(end - start, 12)
@@ -367,7 +286,7 @@ def units(texts: list[str | None], lower: tuple[np.ndarray, np.ndarray], learn:
     numbers = np.nonzero(kind == 2)[0]
     if len(numbers):
         written = [t.text[start[x] : end[x]] for x in numbers]
-        own = np.array([[_word_hash(z) for z in (m, re.sub("[^9A]", "", m), m[:3], str(m.count("9")), w2[:2])] for w2, m in zip(written, map(_mask, written), strict=True)], np.uint64)
+        own = np.array([[word_hash(z) for z in (m, re.sub("[^9A]", "", m), m[:3], str(m.count("9")), w2[:2])] for w2, m in zip(written, map(_mask, written), strict=True)], np.uint64)
         for f in range(5):
             feats[numbers, AROUND + f] = _feature(50 + f, own[:, f])
     # Edges: neighbours over blanks, initials and particles, or over a comma; then repeated and alike words of a text.
@@ -592,7 +511,7 @@ def small_words(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray
             for s in range(0, batch.num_rows, TEXTS):
                 t = Texts(batch.column(0).slice(s, TEXTS).to_pylist())
                 size = t.end - t.start
-                use = (t.kind == _LETTER) & (size > 1) & (size < 25)
+                use = (t.kind == LETTER) & (size > 1) & (size < 25)
                 spans = np.array(_mails(t.text), np.int64).reshape(-1, 3)
                 if len(spans):
                     at = np.minimum(np.searchsorted(spans[:, 1], t.start, "right"), len(spans) - 1)

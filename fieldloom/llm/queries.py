@@ -52,7 +52,7 @@ def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    return {r["container_kind"]: r["capacity_tokens"] for r in table(spark, sf_dir, "container_sizes").limit(100).collect()}
+    return {r["container_kind"]: r["capacity_tokens"] for r in table(spark, sf_dir, "container_sizes").collect()}
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

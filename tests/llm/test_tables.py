@@ -55,6 +55,40 @@ def test_packing_holds_every_token(spark):
     assert pk.pack(df.limit(0), kinds).count() == 0
 
 
+def test_windows_hold_neighbours(spark, monkeypatch):
+    """Texts of one topic share windows, across many shards and rounds; chance would give a tenth."""
+    monkeypatch.setattr(pk, "SHARD_ROWS", 150)
+    rng = np.random.default_rng(7)
+    topics = [[f"{chr(97 + t)}{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(60)] for t in range(10)]
+    common = [f"zz{chr(97 + i)}" for i in range(20)]
+    topic = {i: int(rng.integers(10)) for i in range(1200)}
+    rows = [(i, " ".join([*rng.choice(topics[t], int(rng.integers(8, 30))), *rng.choice(common, 8)])) for i, t in topic.items()]
+    out = pk.pack(spark.createDataFrame(rows, "doc_id long, text string"), {"s": 512}).collect()
+    windows = {}
+    for r in out:
+        windows.setdefault(r.container, []).append(topic[r.id])
+    pairs = [(w[0], x) for w in windows.values() for x in w[1:]]
+    assert len(out) == 1200 and sum(a == b for a, b in pairs) / len(pairs) > 0.5
+
+
+def test_index_scores_are_bm25():
+    """The nearest text that fits follows the seed."""
+    words = [np.array(w, np.int32) for w in ([1, 2, 3], [1, 9], [2, 3, 4], [7], [])]
+    counts = [np.ones(len(w), np.int32) for w in words]
+    df = np.zeros(pk.BUCKETS, np.int32)
+    df[[1, 2, 3, 4, 7, 9]] = 2
+    assert pk.fill(np.array([60, 30, 30, 10, 10]), words, counts, pk._idf(df, 1000), 100)[0] == [0, 2, 4]
+    assert pk.fill(np.zeros(0, int), [], [], pk._idf(df, 1000), 100) == []
+
+
+def test_texts_count_once(spark):
+    """A text longer than every capacity counts once in the frequencies."""
+    df = spark.createDataFrame([(1, "alpha " * 3000 + "beta"), (2, "beta gamma"), (3, "gamma")], "doc_id long, text string")
+    n, corpus = pk.frequencies(pk.parts(df, [64, 256], "doc_id", "text", tk.VOCABULARY))
+    at = {w: int(pk._words([w])[0][0][0]) for w in ("alpha", "beta", "gamma")}
+    assert corpus == 3 and [n[at[w]] for w in ("alpha", "beta", "gamma")] == [1, 2, 2]
+
+
 def test_mixing_reaches_shares(spark):
     rng = np.random.default_rng(3)
     rows = [(i, ["a", "b", "c"][int(rng.choice(3, p=[0.8, 0.17, 0.03]))], int(rng.integers(1, 400))) for i in range(3000)] + [(9000, None, 5), (9001, "a", 0), (9002, "zz", 7)]

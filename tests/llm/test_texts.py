@@ -83,11 +83,11 @@ def test_names_in_addresses_are_not_small_words(spark):
     rows = [(i, f"Call Nora{' Panel and panel' * (i % 2)}, nora.berg@clinic.example or nora.berg (at) clinic.example, see panel {i}") for i in range(60)]
     few, many = (ps.small_words(spark.createDataFrame(rows * n, "doc_id long, text string"), "text") for n in (1, 10))
     few, many = (dict(zip(h.tolist(), x.round(9).tolist(), strict=True)) for h, x in (few, many))
-    assert few == many and ps._word_hash("nora") not in few and few[ps._word_hash("panel")] == 0.75
+    assert few == many and ps.word_hash("nora") not in few and few[ps.word_hash("panel")] == 0.75
 
 
 def shares(**words):
-    h = np.array([ps._word_hash(w) for w in words], np.uint64)
+    h = np.array([ps.word_hash(w) for w in words], np.uint64)
     return np.sort(h), np.array(list(words.values()))[np.argsort(h)]
 
 
@@ -101,13 +101,13 @@ def test_common_words_are_units():
 def test_tokens_of_joined_texts(texts):
     """Tokens, places and hashes are those of each text alone."""
     t = ps.Texts(texts)
-    got = [(int(d), t.text[a:b], int(h)) for d, a, b, h, k in zip(t.doc(t.start), t.start, t.end, t.hash, t.kind, strict=True) if k != ps._EDGE]
+    got = [(int(d), t.text[a:b], int(h)) for d, a, b, h, k in zip(t.doc(t.start), t.start, t.end, t.hash, t.kind, strict=True) if k != ps.EDGE]
     want = []
     for d, x in enumerate(texts):
         for m in re.finditer(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+|\n|[^\w\s]", (x or "").replace("\0", " ").replace("𝒜", "*")):
             want.append((d, m[0]))
     assert [(d, x.replace("𝒜", "*")) for d, x, _ in got] == want
-    assert all(h == ps._word_hash(x) for _, x, h in got if "𝒜" not in x and len(x.lower()) == len(x))
+    assert all(h == ps.word_hash(x) for _, x, h in got if "𝒜" not in x and len(x.lower()) == len(x))
 
 
 def test_edges_of_a_text():
