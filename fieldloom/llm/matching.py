@@ -1,14 +1,22 @@
 """Matching rows of several dictionaries that share no key.
 
-Attributes are read from a row's variable name and description: instrument (full,
-shortened, as consonants, or with a slip), measure code, period and item number. A
-cascade of exact joins then gives every row its instrument, from full evidence to
-weaker combinations; each pass takes only rows that no earlier one resolved. Periods
-that a row leaves unsaid come from its item number where that decides. Rows match when
-instrument and measure agree and nothing said contradicts.
-
-Each rule's precision is measured on rows whose instrument is known in full, with
-smoothing, and is the confidence of what the rule resolved.
+Attributes are read from a row's variable name and description. Nothing is known of the
+instruments beforehand: a word of descriptions is the name of one when the first part of
+variable names abbreviates it (its beginning, its consonants, or itself) again and
+again; a word one letter off a far more frequent one is a slip. Measure codes are the
+second parts of names with delimiters, and cut names without them. Periods are read from
+names and descriptions by a table of codes and wordings, which is a parameter.
+
+A cascade of exact joins then gives every row its instrument, from full evidence to
+weaker combinations; each pass takes only rows that no earlier one resolved. Rows that
+name no instrument at all are joined by their whole name, then by their whole text.
+Periods that a row leaves unsaid come from its item number where that decides. Rows match
+when instrument and measure agree and nothing said contradicts.
+
+Each rule's precision is measured on rows whose instrument is known in full: of the pairs
+of different rows that the rule's join makes between them, the share with the same
+instrument, with smoothing. It is the confidence of what the rule resolved. Units and
+numbers of codes that differ take a part of it away.
 """
 
 from __future__ import annotations
@@ -21,9 +29,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.runtime import stage
+from fieldloom.runtime import broadcast_if_small, stage
 
-#: Period codes of variable names and the wordings of descriptions.
+#: Period codes of variable names and the wordings of descriptions: the default of a parameter.
 PERIODS = {
     "bl": ("at baseline", "at study entry"),
     "f1": ("at the first follow-up", "at follow-up one"),
@@ -34,85 +42,139 @@ PERIODS = {
     "ch": ("in childhood", "when the person was a child"),
     "bp": ("before pregnancy", "prior to being pregnant"),
 }
-_EXACT = re.compile("|".join(rf"(?P<{k}{i}>\b{re.escape(w)}\b)" for k, ws in PERIODS.items() for i, w in enumerate(ws)))
-_SLIPS = [(k, regex.compile(rf"\b(?:{regex.escape(w)}){{1<=e<=2}}(?![\w])")) for k, ws in PERIODS.items() for w in ws if len(w) > 8]
-_C, _V = "bcdfghjklmnpqrstvwxyz", "aeiou"
-_FULL = re.compile(rf"(?:[{_C}][{_V}]){{4}}[{_C}]")
-_SIX = re.compile(rf"(?:[{_C}][{_V}]){{3}}\.")
-#: Where descriptions name their instrument.
-_PLACES = [re.compile(p) for p in (r"^\w{3,5} \w{2,4} (\S+?)(?: \w+)?: ", r" as \w+ \w+ (\S+)", r"\(([a-z]+\.?)(?: \w+)?(?:, [^)]*)?\)$", r"^([a-z]+\.?)(?: \w+)? \w+ \d+ - ", r"^([a-z]+\.?)(?: \w+)?: ")]
-_ANYWHERE = re.compile(rf"\b(?:(?:[{_C}][{_V}]){{4}}[{_C}]\b|(?:[{_C}][{_V}]){{3}}\.)")
-_ITEM = re.compile(r"\b\w{3,5} (\d+) - ")
-_SPLIT = re.compile(r"[._]")
-
-
-def parse_name(name: str, codes: frozenset[str]) -> tuple[str | None, str | None, str | None, str | None]:
-    """(instrument part, measure, period, item) of a variable name; nulls for what it doesn't say."""
-    v = name.strip().lower()
-    if _SPLIT.search(v):
-        t = [x for x in _SPLIT.split(v) if x]
-        if len(t) < 2:
-            return None, None, None, None
-        period = next((x for x in t[2:] if x in PERIODS), None)
-        return t[0], t[1], period, next((x for x in t[2:] if x.isdigit()), None)
-    best = None
-    m = re.match(r"v\d+", v)
-    for k in [m.end()] if m else [4, 5, 9]:
-        if len(v) <= k or not (m or v[:k].isalpha()):
+#: Rows in which names must abbreviate a word for it to be an instrument, and how much oftener a word is than its slips.
+EVIDENCE, SLIP = 2, 4
+#: Share of the rows with a word whose names must abbreviate it.
+SHARE = 0.5
+#: What is left of a confidence when units or numbers of codes differ.
+DIFFERS = 0.9
+_V = "aeiou"
+_WORD = re.compile(r"[^\W\d_]{4,}\.?")
+_PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+\d*|[A-Z]+\d*|\d+")
+_DELIMITED = re.compile(r"[._\- ]")
+_ITEM = re.compile(r"\b(?:item|question|no\.?|nr\.?|frage|élément|ítem|pregunta|\w{3,5}) (\d+)\b(?= - |\s*$|:)", re.I)
+
+
+class Periods:
+    """A table of period codes and wordings, and texts read by it."""
+
+    def __init__(self, table: dict[str, tuple[str, ...]]):
+        self.table = table
+        self.exact = re.compile("|".join(rf"(?P<{k}_{i}>\b{re.escape(w)}\b)" for k, ws in table.items() for i, w in enumerate(ws)) or r"(?!)")
+        self.slips = [(k, regex.compile(rf"\b(?:{regex.escape(w)}){{1<=e<=2}}(?![\w])")) for k, ws in table.items() for w in ws if len(w) > 8]
+        self.ending = re.compile(rf"^(.*?)({'|'.join(map(re.escape, table)) or '(?!)'})?(\d*)$")
+
+    def said(self, text: str | None) -> str | None:
+        """The one period of a text; none where it says none or several."""
+        if not text:
+            return None
+        s = text.lower()
+        found = {m.lastgroup.rsplit("_", 1)[0] for m in self.exact.finditer(s)}
+        if not found:
+            found = {k for k, p in self.slips if p.search(s)}
+        return found.pop() if len(found) == 1 else None
+
+    def without(self, text: str) -> str:
+        return self.exact.sub(" ", text.lower())
+
+
+def consonants(word: str) -> str:
+    return re.sub(f"[{_V}]", "", word)
+
+
+def abbreviates(part: str, word: str) -> bool:
+    """Whether a part of a variable name can stand for ``word``: itself, its beginning, or the beginning of its consonants."""
+    return len(part) >= 4 and part.isalpha() and (word.startswith(part) or (len(part) >= 5 and consonants(word).startswith(part)))
+
+
+def _capital_parts(name: str, periods: Periods) -> list[str]:
+    """Parts of a name by its capitals. The last may be a period with an item number, or a code with one; a leading v keeps its digits."""
+    found = [x.lower() for x in _PART.findall(name)]
+    out = found[:-1]
+    for x in found[-1:]:
+        code, period, digits = periods.ending.match(x).groups()
+        if len(found) > 1 and period and not code:
+            out += [period, digits] if digits else [period]
+        elif len(found) > 1 and digits and code:
+            out += [code + (period or ""), digits]
+        else:
+            out.append(x)
+    return out
+
+
+def parse_name(name: str, periods: Periods) -> tuple[str | None, str | None, str | None, str | None]:
+    """(first part, measure, period, item) of a name with delimiters or capitals inside; nulls for a name of one run."""
+    v = name.strip()
+    t = [x.lower() for x in _DELIMITED.split(v) if x] if _DELIMITED.search(v) else _capital_parts(v, periods)
+    if len(t) < 2 or (not _DELIMITED.search(v) and not re.search(r"[a-z][A-Z]", v)):
+        return None, None, None, None
+    if len(t) == 2 and not _DELIMITED.search(v) and t[1].isdigit():
+        return None, None, None, None
+    return t[0], t[1], next((x for x in t[2:] if x in periods.table), None), next((x for x in t[2:] if x.isdigit()), None)
+
+
+def cuts(name: str, words: list[str], periods: Periods) -> list[tuple[str, str, str | None, str | None, bool]]:
+    """Ways to cut a name without delimiters: (first part, measure, period, item, whether the first part abbreviates a word)."""
+    v = re.sub(r"[^a-z0-9]", "", name.strip().lower())
+    out = []
+    for k in range(3, len(v) - 1):
+        part = v[:k]
+        coded = re.fullmatch(r"v\d+", part)
+        if coded and v[k].isdigit():
             continue
-        for measure in {v[k:e] for e in range(k + 2, len(v) + 1)} & codes:
-            rest = v[k + len(measure) :]
-            q = re.fullmatch(rf"({'|'.join(PERIODS)})?(\d*)", rest)
-            if q and (best is None or len(measure) > len(best[1])):
-                best = (v[:k], measure, q[1], q[2] or None)
-    return best or (None, None, None, None)
-
-
-def parse_description(text: str | None) -> tuple[str | None, list[str], str | None]:
-    """(instrument word, periods, item) of a description."""
-    if not text:
-        return None, [], None
-    s = text.lower()
-    word = None
-    for p in _PLACES:
-        q = p.search(s)
-        if q and len(q[1]) >= 5:
-            word = q[1]
-            if _FULL.fullmatch(word) or _SIX.fullmatch(word):
-                break
-    if word is None or not (_FULL.fullmatch(word) or _SIX.fullmatch(word)):
-        q = _ANYWHERE.search(s)
-        word = q[0] if q else word
-    item = _ITEM.search(s)
-    return word, sorted({m.lastgroup[:2] for m in _EXACT.finditer(s)}), item[1] if item else None
-
-
-def attributes(refs: DataFrame, key: str, source: str, name: str, description: str) -> DataFrame:
-    """(id, source, part, m, t, n, word): what each row says. Rows without a measure can't be matched."""
-    spark = refs.sparkSession
-    base = refs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(name).alias("name"), F.col(description).alias("text")).where("id is not null and source is not null and name is not null")
-    # Measure codes: the second part of names that are written with delimiters.
-    second = F.split(F.lower(F.trim("name")), "[._]")
-    codes = base.where(F.size(second) > 1).select(second[1].alias("code")).where(F.col("code").rlike("^[a-z]{2,}[0-9]?$")).groupBy("code").count()
-    known = spark.sparkContext.broadcast(frozenset(r["code"] for r in codes.orderBy(F.desc("count"), "code").limit(100_000).collect()))
+        near = any(abbreviates(part, w.rstrip(".")) or (w.endswith(".") and len(part) >= 5 and len(consonants(w)) > 3 and part.startswith(consonants(w)[:-1])) for w in words)
+        if not coded and not near and (k < 6 or not part.isalpha()):
+            continue
+        m, t, n = periods.ending.match(v[k:]).groups()
+        for measure, period in {(m, t), (m + (t or ""), None)}:
+            if len(measure) >= 2:
+                out.append((part, measure, period, n or None, near))
+            if n and measure and len(n) > 0:
+                out += [(part, measure + (period or "") + n[:1], None, n[1:] or None, near)] if period is None else []
+    return out
+
+
+def whole_name(name: str, periods: Periods) -> tuple[str, str | None]:
+    """(all letters and digits of a name without its period, the period)."""
+    t = [x.lower() for x in re.split(r"[^A-Za-z0-9]+", name) if x]
+    period = next((x for x in t[1:] if x in periods.table), None)
+    return "".join(x for i, x in enumerate(t) if i == 0 or x != period), period
+
+
+def attributes(refs: DataFrame, key: str, source: str, name: str, description: str, periods: dict[str, tuple[str, ...]] = PERIODS) -> DataFrame:
+    """(id, source, part, m, t, n, words, whole, text, facts): what each row says; ``words`` may name an instrument, ``text`` is the description without period and order."""
+    table = Periods(periods)
     kind = refs.schema[key].dataType.simpleString()
+    more = [F.col(c).cast("string") if c in refs.columns else F.lit(None).cast("string") for c in ("units", "n_codes")]
+    base = refs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(name).alias("name"), F.col(description).alias("text"), F.lower(F.trim(more[0])).alias("units"), more[1].alias("codes")).where("id is not null and source is not null and name is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_type = pa.list_(pa.struct([("part", pa.string()), ("m", pa.string()), ("t", pa.string()), ("n", pa.string()), ("near", pa.bool_())]))
         for batch in batches:
             out: list[tuple] = []
             for name_, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                part, m, t, n = parse_name(name_, known.value)
-                word, said, item = parse_description(text)
-                if t is None:
-                    if not said and text:
-                        s = text.lower()
-                        said = sorted({k for k, p in _SLIPS if p.search(s)})
-                    t = said[0] if len(said) == 1 else None
-                out.append((part, m, t, n or item, word))
-            a = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.string()) for x in a)], names=["id", "source", "part", "m", "t", "n", "word"])
+                words = list(dict.fromkeys(w.lower() for w in _WORD.findall(text or "")))
+                part, m, t, n = parse_name(name_, table)
+                ways = [] if m else cuts(name_, words, table)
+                whole, own = whole_name(name_, table)
+                item = _ITEM.search(text or "")
+                said = table.said(text)
+                plain = " ".join(re.findall(r"[^\W_]+", table.without(text or "")))
+                out.append((part, m, t, n, said, item[1] if item else None, words, [dict(zip(("part", "m", "t", "n", "near"), w, strict=True)) for w in ways], whole, own, plain))
+            a = list(zip(*out, strict=True)) or [[]] * 11
+            strings = [pa.array(a[k], pa.string()) for k in (0, 1, 2, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *strings, pa.array(a[6], pa.list_(pa.string())), pa.array(a[7], cut_type), pa.array(a[8], pa.string()), pa.array(a[9], pa.string()), pa.array(a[10], pa.string()), batch.column(4), batch.column(5)], names=["id", "source", "part", "m", "t", "n", "said", "item", "words", "cuts", "whole", "own", "text", "units", "codes"])
 
-    return base.mapInArrow(run, f"id {kind}, source string, part string, m string, t string, n string, word string").where("m is not null")
+    schema = f"id {kind}, source string, part string, m string, t string, n string, said string, item string, words array<string>, cuts array<struct<part:string,m:string,t:string,n:string,near:boolean>>, whole string, own string, text string, units string, codes string"
+    read = stage(base.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "read")
+    codes = read.where("m rlike '^[a-z]{2,}[0-9]?$'").select("m").distinct()
+    glued = read.where("m is null").select("row", F.explode("cuts").alias("c")).select("row", "c.*").join(codes, "m", "left_semi")
+    # A first part that abbreviates no word of the row must be the name of an instrument itself, or a coded one.
+    sure = glued.where("near or part rlike '^v[0-9]+$'").unionByName(glued.where("not near and part not rlike '^v[0-9]+$'").join(lexicon(read).select(F.col("inst").alias("part")), "part", "left_semi").select(*glued.columns))
+    best = sure.groupBy("row").agg(F.max(F.struct("near", F.length("m").alias("l"), F.length("part").alias("k"), "part", "m", "t", "n")).alias("b"))
+    read = read.join(best, "row", "left")
+    pick = lambda c: F.coalesce(F.col(c), F.col(f"b.{c}")).alias(c)
+    return stage(read.select("row", "id", "source", pick("part"), pick("m"), F.coalesce("t", "b.t", "said").alias("t"), F.coalesce("n", "b.n", "item").alias("n"), "words", "whole", F.coalesce("own", "said").alias("own"), "text", "units", "codes"), "attributes")
 
 
 def _consonants(c: Column) -> Column:
@@ -124,71 +186,105 @@ def _cut_one(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word))))))
 
 
+def _abbreviates(part: Column, word: Column) -> Column:
+    return (F.length(part) >= 4) & part.rlike("^[a-z]+$") & (F.startswith(word, part) | ((F.length(part) >= 5) & F.startswith(_consonants(word), part)))
+
+
 def _unique(found: DataFrame) -> DataFrame:
-    """(id, inst) of rows with exactly one candidate."""
-    return found.groupBy("id").agg(F.min("inst").alias("inst"), F.max("inst").alias("top")).where("inst = top").drop("top")
+    """(row, inst) of rows with exactly one candidate."""
+    return found.groupBy("row").agg(F.min("inst").alias("inst"), F.max("inst").alias("top")).where("inst = top").drop("top")
+
+
+def lexicon(rows: DataFrame) -> DataFrame:
+    """(inst, cons): words of descriptions that the first parts of names abbreviate in ``EVIDENCE`` rows or more, without slips and shortened forms."""
+    word = F.col("word")
+    each = rows.where("part is not null").select("part", F.explode("words").alias("word")).where(~word.endswith(".") & (F.length("word") >= 6))
+    told = each.where(F.col("part").rlike("^[a-z]{4,}$")).groupBy("word").agg(F.count(F.when(_abbreviates(F.col("part"), word), 1)).alias("c"), F.count("*").alias("k"))
+    often = stage(told.where((F.col("c") >= EVIDENCE) & (F.col("c") >= SHARE * F.col("k"))).select("word", "c"), "often")
+    cut = often.select("word", "c", F.explode(_cut_one(word)).alias("cut"))
+    other = cut.select(F.col("word").alias("w2"), F.col("c").alias("c2"), "cut")
+    slips = cut.join(other, "cut").where("word <> w2 and abs(length(word) - length(w2)) <= 1").where(F.col("c2") >= SLIP * F.col("c")).select("word").distinct()
+    return stage(often.join(slips, "word", "left_anti").select(F.col("word").alias("inst"), _consonants(word).alias("cons")), "lexicon")
 
 
 def instruments(rows: DataFrame) -> DataFrame:
     """``rows`` with ``inst`` and ``rule``: the cascade."""
-    full = f"^([{_C}][{_V}]){{4}}[{_C}]$"
-    clean = F.when(F.col("word").rlike(full), F.col("word")).when(F.col("part").rlike(full), F.col("part"))
-    rows = stage(rows.withColumn("inst", clean), "said")
-    done = rows.where("inst is not null").withColumn("rule", F.lit("full"))
-    left = rows.where("inst is null").drop("inst")
-    names = done.groupBy("inst").agg(F.count("*").alias("c"))
-    lexicon = stage(names.select("inst", F.substring("inst", 1, 6).alias("six"), _consonants(F.col("inst")).alias("cons"), F.substring("inst", 1, 4).alias("four")), "lexicon")
-    seen = stage(done.select("inst", F.substring("inst", 1, 6).alias("six"), "m", "t", "n").distinct(), "seen")
-    fit = "(length(part) <> 5 or part = cons) and (length(part) <> 4 or part = four)"
-    six = F.substring("word", 1, 6)
-    is_six = F.col("word").rlike(rf"^([{_C}][{_V}]){{3}}\.$")
+    names = lexicon(rows)
+    known = broadcast_if_small(names)
+    readable = rows.where("m is not null")
+    words = readable.select("row", "part", "m", "t", "n", F.explode("words").alias("w"))
+    words = words.where(F.length(F.regexp_replace("w", r"\.$", "")) >= 5)
+    fit = F.coalesce(~F.col("part").rlike("^[a-z]{4,5}$"), F.lit(True)) | F.startswith(F.col("inst"), F.col("part")) | F.startswith(F.col("cons"), F.col("part"))
+
+    def settle(found: DataFrame, left: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
+        got = stage(_unique(found), "got")
+        return left.join(got, "row").withColumn("rule", F.lit(rule)), stage(left.join(got.select("row"), "row", "left_anti"), "left")
+
+    exact = words.join(known, F.col("w") == F.col("inst"))
+    # Words that name several instruments leave it to the first part; without them, the first part alone may be one.
+    full = exact.where(fit).select("row", "inst")
+    own = readable.join(known, F.col("part") == F.col("inst")).select("row", "inst")
+    done, left = settle(full.unionByName(own).distinct(), readable, "full")
+    done = stage(done, "full")
+    seen = stage(done.select("inst", "m", "t", "n").distinct().join(known, "inst"), "seen")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(5), F.greatest(F.length("inst") - 1, F.lit(5))), lambda k: F.substring("inst", 1, k)))
+    short = lambda x: x.select("row", "part", "m", "t", "n", F.explode("words").alias("w")).where(F.col("w").endswith(".")).withColumn("six", F.regexp_replace("w", r"\.$", ""))
+    cut_words = lambda x: x.select("row", "part", F.explode("words").alias("w")).withColumn("w", F.regexp_replace("w", r"\.$", "")).where(F.length("w") >= 5).withColumn("cut", F.explode(_cut_one(F.col("w"))))
+    by_prefix = seen.withColumn("six", prefixes)
     passes = [
-        # shortened name with measure, period and item
-        ("short_all", lambda x: x.where(is_six & F.col("t").isNotNull()).withColumn("six", six).join(seen.select("six", "m", "t", "inst").distinct(), ["six", "m", "t"]).join(lexicon.select("inst", "cons", "four"), "inst").where(fit)),
-        ("short_item", lambda x: x.where(is_six & F.col("n").isNotNull()).withColumn("six", six).join(seen.where("n is not null").select("six", "m", "n", "inst").distinct(), ["six", "m", "n"]).join(lexicon.select("inst", "cons", "four"), "inst").where(fit)),
-        ("short_measure", lambda x: x.where(is_six).withColumn("six", six).join(seen.select("six", "m", "inst").distinct(), ["six", "m"]).join(lexicon.select("inst", "cons", "four"), "inst").where(fit)),
-        ("short", lambda x: x.where(is_six).withColumn("six", six).join(lexicon.drop("six").withColumn("six", F.substring("inst", 1, 6)), "six").where(fit)),
-        # a slip in the name: words one cut apart
-        ("slip", lambda x: x.where(~is_six & F.col("word").isNotNull()).withColumn("cut", F.explode(_cut_one(F.col("word")))).join(lexicon.withColumn("cut", F.explode(_cut_one(F.col("inst")))), "cut").where(fit).where("abs(length(word) - 9) <= 1")),
-        ("slip_short", lambda x: x.where(F.col("word").endswith(".") & ~is_six).withColumn("cut", F.explode(_cut_one(F.regexp_replace("word", r"\.$", "")))).join(lexicon.withColumn("cut", F.explode(_cut_one(F.col("six")))), "cut").where(fit)),
-        # the consonants of the variable name with measure and period
-        ("consonants", lambda x: x.where("length(part) = 5").withColumn("cons", F.col("part")).join(seen.withColumn("cons", _consonants(F.col("inst"))).where("t is not null").select("cons", "m", "t", "inst").distinct(), ["cons", "m", "t"])),
+        # a shortened name with measure and period, with measure and item, with the measure, alone
+        ("short_all", lambda x: short(x).where("t is not null").join(by_prefix.drop("n"), ["six", "m", "t"])),
+        ("short_item", lambda x: short(x).where("n is not null").join(by_prefix.drop("t"), ["six", "m", "n"])),
+        ("short_measure", lambda x: short(x).select("row", "part", "six", "m").join(by_prefix.select("six", "m", "inst", "cons"), ["six", "m"])),
+        ("short", lambda x: short(x).select("row", "part", "six").join(names.withColumn("six", prefixes), "six")),
+        # a slip in the name, full or shortened: words one cut apart
+        ("slip", lambda x: cut_words(x).join(names.withColumn("cut", F.explode(_cut_one(F.col("inst")))), "cut").where("abs(length(w) - length(inst)) <= 1")),
+        ("slip_short", lambda x: cut_words(x).join(names.withColumn("six", F.substring("inst", 1, 6)).withColumn("cut", F.explode(_cut_one(F.col("six")))), "cut").where("abs(length(w) - 6) <= 1")),
+        # the first part of the variable name with measure and period
+        ("consonants", lambda x: x.where("length(part) = 5").join(seen.withColumnRenamed("cons", "part").where("t is not null").select("part", "m", "t", "inst").distinct(), ["part", "m", "t"]).withColumn("cons", F.col("part"))),
     ]
     for rule, join in passes:
-        got = stage(_unique(join(left).select("id", "inst")), "got")
-        done = done.unionByName(left.join(got, "id").withColumn("rule", F.lit(rule)))
-        left = stage(left.join(got.select("id"), "id", "left_anti"), "left")
-    # What no pass resolved can still agree with rows that say exactly the same.
-    own = left.where("word is not null or length(part) > 5").withColumn("inst", F.concat(F.lit("?"), F.coalesce("word", "part"))).withColumn("rule", F.lit("as_written"))
-    return stage(done.unionByName(own), "named")
+        more, left = settle(join(left).where(fit).select("row", "inst"), left, rule)
+        done = done.unionByName(more)
+    # Rows that name no instrument: the same whole name in several sources, then the same text as one of these.
+    rest = left.unionByName(rows.where("m is null")).drop("inst", "rule").withColumn("t", F.coalesce("t", "own"))
+    spread = stage(rest.groupBy("whole").agg(F.count_distinct("source").alias("k")).where("k > 1").select("whole"), "spread")
+    named = stage(rest.join(spread, "whole").withColumn("inst", F.concat(F.lit("="), "whole")).withColumn("rule", F.lit("as_written")).withColumn("m", F.lit("")), "as_written")
+    alone = rest.join(spread, "whole", "left_anti").where("text <> ''")
+    texts = named.groupBy("text").agg(F.min("inst").alias("inst"), F.max("inst").alias("top")).where("inst = top and text <> ''").drop("top")
+    told = alone.join(texts, "text", "left").withColumn("inst", F.coalesce("inst", F.concat(F.lit("~"), "text"))).withColumn("rule", F.lit("same_text")).withColumn("m", F.lit(""))
+    cols = ["row", "id", "source", "inst", "m", "t", "n", "part", "whole", "text", "units", "codes", "rule"]
+    return stage(done.select(*cols).unionByName(named.select(*cols)).unionByName(told.select(*cols)), "named")
 
 
 def precisions(rows: DataFrame) -> dict[str, float]:
-    """Smoothed precision of each rule, from rows whose instrument is known in full: of the pairs that the rule's
-    attributes would join, the share that has the same instrument."""
-    full = rows.where("rule = 'full'").select("inst", F.substring("inst", 1, 6).alias("six"), _consonants(F.col("inst")).alias("cons"), "m", "t", "n")
-    keys = {"short_all": ["six", "m", "t"], "short_item": ["six", "m", "n"], "short_measure": ["six", "m"], "short": ["six"], "consonants": ["cons", "m", "t"], "slip": ["cons"], "slip_short": ["six", "m"]}
-    out = {"full": 1.0, "as_written": 0.5}
+    """Smoothed precision of each rule, from rows whose instrument is known in full: of the pairs of different rows
+    that the rule's attributes join, the share that has the same instrument (and measure, for whole names and texts)."""
+    full = rows.where("rule = 'full'").select("inst", F.substring("inst", 1, 6).alias("six"), _consonants(F.col("inst")).alias("cons"), "m", "t", "n", "whole", F.nullif("text", F.lit("")).alias("text"))
+    keys = {"full": ["inst"], "short_all": ["six", "m", "t"], "short_item": ["six", "m", "n"], "short_measure": ["six", "m"], "short": ["six"], "consonants": ["cons", "m", "t"], "slip": ["cut"], "slip_short": ["cut6"], "as_written": ["whole"], "same_text": ["text"]}
+    sides = {"slip": full.withColumn("cut", F.explode(_cut_one(F.col("inst")))), "slip_short": full.withColumn("cut6", F.explode(_cut_one(F.col("six"))))}
+    parts = None
     for rule, ks in keys.items():
-        per = full.where(" and ".join(f"{k} is not null" for k in ks)).groupBy(*ks, "inst").agg(F.count("*").cast("double").alias("c"))
-        both = per.groupBy(*ks).agg(F.sum(F.col("c") * F.col("c")).alias("same"), (F.sum("c") * F.sum("c")).alias("all"))
-        r = both.agg(F.sum("same").alias("same"), F.sum("all").alias("all")).first()
-        out[rule] = ((r["same"] or 0.0) + 1) / ((r["all"] or 0.0) + 2)
-    out["full"] = 1 - 1 / (full.count() + 2)
-    return out
+        # A class of rows that can't be told apart: the same instrument, for whole names the same measure too.
+        own = ["inst", "m"] if rule in ("as_written", "same_text") else ["inst"]
+        per = sides.get(rule, full).where(" and ".join(f"{k} is not null" for k in ks)).groupBy(*dict.fromkeys([*ks, *own])).agg(F.count("*").cast("double").alias("c"))
+        both = per.groupBy(*ks).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.sum("c").alias("s"))
+        one = both.agg(F.lit(rule).alias("rule"), F.sum("same").alias("same"), F.sum(F.col("s") * (F.col("s") - 1)).alias("all"))
+        parts = one if parts is None else parts.unionByName(one)
+    return {r["rule"]: ((r["same"] or 0.0) + 1) / ((r["all"] or 0.0) + 2) for r in parts.collect()}
 
 
-def match(refs: DataFrame, *, key: str = "ref_id", source: str = "dictionary_name", name: str = "variable_name", description: str = "description") -> DataFrame:
+def match(refs: DataFrame, *, key: str = "ref_id", source: str = "dictionary_name", name: str = "variable_name", description: str = "description", periods: dict[str, tuple[str, ...]] = PERIODS) -> DataFrame:
     """(a, b, confidence), a < b: rows of different sources that describe the same variable.
 
     Same instrument and measure; periods and item numbers agree or are left unsaid. Rows
     repeated within a source each form their own pairs. Rows without a source, id or
-    variable name, or without a readable measure, match nothing.
+    variable name match nothing.
     """
-    rows = instruments(attributes(refs, key, source, name, description))
+    rows = instruments(attributes(refs, key, source, name, description, periods))
     trust = precisions(rows)
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in trust.items() for x in kv)), F.col("rule"))
-    rows = rows.select("id", "source", "inst", "m", "t", "n", weight.alias("w"))
+    rows = rows.select("id", "source", "inst", "m", "t", "n", "units", "codes", weight.alias("w"))
     # An item number stands for one period within an instrument and measure.
     by_item = rows.where("t is not null and n is not null").groupBy("inst", "m", "n").agg(F.min("t").alias("t2"), F.max("t").alias("top")).where("t2 = top").drop("top")
     timed = rows.where("t is null and n is not null").join(by_item, ["inst", "m", "n"], "left").withColumn("t", F.col("t2")).withColumn("w", F.when(F.col("t2").isNull(), F.col("w")).otherwise(F.col("w") * 0.99)).drop("t2")
@@ -201,14 +297,15 @@ def match(refs: DataFrame, *, key: str = "ref_id", source: str = "dictionary_nam
         """Rows of different sources that agree in ``on``; sources are paired first, so rows of one source never meet."""
         ls, rs = left.select(*on, "source").distinct(), right.select(*on, F.col("source").alias("source_b")).distinct()
         sides = ls.join(rs, on).where("source < source_b" if mirror else "source <> source_b")
-        a = left.select(*on, "source", F.col("id").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"))
-        b = right.select(*on, F.col("source").alias("source_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"))
+        a = left.select(*on, "source", F.col("id").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("units").alias("ua"), F.col("codes").alias("ca"))
+        b = right.select(*on, F.col("source").alias("source_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("units").alias("ub"), F.col("codes").alias("cb"))
         out = sides.join(a, [*on, "source"]).join(b, [*on, "source_b"])
         out = out.where(cond) if cond else out
-        return out.select("a", "b", F.least("wa", "wb").alias("w"))
+        off = lambda x, y: F.when(F.coalesce(F.col(x) != F.col(y), F.lit(False)), DIFFERS).otherwise(1.0)
+        return out.select("a", "b", (F.least("wa", "wb") * off("ua", "ub") * off("ca", "cb")).alias("w"))
 
     same = pairs(known, known, ["inst", "m", "t"], None, True)
-    labelled = known.drop("n").join(items, ["inst", "m", "t"], "left").select("id", "source", "inst", "m", "n", "w")
+    labelled = known.drop("n").join(items, ["inst", "m", "t"], "left").select("id", "source", "inst", "m", "n", "w", "units", "codes")
     unsaid = "na is null or nb is null or na = nb"
     # A period left unsaid: the fewer periods the measure shows, the surer the match.
     choices = F.count_distinct("t").alias("ts")

@@ -7,27 +7,56 @@ from fieldloom.llm import packing as pk
 from fieldloom.llm import tokens as tk
 
 
+#: An instrument shows itself by names that abbreviate its word in two rows or more.
+MATCH_ROWS = [
+    (1, "a", "vevameveb.cimt.bp", "Vevameveb Panel item 3 - carotid wall thickness / before pregnancy"),
+    (2, "b", "VvmvbCimtBp", "From the Vevameveb Panel: what was your carotid wall thickness prior to being pregnant?"),
+    (3, "b", "VvmvbCimtBp", "From the Vevameveb Panel: what was your carotid wall thickness prior to being pregnant?"),
+    (4, "c", "veva_cimt_ch", "Carotid wall thickness in childhood (Vevameveb)"),
+    (5, "c", "veva.cimt.3", "Vevame. item 3 - carotid wall thickness"),
+    (6, "d", "vvmvb_cimt_bp", "Carotid wall thickness before pregnancy (Vevamveb)"),
+    (7, "d", "koto_cimt_bp", "Carotid wall thickness before pregnancy (Kotomiviv)"),
+    (8, "a", "veva_head_bp", "Recurrent headache before pregnancy (Vevameveb)"),
+    (9, None, "veva_head_bp", "Recurrent headache before pregnancy (Vevameveb)"),
+    (10, "e", None, None),
+    (11, "e", "xx", ""),
+    (12, "e", "vvmvbcimtbp", "Carotid wall thickness as recorded with Vevameveb"),
+]
+
+
 def test_matching(spark):
-    rows = [
-        (1, "a", "vevameveb.cimt.bp", "Vevameveb Panel item 3 - carotid wall thickness / before pregnancy"),
-        (2, "b", "VvmvbCimtBp", "From the Vevameveb Panel: what was your carotid wall thickness prior to being pregnant?"),
-        (3, "b", "VvmvbCimtBp", "From the Vevameveb Panel: what was your carotid wall thickness prior to being pregnant?"),
-        (4, "c", "veva_cimt_ch", "Carotid wall thickness in childhood (Vevameveb)"),
-        (5, "c", "veva.cimt.3", "Vevame. item 3 - carotid wall thickness"),
-        (6, "d", "vvmvb_cimt_bp", "Carotid wall thickness before pregnancy (Vevamveb)"),
-        (7, "d", "koto_cimt_bp", "Carotid wall thickness before pregnancy (Kotomiviv)"),
-        (8, "a", "veva_head_bp", "Recurrent headache before pregnancy (Vevameveb)"),
-        (9, None, "veva_head_bp", "Recurrent headache before pregnancy (Vevameveb)"),
-        (10, "e", None, None),
-        (11, "e", "xx", ""),
-    ]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "ref_id long, dictionary_name string, variable_name string, description string, confidence int")
+    df = spark.createDataFrame([(*r, 1) for r in MATCH_ROWS], "ref_id long, dictionary_name string, variable_name string, description string, confidence int")
     out = mt.match(df)
-    assert sorted((r.a, r.b) for r in out.collect()) == [(1, 2), (1, 3), (1, 5), (1, 6), (2, 5), (2, 6), (3, 5), (3, 6), (5, 6)]
+    assert sorted((r.a, r.b) for r in out.collect()) == [(1, 2), (1, 3), (1, 5), (1, 6), (1, 12), (2, 5), (2, 6), (2, 12), (3, 5), (3, 6), (3, 12), (5, 6), (5, 12), (6, 12)]
     assert out.where("confidence <= 0 or confidence > 1").count() == 0
     assert mt.match(df.limit(0)).count() == 0
 
 
+def test_matching_ordinary_names(spark):
+    """Instruments that no one listed: names alone, names of other shapes, and periods that one side leaves out."""
+    rows = [
+        (1, "a", "phq9_1", "PHQ-9 item 1"), (2, "b", "PHQ9.1", "PHQ-9: little interest"), (3, "b", "phq9_2", "PHQ-9 item 2"), (4, "a", "bmi", "Body mass index"), (5, "b", "BMI_bl", "Body mass index at baseline"), (6, "c", "bmi_f1", None),
+        (7, "a", "sf36_pf01", "Vigorous activities"), (8, "c", "sf36.pf01", "Limits in vigorous activities"), (9, "c", "sf36.pf02", "Moderate activities"), (10, "b", "q17", "Vigorous activities"), (11, "a", "age", "Age"), (12, "a", "age", "Age"),
+        (13, "d", "smoking_now", "Current smoker"), (14, "e", "smoking_ever", "Ever smoker"),
+    ]
+    df = spark.createDataFrame(rows, "ref_id long, dictionary_name string, variable_name string, description string")
+    got = {(r.a, r.b): r.confidence for r in mt.match(df).collect()}
+    assert set(got) == {(1, 2), (4, 5), (4, 6), (7, 8), (7, 10), (8, 10)}
+
+
+def test_units_count_in_confidence(spark):
+    rows = [(r[0], r[1], r[2], r[3], {2: "mm", 3: "cm"}.get(r[0]), "mm" if r[0] == 1 else None) for r in MATCH_ROWS]
+    df = spark.createDataFrame([(a, b, c, d, e or f, 5) for a, b, c, d, e, f in rows], "ref_id long, dictionary_name string, variable_name string, description string, units string, n_codes int")
+    got = {(r.a, r.b): r.confidence for r in mt.match(df).collect()}
+    assert got[1, 3] == round(got[1, 2] * mt.DIFFERS, 4) or abs(got[1, 3] - got[1, 2] * mt.DIFFERS) < 2e-4
+
+
+def test_periods_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "a", "bmi_t9", "Index"), (2, "b", "bmi", "Index in the ninth wave"), (3, "c", "bmi_t8", "Index")], "ref_id long, dictionary_name string, variable_name string, description string")
+    got = {(r.a, r.b) for r in mt.match(df, periods={"t9": ("in the ninth wave",), "t8": ("in the eighth wave",)}).collect()}
+    assert got == {(1, 2)}
+
+
 def docs(spark, n=300, seed=2):
     rng = np.random.default_rng(seed)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
