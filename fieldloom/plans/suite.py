@@ -12,6 +12,7 @@ from fieldloom.functions import values as vx
 from fieldloom.operators import dictionary as dx
 from fieldloom.operators import families as fx
 from fieldloom.operators import groups as gx
+from fieldloom.operators import reports as rp
 from fieldloom.operators import retrieval as rx
 from fieldloom.operators.graph import connected_components
 from fieldloom.runtime import table
@@ -319,8 +320,8 @@ def formula_eval(spark, d):
 def verify_formula(spark, d):
     t, names = table(spark, d, "lineitem"), {"p": F.col("l_extendedprice"), "d": F.col("l_discount")}
     want = vx.compile_formula("p - p * d", names)
-    ok = lambda f: F.round(F.avg(F.when(F.abs(vx.compile_formula(f, names) - want) <= F.greatest(1e-6 * F.abs("l_extendedprice"), F.lit(1e-9)), 1.0).otherwise(0.0)), 6)
-    return t.groupBy("l_returnflag").agg(ok("p * (1 - d)").alias("right_share"), ok("p * (1 + d)").alias("wrong_share"))
+    share = lambda f, c: rp.formula_share(t, "l_returnflag", want, f, names).withColumnRenamed("share", c)
+    return share("p * (1 - d)", "right_share").join(share("p * (1 + d)", "wrong_share"), "l_returnflag")
 
 
 @query("""SELECT l_orderkey, l_linenumber, measure, value FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem)
@@ -367,22 +368,18 @@ def positional_families(spark, d):
 @query(f"""{_OPTIONS}, l AS (SELECT d.category, lower(x.label) AS label, min(d.row_id) AS first_row, count(*) AS n FROM (SELECT row_id, unnest(opts) AS x FROM o) q JOIN dictionary_fields d USING (row_id) WHERE d.category IS NOT NULL
  AND NOT {_SENT.format('x.label')} GROUP BY ALL) SELECT category, label, first_row, n FROM l""")
 def observed_labels(spark, d):
-    t = table(spark, d, "dictionary_fields").where("value_encoding is not null and category is not null")
-    e = t.select("category", "row_id", F.explode(vx.parse_options(F.col("value_encoding"))).alias("o")).where(~tx.is_sentinel(F.col("o.label")))
-    return e.groupBy("category", F.lower("o.label").alias("label")).agg(F.min("row_id").alias("first_row"), F.count("*").alias("n"))
+    return rp.observed_labels(table(spark, d, "dictionary_fields"), "category", "row_id", "value_encoding")
 
 
 @query("""WITH g AS (SELECT category, count(DISTINCT cohort) AS n_cohorts, round(avg(CASE WHEN value_encoding IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coded FROM dictionary_fields WHERE category IS NOT NULL GROUP BY category)
  SELECT category, n_cohorts, coded, CASE WHEN n_cohorts < 2 THEN 'single_cohort' WHEN coded >= 0.5 THEN 'harmonize_values' ELSE 'harmonize_text' END AS mode FROM g""")
 def gate_mode(spark, d):
-    g = table(spark, d, "dictionary_fields").where("category is not null").groupBy("category").agg(F.count_distinct("cohort").alias("n_cohorts"), F.round(F.avg(F.when(F.col("value_encoding").isNotNull(), 1.0).otherwise(0.0)), 6).alias("coded"))
-    return g.withColumn("mode", F.when(F.col("n_cohorts") < 2, "single_cohort").when(F.col("coded") >= 0.5, "harmonize_values").otherwise("harmonize_text"))
+    return rp.gate_modes(table(spark, d, "dictionary_fields"), "category", "cohort", "value_encoding")
 
 
 @query("""SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS tokens, round(sum(value * CASE WHEN event_type IN ('click', 'view') THEN 0.000003 ELSE 0.000015 END * CASE WHEN user_id % 2 = 0 THEN 0.5 ELSE 1 END), 6) AS usd FROM events GROUP BY event_type""")
 def cost_ledger(spark, d):
-    rate = F.when(F.col("event_type").isin("click", "view"), 0.000003).otherwise(0.000015) * F.when(F.col("user_id") % 2 == 0, 0.5).otherwise(1.0)
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("tokens"), F.round(F.sum(F.col("value") * rate), 6).alias("usd"))
+    return rp.cost_ledger(table(spark, d, "events"), "event_type", "value", rp.prices(F.col("event_type"), {"click": 0.000003, "view": 0.000003}, 0.000015), F.col("user_id") % 2 == 0)
 
 
 @query("""WITH h AS (SELECT DISTINCT user_id, event_type FROM events), c AS (SELECT user_id, count(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 END) AS have FROM h GROUP BY user_id)
@@ -395,13 +392,12 @@ def feasibility(spark, d):
 
 @query("""SELECT category, count(DISTINCT cohort) AS n_cohorts, count(*) AS n_members FROM dictionary_fields WHERE category IS NOT NULL GROUP BY category HAVING count(DISTINCT cohort) >= 2 ORDER BY n_cohorts DESC, n_members DESC, category LIMIT 40""")
 def concept_digest(spark, d):
-    g = table(spark, d, "dictionary_fields").where("category is not null").groupBy("category").agg(F.count_distinct("cohort").alias("n_cohorts"), F.count("*").alias("n_members"))
-    return g.where("n_cohorts >= 2").orderBy(F.desc("n_cohorts"), F.desc("n_members"), "category").limit(40)
+    return rp.concept_digest(table(spark, d, "dictionary_fields"), "category", "cohort")
 
 
 @query("""SELECT cohort, round(avg(participant_count), 6) AS mean, round(stddev_pop(participant_count), 4) AS deviation, count(participant_count) AS n FROM dictionary_fields GROUP BY cohort""")
 def mean_deviation(spark, d):
-    return table(spark, d, "dictionary_fields").groupBy("cohort").agg(F.round(F.avg("participant_count"), 6).alias("mean"), F.round(F.stddev_pop("participant_count"), 4).alias("deviation"), F.count("participant_count").alias("n"))
+    return rp.spread(table(spark, d, "dictionary_fields"), "cohort", "participant_count")
 
 
 # --- retrieval -----------------------------------------------------------------------------------------------------------
@@ -503,9 +499,7 @@ def verdict_ladder(spark, d):
 def recall_at_k(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
     s = _dense(spark, d, 100).join(e.withColumnsRenamed({"vec_id": "q", "label": "ql"}), "q").join(e.withColumnsRenamed({"vec_id": "d", "label": "dl"}), "d")
-    m = s.groupBy("q").agg(F.min(F.when(F.col("ql") == F.col("dl"), F.col("rank"))).alias("r"))
-    ks = m.select("r", F.explode(F.array(*(F.lit(k) for k in (1, 5, 10, 20, 50, 100)))).alias("k"))
-    return ks.groupBy("k").agg(F.round(F.avg(F.when(F.col("r") <= F.col("k"), 1.0).otherwise(0.0)), 6).alias("recall"))
+    return rp.recall_at(s, F.col("ql") == F.col("dl"), (1, 5, 10, 20, 50, 100))
 
 
 # --- groups ---------------------------------------------------------------------------------------------------------------
@@ -600,9 +594,7 @@ def family_collapse(spark, d):
 def group_diverse_topk(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("d"), F.col("label").alias("dl"))
     k = _dense(spark, d, rx.POOL).join(e, "d")
-    best = k.groupBy("q", "dl").agg(F.min("rank").alias("best")).withColumn("group_rank", F.row_number().over(Window.partitionBy("q").orderBy("best"))).where("group_rank <= 3")
-    m = k.join(best, ["q", "dl"]).withColumn("inside", F.row_number().over(Window.partitionBy("q", "dl").orderBy("rank"))).where("inside <= 4")
-    return m.select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "group_rank", "inside")
+    return rp.diverse(k, "dl").select(F.col("q").alias("vec_id"), F.col("d").alias("neighbour_id"), "group_rank", "inside")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT units AS g, description AS l FROM dictionary_fields WHERE units IS NOT NULL AND description IS NOT NULL), k AS (SELECT g, l, list_distinct({_TOK.format('l', 1)}) AS ts FROM t),

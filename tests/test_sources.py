@@ -67,3 +67,21 @@ def test_stream(spark, tmp_path):
     once = dv.once(dv.read_deliveries(spark, src, "k long, at timestamp"), ["k"], "at")
     dv.run_available(once, str(tmp_path / "out2"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 5
+
+
+def test_documents(spark, tmp_path):
+    import io
+    import zipfile
+
+    from fieldloom.sources import documents as dc
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    files = {"a.txt": "caf\u00e9\r\n\r\n\r\n x  y ".encode(), "b.txt": "caf\u00e9".encode("cp1252"), "c.html": b"<html><head><title>t</title></head><p>A &amp; B</p><table><tr><td>1</td><td>2</td></tr></table><script>x()</script></html>", "d.docx": buffer.getvalue(), "e.pdf": b"%PDF-1.4", "f.docx": b"PK\x03\x04broken", "g.txt": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in dc.read_documents(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] == ("caf\u00e9\n\nx y", None) and got["b.txt"] == ("caf\u00e9", None) and got["c.html"] == ("A & B\n1 | 2", None) and got["d.docx"] == ("One two\na | b", None)
+    assert got["e.pdf"][0] is None and got["f.docx"][1].startswith("broken") and "g.txt" not in got

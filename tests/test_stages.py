@@ -12,6 +12,7 @@ from fieldloom.operators import dictionary as dx
 from fieldloom.operators import elements as ex
 from fieldloom.operators import groups as gx
 from fieldloom.operators import pipeline as px
+from fieldloom.operators import reports as rp
 from fieldloom.operators import specs as sx
 from fieldloom.sources import vector_cache
 
@@ -263,3 +264,14 @@ def test_vector_cache(spark, tmp_path):
     assert {r.id: r.vec for r in vector_cache.embedded(t.union(spark.createDataFrame([(5, "abcd")], "id int, t string")), "t", encoder, path).collect()}[5] == [4.0]
     assert calls.value == 3
     assert {r.id: r.vec for r in vector_cache.lookup(t, "t", path).collect()}[3] == [3.0]
+
+
+def test_reports(spark):
+    t = spark.createDataFrame([("g", "home_phone"), ("g", "workPhone"), ("h", "sex"), ("h", "biological_sex"), (None, "home")], "g string, n string")
+    assert [tuple(r) for r in rp.diverging_qualifiers(t, "g", "n").collect()] == [("g", "home,work")]
+    labels = [("m", f"how often do you eat {x}") for x in ("apples", "pears", "plums", "figs")] + [("m", f"how much do you like {x}") for x in ("milk", "tea", "beer", "rum")] + [("o", x) for x in ("age", "height", "sex", "weight", "pulse", "income")]
+    assert [tuple(r) for r in rp.matrix_suspects(spark.createDataFrame(labels, "g string, l string"), "g", "l").collect()] == [("m", 8, 2)]
+    f = spark.createDataFrame([("a", "teeth", "Which of these?", "Checkbox (multiple)", "1=Pain|2=Bleeding|-7=None|3=Loose"), ("a", "mood", "mood", "radio", "1=Good|2=Bad|3=So so"), ("a", None, "q", None, None)], "c string, n string, q string, t string, e string")
+    got = {r.concept_id: (r.concept, r.answer_text) for r in rp.variable_index(f, "c", "n", "q", "t", "e").collect()}
+    assert got == {"a:teeth": ("teeth - Which of these?", "Pain; Bleeding; Loose"), "a:mood": ("mood", "Good; Bad; So so"), "a:teeth#opt=Pain": ("teeth - Pain", "Pain"), "a:teeth#opt=Bleeding": ("teeth - Bleeding", "Bleeding"), "a:teeth#opt=Loose": ("teeth - Loose", "Loose")}
+    assert one(spark, rp.prices(F.lit("small-2"), {"s": 1.0, "small": 2.0}, 9.0))[0] == 2.0 and one(spark, rp.prices(F.lit("x"), {"s": 1.0}, 9.0))[0] == 9.0
