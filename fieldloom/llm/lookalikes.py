@@ -26,10 +26,12 @@ from fieldloom.runtime import fresh, stage
 
 # Letters of one shape: Latin, Greek, Cyrillic ('-' where a script has none).
 _SHAPES = """
-a-а c-с e-е h-һ i-і j-ј o ο о p-р q-ԛ s-ѕ w-ԝ x-х y-у d-ԁ
+a-а c-с e-е h-һ i-і j-ј o ο о p-р q-ԛ s-ѕ w-ԝ x-х y-у d-ԁ vνѵ uυ- l-ӏ
 A Α А B Β В C-С E Ε Е H Η Н I Ι І J-Ј K Κ К M Μ М N Ν- O Ο О P Ρ Р S-Ѕ T Τ Т X Χ Х Y Υ Ү Z Ζ- Q-Ԛ W-Ԝ
 -ΓГ -ΠП -ΦФ -κк
 """
+#: Letters that look like another of their own script.
+OWN_SCRIPT = str.maketrans("ɡɑ", "ga")
 HYPHENS = "‐‑⁃﹣−֊"
 SCRIPTS = "LGC"
 CHANGE = 12.0  # cost of a change of script inside a word
@@ -64,14 +66,14 @@ _FIXED = {s: regex.compile(rf"[\p{{Script={n}}}--[{''.join(SHAPES)}]]", regex.V1
 def _keeps(c: str) -> bool:
     """Signs whose compatibility form looks different: raised, lowered, fractions, circled, squared and the like."""
     d = unicodedata.decomposition(c)
-    return d.startswith(("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<noBreak>  ", "<vertical>", "<small>"))
+    return d.startswith(("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<small>"))
 
 
 def plain(text: str) -> str:
     """Step 1. ASCII texts are their own plain form."""
     if text.isascii():
         return text
-    out = _IGNORE.sub("", text)
+    out = _IGNORE.sub("", text).translate(OWN_SCRIPT)
     out = "".join(c if c < "\x80" or _keeps(c) else unicodedata.normalize("NFKD", c) for c in out)
     out = _HYPHEN.sub("-", _BLANK.sub(" ", out))
     return unicodedata.normalize("NFC", out)

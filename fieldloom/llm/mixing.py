@@ -20,21 +20,27 @@ from fieldloom.runtime import stage
 STEPS = 60
 #: Documents that may be added to or dropped from a source of a mix after rounding.
 MENDS = 6
+#: Documents of a block of the running sums, and blocks that each band of sizes has at least.
+BLOCK_ROWS, LEAST_BLOCKS = 20_000, 64
 
 
 def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_name, source, target_share, max_repeats, goal, lam): the tilt of each source in each mix.
+    """(mix_name, source, target_share, max_repeats, goal, lam, parts): the tilt of each source in each mix.
+
+    Sources don't share documents, so the dual falls into one equation for each source
+    of each mix; the Newton steps of all of them are taken together.
 
     ``sizes`` is (source, n, docs): how many documents of a source have n tokens. Newton
     sums over it equal those over the documents, one row each.
     """
     spark = sizes.sparkSession
-    have = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("docs")).cast("double").alias("tokens"), F.max("n").alias("top"))
-    t = targets.where("target_share is not null and mix_name is not null").join(have, "source", "left").fillna(0.0, ["tokens"])
+    have = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("docs")).cast("double").alias("tokens"), F.sum("docs").alias("docs"))
+    t = targets.where("target_share is not null and mix_name is not null").join(have, "source", "left").fillna(0.0, ["tokens"]).fillna(0, ["docs"])
     # The largest total: no source has to give more than all its documents max_repeats times.
-    limit = F.min(F.when(F.col("target_share") > 0, F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).over(Window.partitionBy("mix_name"))
+    # A source without documents can't give anything: the others share among themselves, and the report shows it.
+    limit = F.min(F.when((F.col("target_share") > 0) & (F.col("tokens") > 0), F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).over(Window.partitionBy("mix_name"))
     rows = t.withColumn("goal", F.coalesce(limit, F.lit(0.0)) * F.col("target_share")).collect()  # mixes x sources
-    state = {(r["mix_name"], r["source"]): {**r.asDict(), "lam": 0.0, "low": None, "high": 0.0, "fixed": r["goal"] <= 0 or r["goal"] >= r["tokens"] * r["max_repeats"] * (1 - 1e-9)} for r in rows}
+    state = {(r["mix_name"], r["source"]): {**r.asDict(), "lam": 0.0, "low": None, "high": 0.0, "fixed": r["goal"] <= 0 or r["tokens"] <= 0 or r["goal"] >= r["tokens"] * r["max_repeats"] * (1 - 1e-9)} for r in rows}
     for _ in range(STEPS):
         open_ = [s for s in state.values() if not s["fixed"]]
         if not open_:
@@ -56,8 +62,8 @@ def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             step = s["lam"] - math.log(r["value"] / s["goal"]) * r["value"] / max(r["slope"], 1e-300) if r["value"] > 0 else s["lam"] / 2
             low = s["low"] if s["low"] is not None else 4 * min(s["lam"], -1e-9) - 1.0
             s["lam"] = step if low < step < s["high"] else (low + s["high"]) / 2
-    made = [(s["mix_name"], s["source"], float(s["target_share"]), int(s["max_repeats"]), float(s["goal"]), float(s["lam"]) if s["goal"] > 0 else None) for s in state.values()]
-    return spark.createDataFrame(made, "mix_name string, source string, target_share double, max_repeats int, goal double, lam double")
+    made = [(s["mix_name"], s["source"], float(s["target_share"]), int(s["max_repeats"]), float(s["goal"]), float(s["lam"]) if s["goal"] > 0 and s["tokens"] > 0 else None, max(LEAST_BLOCKS, -(-int(s["docs"]) // BLOCK_ROWS))) for s in state.values()]
+    return spark.createDataFrame(made, "mix_name string, source string, target_share double, max_repeats int, goal double, lam double, parts long")
 
 
 def mix(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", tokens: str = "n") -> DataFrame:
@@ -74,7 +80,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", tokens
     rated = docs.join(F.broadcast(tilt), "source").withColumn("rate", F.least(F.col("max_repeats") * F.exp(F.col("lam") * F.col("n")), F.col("max_repeats").cast("double")))
     # The running sum has two levels, so that no task holds a source: blocks of about one
     # size and hash first, then rows inside each block.
-    rated = rated.withColumn("h", F.xxhash64("uid", "mix_name")).withColumn("block", F.floor(F.log2(F.col("n")) * 8) * 64 + F.pmod(F.col("h"), F.lit(64)))
+    rated = rated.withColumn("h", F.xxhash64("uid", "mix_name")).withColumn("block", F.floor(F.log2(F.col("n")) * 8) * F.col("parts") + F.pmod(F.col("h"), F.col("parts")))
     rated = stage(rated.select("mix_name", "source", "id", "uid", "n", "max_repeats", "rate", "h", "block"), "rated")
     inside = Window.partitionBy("mix_name", "source", "block").orderBy("h", "uid").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("mix_name", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

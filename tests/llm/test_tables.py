@@ -130,6 +130,14 @@ def test_mixing_reaches_shares(spark):
     assert mx.mix(df.limit(0), targets).count() == 0
 
 
+def test_source_without_documents(spark):
+    """It has no rows and a reached share of 0; the others keep their proportions."""
+    df = spark.createDataFrame([(i, "ab"[i % 2], 10 + i % 7) for i in range(400)], "doc_id long, source string, n int")
+    targets = spark.createDataFrame([("x", "a", 0.3, 2), ("x", "b", 0.3, 2), ("x", "none", 0.4, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mx.shares(mx.mix(df, targets), targets).collect()}
+    assert got["none"].documents == 0 and got["none"].reached_share == 0 and abs(got["a"].reached_share - 0.5) < 0.01
+
+
 def test_long_text_in_pieces():
     t = "word " * 60_000 + "x" * 150_000
     assert "".join(tk.pieces(t)) == t and tk.count(t) > 60_000 and tk.count("") == 0
