@@ -36,7 +36,7 @@ COMMON = 0.1
 #: A window at least this full is closed.
 FULL = 0.985
 #: A round that leaves more than this share of its texts is the last.
-STALLED = 0.95
+STALLED = 0.6
 DOCUMENT = -1  # ``cap`` of the row that stands for a whole text in the frequencies
 
 
