@@ -51,6 +51,7 @@ DIFFERS = 0.9
 _V = "aeiou"
 _WORD = re.compile(r"[^\W\d_]{4,}\.?")
 _PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+\d*|[A-Z]+\d*|\d+")
+_RUN = re.compile(r"[^\W_]+")
 _DELIMITED = re.compile(r"[._\- ]")
 _ITEM = re.compile(r"\b(?:item|question|no\.?|nr\.?|frage|élément|ítem|pregunta|\w{3,5}) (\d+)\b(?= - |\s*$|:)", re.I)
 
@@ -60,31 +61,39 @@ class Periods:
 
     def __init__(self, table: dict[str, tuple[str, ...]]):
         self.table = table
-        self.exact = re.compile("|".join(rf"(?P<{k}_{i}>\b{re.escape(w)}\b)" for k, ws in table.items() for i, w in enumerate(ws)) or r"(?!)")
-        self.slips = [(k, regex.compile(rf"\b(?:{regex.escape(w)}){{1<=e<=2}}(?![\w])")) for k, ws in table.items() for w in ws if len(w) > 8]
+        self.exact = [(k, w, re.compile(rf"\b{re.escape(w)}\b")) for k, ws in table.items() for w in ws]
+        # A wording with a slip keeps the beginning or the end of one of its longer words.
+        ends = lambda w: {x for y in w.split() if len(y) >= 4 for x in (y[:3], y[-3:])}
+        self.slips = [(k, tuple(ends(w)), regex.compile(rf"\b(?:{regex.escape(w)}){{1<=e<=2}}(?![\w])")) for k, ws in table.items() for w in ws if len(w) > 8]
         self.ending = re.compile(rf"^(.*?)({'|'.join(map(re.escape, table)) or '(?!)'})?(\d*)$")
 
-    def said(self, text: str | None) -> str | None:
-        """The one period of a text; none where it says none or several."""
+    def read(self, text: str | None) -> tuple[str | None, str]:
+        """(the one period of a text, or none where it says none or several; the text in small letters without it)."""
         if not text:
-            return None
-        s = text.lower()
-        found = {m.lastgroup.rsplit("_", 1)[0] for m in self.exact.finditer(s)}
+            return None, ""
+        s = bare = text.lower()
+        found = set()
+        for k, w, p in self.exact:
+            if w in s and p.search(s):
+                found.add(k)
+                bare = p.sub(" ", bare)
         if not found:
-            found = {k for k, p in self.slips if p.search(s)}
-        return found.pop() if len(found) == 1 else None
-
-    def without(self, text: str) -> str:
-        return self.exact.sub(" ", text.lower())
+            found = {k for k, ends, p in self.slips if any(x in s for x in ends) and p.search(s)}
+        return (found.pop() if len(found) == 1 else None), bare
 
 
 def consonants(word: str) -> str:
     return re.sub(f"[{_V}]", "", word)
 
 
-def abbreviates(part: str, word: str) -> bool:
-    """Whether a part of a variable name can stand for ``word``: itself, its beginning, or the beginning of its consonants."""
-    return len(part) >= 4 and part.isalpha() and (word.startswith(part) or (len(part) >= 5 and consonants(word).startswith(part)))
+def abbreviates(part: str, word: str, cons: str) -> bool:
+    """Whether a part of a variable name can stand for ``word`` with the consonants ``cons``: itself, its beginning, or the
+    beginning of its consonants. A shortened word (with a point) has only the first of them."""
+    if len(part) < 4 or not part.isalpha():
+        return False
+    if word[-1] == ".":
+        return word.startswith(part) or (len(part) >= 5 and len(cons) >= 3 and (part.startswith(cons) or cons.startswith(part)))
+    return word.startswith(part) or (len(part) >= 5 and cons.startswith(part))
 
 
 def _capital_parts(name: str, periods: Periods) -> list[str]:
@@ -117,12 +126,13 @@ def cuts(name: str, words: list[str], periods: Periods) -> list[tuple[str, str,
     """Ways to cut a name without delimiters: (first part, measure, period, item, whether the first part abbreviates a word)."""
     v = re.sub(r"[^a-z0-9]", "", name.strip().lower())
     out = []
+    known = [(w, consonants(w.rstrip("."))) for w in words]
     for k in range(3, len(v) - 1):
         part = v[:k]
         coded = re.fullmatch(r"v\d+", part)
         if coded and v[k].isdigit():
             continue
-        near = any(abbreviates(part, w.rstrip(".")) or (w.endswith(".") and len(part) >= 5 and len(consonants(w)) > 3 and part.startswith(consonants(w)[:-1])) for w in words)
+        near = any(abbreviates(part, w, c) for w, c in known)
         if not coded and not near and (k < 6 or not part.isalpha()):
             continue
         m, t, n = periods.ending.match(v[k:]).groups()
@@ -158,8 +168,8 @@ def attributes(refs: DataFrame, key: str, source: str, name: str, description: s
                 ways = [] if m else cuts(name_, words, table)
                 whole, own = whole_name(name_, table)
                 item = _ITEM.search(text or "")
-                said = table.said(text)
-                plain = " ".join(re.findall(r"[^\W_]+", table.without(text or "")))
+                said, bare = table.read(text)
+                plain = " ".join(_RUN.findall(bare))
                 out.append((part, m, t, n, said, item[1] if item else None, words, [dict(zip(("part", "m", "t", "n", "near"), w, strict=True)) for w in ways], whole, own, plain))
             a = list(zip(*out, strict=True)) or [[]] * 11
             strings = [pa.array(a[k], pa.string()) for k in (0, 1, 2, 3, 4, 5)]
