@@ -253,9 +253,17 @@ def instruments(rows: DataFrame) -> DataFrame:
         # the first part of the variable name with measure and period
         ("consonants", lambda x: x.where("length(part) = 5").join(seen.withColumnRenamed("cons", "part").where("t is not null").select("part", "m", "t", "inst").distinct(), ["part", "m", "t"]).withColumn("cons", F.col("part"))),
     ]
-    for rule, join in passes:
-        more, left = settle(join(left).where(fit).select("row", "inst"), left, rule)
-        done = done.unionByName(more)
+    # All passes at once: a row goes by the first of them that leaves it one candidate.
+    found = None
+    for k, (_, join) in enumerate(passes):
+        one = join(left).where(fit).select("row", "inst", F.lit(k).alias("pass"))
+        found = one if found is None else found.unionByName(one)
+    single = found.groupBy("row", "pass").agg(F.min("inst").alias("inst"), F.max("inst").alias("top")).where("inst = top")
+    first = single.groupBy("row").agg(F.min(F.struct("pass", "inst")).alias("f"))
+    rules = F.array(*(F.lit(rule) for rule, _ in passes))
+    got = stage(first.select("row", "f.inst", F.element_at(rules, F.col("f.pass") + 1).alias("rule")), "got")
+    done = done.unionByName(left.join(got, "row").select(*done.columns))
+    left = left.join(got.select("row"), "row", "left_anti")
     # Rows that name no instrument: the same whole name in several sources, then the same text as one of these.
     rest = left.unionByName(rows.where("m is null")).drop("inst", "rule").withColumn("t", F.coalesce("t", "own"))
     spread = stage(rest.groupBy("whole").agg(F.count_distinct("source").alias("k")).where("k > 1").select("whole"), "spread")
