@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.runtime import broadcast_if_small, stage
+from fieldloom.runtime import stage
 
 #: Period codes of variable names and the wordings of descriptions: the default of a parameter.
 PERIODS = {
@@ -178,15 +178,23 @@ def attributes(refs: DataFrame, key: str, source: str, name: str, description: s
     schema = f"id {kind}, source string, part string, m string, t string, n string, said string, item string, words array<string>, cuts array<struct<part:string,m:string,t:string,n:string,near:boolean>>, whole string, own string, text string, units string, codes string"
     read = stage(base.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "read")
     codes = read.where("m rlike '^[a-z]{2,}[0-9]?$'").select("m").distinct()
-    glued = read.where("m is null").select("row", F.explode("cuts").alias("c")).select("row", "c.*").join(codes, "m", "left_semi")
+    glued = read.where("m is null").select("row", F.explode("cuts").alias("c")).select("row", "c.*")
+    glued = _joined(glued, codes, "m", "left_semi")
     # A first part that abbreviates no word of the row must be the name of an instrument itself, or a coded one.
-    sure = glued.where("near or part rlike '^v[0-9]+$'").unionByName(glued.where("not near and part not rlike '^v[0-9]+$'").join(lexicon(read).select(F.col("inst").alias("part")), "part", "left_semi").select(*glued.columns))
+    other = _joined(glued.where("not near and part not rlike '^v[0-9]+$'"), lexicon(read).select(F.col("inst").alias("part")), "part", "left_semi")
+    sure = glued.where("near or part rlike '^v[0-9]+$'").unionByName(other.select(*glued.columns))
     best = sure.groupBy("row").agg(F.max(F.struct("near", F.length("m").alias("l"), F.length("part").alias("k"), "part", "m", "t", "n")).alias("b"))
-    read = read.join(best, "row", "left")
+    read = _joined(read, best, "row", "left")
     pick = lambda c: F.coalesce(F.col(c), F.col(f"b.{c}")).alias(c)
     return stage(read.select("row", "id", "source", pick("part"), pick("m"), F.coalesce("t", "b.t", "said").alias("t"), F.coalesce("n", "b.n", "item").alias("n"), "words", "whole", F.coalesce("own", "said").alias("own"), "text", "units", "codes"), "attributes")
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` by a merge of both, so no side goes through the driver. Spark weighs a table by its
+    packed file, before words and cuts are exploded, and would broadcast sides hundreds of times that size."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _consonants(c: Column) -> Column:
     return F.regexp_replace(c, f"[{_V}]", "")
 
@@ -213,14 +221,13 @@ def lexicon(rows: DataFrame) -> DataFrame:
     often = stage(told.where((F.col("c") >= EVIDENCE) & (F.col("c") >= SHARE * F.col("k"))).select("word", "c"), "often")
     cut = often.select("word", "c", F.explode(_cut_one(word)).alias("cut"))
     other = cut.select(F.col("word").alias("w2"), F.col("c").alias("c2"), "cut")
-    slips = cut.join(other, "cut").where("word <> w2 and abs(length(word) - length(w2)) <= 1").where(F.col("c2") >= SLIP * F.col("c")).select("word").distinct()
-    return stage(often.join(slips, "word", "left_anti").select(F.col("word").alias("inst"), _consonants(word).alias("cons")), "lexicon")
+    slips = _joined(cut, other, "cut").where("word <> w2 and abs(length(word) - length(w2)) <= 1").where(F.col("c2") >= SLIP * F.col("c")).select("word").distinct()
+    return stage(_joined(often, slips, "word", "left_anti").select(F.col("word").alias("inst"), _consonants(word).alias("cons")), "lexicon")
 
 
 def instruments(rows: DataFrame) -> DataFrame:
     """``rows`` with ``inst`` and ``rule``: the cascade."""
     names = lexicon(rows)
-    known = broadcast_if_small(names)
     readable = rows.where("m is not null")
     words = readable.select("row", "part", "m", "t", "n", F.explode("words").alias("w"))
     words = words.where(F.length(F.regexp_replace("w", r"\.$", "")) >= 5)
@@ -228,49 +235,49 @@ def instruments(rows: DataFrame) -> DataFrame:
 
     def settle(found: DataFrame, left: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
         got = stage(_unique(found), "got")
-        return left.join(got, "row").withColumn("rule", F.lit(rule)), stage(left.join(got.select("row"), "row", "left_anti"), "left")
+        return _joined(left, got, "row").withColumn("rule", F.lit(rule)), stage(_joined(left, got.select("row"), "row", "left_anti"), "left")
 
-    exact = words.join(known, F.col("w") == F.col("inst"))
+    exact = _joined(words, names, F.col("w") == F.col("inst"))
     # Words that name several instruments leave it to the first part; without them, the first part alone may be one.
     full = exact.where(fit).select("row", "inst")
-    own = readable.join(known, F.col("part") == F.col("inst")).select("row", "inst")
+    own = _joined(readable, names, F.col("part") == F.col("inst")).select("row", "inst")
     done, left = settle(full.unionByName(own).distinct(), readable, "full")
     done = stage(done, "full")
-    seen = stage(done.select("inst", "m", "t", "n").distinct().join(known, "inst"), "seen")
+    seen = stage(_joined(done.select("inst", "m", "t", "n").distinct(), names, "inst"), "seen")
     prefixes = F.explode(F.transform(F.sequence(F.lit(5), F.greatest(F.length("inst") - 1, F.lit(5))), lambda k: F.substring("inst", 1, k)))
     short = lambda x: x.select("row", "part", "m", "t", "n", F.explode("words").alias("w")).where(F.col("w").endswith(".")).withColumn("six", F.regexp_replace("w", r"\.$", ""))
     cut_words = lambda x: x.select("row", "part", F.explode("words").alias("w")).withColumn("w", F.regexp_replace("w", r"\.$", "")).where(F.length("w") >= 5).withColumn("cut", F.explode(_cut_one(F.col("w"))))
     by_prefix = seen.withColumn("six", prefixes)
     passes = [
         # a shortened name with measure and period, with measure and item, with the measure, alone
-        ("short_all", lambda x: short(x).where("t is not null").join(by_prefix.drop("n"), ["six", "m", "t"])),
-        ("short_item", lambda x: short(x).where("n is not null").join(by_prefix.drop("t"), ["six", "m", "n"])),
-        ("short_measure", lambda x: short(x).select("row", "part", "six", "m").join(by_prefix.select("six", "m", "inst", "cons"), ["six", "m"])),
-        ("short", lambda x: short(x).select("row", "part", "six").join(names.withColumn("six", prefixes), "six")),
+        ("short_all", lambda x: _joined(short(x).where("t is not null"), by_prefix.drop("n"), ["six", "m", "t"])),
+        ("short_item", lambda x: _joined(short(x).where("n is not null"), by_prefix.drop("t"), ["six", "m", "n"])),
+        ("short_measure", lambda x: _joined(short(x).select("row", "part", "six", "m"), by_prefix.select("six", "m", "inst", "cons").distinct(), ["six", "m"])),
+        ("short", lambda x: _joined(short(x).select("row", "part", "six"), names.withColumn("six", prefixes), "six")),
         # a slip in the name, full or shortened: words one cut apart
-        ("slip", lambda x: cut_words(x).join(names.withColumn("cut", F.explode(_cut_one(F.col("inst")))), "cut").where("abs(length(w) - length(inst)) <= 1")),
-        ("slip_short", lambda x: cut_words(x).join(names.withColumn("six", F.substring("inst", 1, 6)).withColumn("cut", F.explode(_cut_one(F.col("six")))), "cut").where("abs(length(w) - 6) <= 1")),
+        ("slip", lambda x: _joined(cut_words(x), names.withColumn("cut", F.explode(_cut_one(F.col("inst")))), "cut").where("abs(length(w) - length(inst)) <= 1")),
+        ("slip_short", lambda x: _joined(cut_words(x), names.withColumn("six", F.substring("inst", 1, 6)).withColumn("cut", F.explode(_cut_one(F.col("six")))), "cut").where("abs(length(w) - 6) <= 1")),
         # the first part of the variable name with measure and period
-        ("consonants", lambda x: x.where("length(part) = 5").join(seen.withColumnRenamed("cons", "part").where("t is not null").select("part", "m", "t", "inst").distinct(), ["part", "m", "t"]).withColumn("cons", F.col("part"))),
+        ("consonants", lambda x: _joined(x.where("length(part) = 5"), seen.withColumnRenamed("cons", "part").where("t is not null").select("part", "m", "t", "inst").distinct(), ["part", "m", "t"]).withColumn("cons", F.col("part"))),
     ]
-    # All passes at once: a row goes by the first of them that leaves it one candidate.
-    found = None
+    # A row goes by the first pass that leaves it one candidate. Each pass is a job, so the driver holds the tasks and
+    # shuffles of one at a time.
+    single = None
     for k, (_, join) in enumerate(passes):
-        one = join(left).where(fit).select("row", "inst", F.lit(k).alias("pass"))
-        found = one if found is None else found.unionByName(one)
-    single = found.groupBy("row", "pass").agg(F.min("inst").alias("inst"), F.max("inst").alias("top")).where("inst = top")
+        one = stage(_unique(join(left).where(fit).select("row", "inst")).withColumn("pass", F.lit(k)), "pass")
+        single = one if single is None else single.unionByName(one)
     first = single.groupBy("row").agg(F.min(F.struct("pass", "inst")).alias("f"))
     rules = F.array(*(F.lit(rule) for rule, _ in passes))
     got = stage(first.select("row", "f.inst", F.element_at(rules, F.col("f.pass") + 1).alias("rule")), "got")
-    done = done.unionByName(left.join(got, "row").select(*done.columns))
-    left = left.join(got.select("row"), "row", "left_anti")
+    done = done.unionByName(_joined(left, got, "row").select(*done.columns))
+    left = _joined(left, got.select("row"), "row", "left_anti")
     # Rows that name no instrument: the same whole name in several sources, then the same text as one of these.
     rest = left.unionByName(rows.where("m is null")).drop("inst", "rule").withColumn("t", F.coalesce("t", "own"))
     spread = stage(rest.groupBy("whole").agg(F.count_distinct("source").alias("k")).where("k > 1").select("whole"), "spread")
-    named = stage(rest.join(spread, "whole").withColumn("inst", F.concat(F.lit("="), "whole")).withColumn("rule", F.lit("as_written")).withColumn("m", F.lit("")), "as_written")
-    alone = rest.join(spread, "whole", "left_anti").where("text <> ''")
+    named = stage(_joined(rest, spread, "whole").withColumn("inst", F.concat(F.lit("="), "whole")).withColumn("rule", F.lit("as_written")).withColumn("m", F.lit("")), "as_written")
+    alone = _joined(rest, spread, "whole", "left_anti").where("text <> ''")
     texts = named.groupBy("text").agg(F.min("inst").alias("inst"), F.max("inst").alias("top")).where("inst = top and text <> ''").drop("top")
-    told = alone.join(texts, "text", "left").withColumn("inst", F.coalesce("inst", F.concat(F.lit("~"), "text"))).withColumn("rule", F.lit("same_text")).withColumn("m", F.lit(""))
+    told = _joined(alone, texts, "text", "left").withColumn("inst", F.coalesce("inst", F.concat(F.lit("~"), "text"))).withColumn("rule", F.lit("same_text")).withColumn("m", F.lit(""))
     cols = ["row", "id", "source", "inst", "m", "t", "n", "part", "whole", "text", "units", "codes", "rule"]
     return stage(done.select(*cols).unionByName(named.select(*cols)).unionByName(told.select(*cols)), "named")
 
@@ -305,7 +312,7 @@ def match(refs: DataFrame, *, key: str = "ref_id", source: str = "dictionary_nam
     rows = rows.select("id", "source", "inst", "m", "t", "n", "units", "codes", weight.alias("w"))
     # An item number stands for one period within an instrument and measure.
     by_item = rows.where("t is not null and n is not null").groupBy("inst", "m", "n").agg(F.min("t").alias("t2"), F.max("t").alias("top")).where("t2 = top").drop("top")
-    timed = rows.where("t is null and n is not null").join(by_item, ["inst", "m", "n"], "left").withColumn("t", F.col("t2")).withColumn("w", F.when(F.col("t2").isNull(), F.col("w")).otherwise(F.col("w") * 0.99)).drop("t2")
+    timed = _joined(rows.where("t is null and n is not null"), by_item, ["inst", "m", "n"], "left").withColumn("t", F.col("t2")).withColumn("w", F.when(F.col("t2").isNull(), F.col("w")).otherwise(F.col("w") * 0.99)).drop("t2")
     rows = stage(rows.where("t is not null or n is null").unionByName(timed), "timed")
     known, open_ = rows.where("t is not null"), rows.where("t is null")
     # Items that the rows of a period show, to hold against rows that say an item but no period.
@@ -314,21 +321,21 @@ def match(refs: DataFrame, *, key: str = "ref_id", source: str = "dictionary_nam
     def pairs(left: DataFrame, right: DataFrame, on: list[str], cond: str | None, mirror: bool) -> DataFrame:
         """Rows of different sources that agree in ``on``; sources are paired first, so rows of one source never meet."""
         ls, rs = left.select(*on, "source").distinct(), right.select(*on, F.col("source").alias("source_b")).distinct()
-        sides = ls.join(rs, on).where("source < source_b" if mirror else "source <> source_b")
+        sides = _joined(ls, rs, on).where("source < source_b" if mirror else "source <> source_b")
         a = left.select(*on, "source", F.col("id").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("units").alias("ua"), F.col("codes").alias("ca"))
         b = right.select(*on, F.col("source").alias("source_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("units").alias("ub"), F.col("codes").alias("cb"))
-        out = sides.join(a, [*on, "source"]).join(b, [*on, "source_b"])
+        out = _joined(_joined(sides, a, [*on, "source"]), b, [*on, "source_b"])
         out = out.where(cond) if cond else out
         off = lambda x, y: F.when(F.coalesce(F.col(x) != F.col(y), F.lit(False)), DIFFERS).otherwise(1.0)
-        return out.select("a", "b", (F.least("wa", "wb") * off("ua", "ub") * off("ca", "cb")).alias("w"))
+        return stage(out.select("a", "b", (F.least("wa", "wb") * off("ua", "ub") * off("ca", "cb")).alias("w")), "pairs")
 
     same = pairs(known, known, ["inst", "m", "t"], None, True)
-    labelled = known.drop("n").join(items, ["inst", "m", "t"], "left").select("id", "source", "inst", "m", "n", "w", "units", "codes")
+    labelled = _joined(known.drop("n"), items, ["inst", "m", "t"], "left").select("id", "source", "inst", "m", "n", "w", "units", "codes")
     unsaid = "na is null or nb is null or na = nb"
     # A period left unsaid: the fewer periods the measure shows, the surer the match.
     choices = F.count_distinct("t").alias("ts")
     many = known.groupBy("inst", "m").agg(choices)
-    loose = open_.join(many, ["inst", "m"], "left").withColumn("w", F.col("w") / F.coalesce("ts", F.lit(1))).drop("ts", "t")
+    loose = _joined(open_, many, ["inst", "m"], "left").withColumn("w", F.col("w") / F.coalesce("ts", F.lit(1))).drop("ts", "t")
     half = pairs(loose, labelled, ["inst", "m"], unsaid, False)
     none = pairs(loose, loose, ["inst", "m"], unsaid, True)
     found = same.unionByName(half).unionByName(none)

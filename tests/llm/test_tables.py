@@ -44,6 +44,17 @@ def test_matching_ordinary_names(spark):
     assert set(got) == {(1, 2), (4, 5), (4, 6), (7, 8), (7, 10), (8, 10)}
 
 
+def test_matching_sends_nothing_through_the_driver(spark):
+    """No join of any job broadcasts: sides grow with the rows, and Spark weighs them before words are exploded."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    df = spark.createDataFrame(MATCH_ROWS, "ref_id long, dictionary_name string, variable_name string, description string")
+    assert len(mt.match(df).collect()) == 14
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(before, store.executionsCount()))]
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_units_count_in_confidence(spark):
     rows = [(r[0], r[1], r[2], r[3], {2: "mm", 3: "cm"}.get(r[0]), "mm" if r[0] == 1 else None) for r in MATCH_ROWS]
     df = spark.createDataFrame([(a, b, c, d, e or f, 5) for a, b, c, d, e, f in rows], "ref_id long, dictionary_name string, variable_name string, description string, units string, n_codes int")
