@@ -11,6 +11,9 @@ than a share ``CROWD`` of what a query met is as near as ``floor``, the crowd ma
 on outside its prefixes, so it ascends further, up to its whole range. So a vector
 travels ``routes`` times, not once for each tree. A table that fits one range needs no
 routes: its one range is given to several tasks, each answering some of the queries.
+The more ranges a routing tree is cut into, the rarer both vectors of a pair lie in one
+of them. So ``top_k`` takes more routes for larger tables (``routes_for``), ``AT_ONCE``
+of them in a pass.
 
 Hash signs: random rotations of the leading principal axes, cut at their medians.
 Axes and medians are fitted on a bounded sample (``SAMPLE_ROWS``); every vector is
@@ -45,6 +48,11 @@ ASCENT = 4
 #: Tasks that one range is given to, and the rows it holds for each.
 COPIES = 4
 COPY_ROWS = 5_000
+#: Share of the pairs right at the floor that may lie in different ranges of every routing tree, and the most trees there are keys for.
+MISSED = 0.03
+MOST_ROUTES = 32
+#: Routing trees that vectors are shuffled for in one pass.
+AT_ONCE = 4
 #: Rows of a block of the exact way.
 BLOCK_ROWS = 20_000
 
@@ -109,8 +117,21 @@ def dequantize(codes: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def build(vectors: DataFrame, forest: Forest, key: str = "vec_id", embedding: str = "embedding") -> Index | None:
-    """The index of all vectors that take part; None where there are none.
+def routes_for(rows: int, floor: float, forest: Forest) -> int:
+    """Routing trees in which a pair of cosine ``floor`` shares a range at least once, but for a share ``MISSED`` of such pairs.
+
+    Two vectors agree in one sign with probability 1 - angle / pi, and in a range when they
+    agree in all signs that lead to it.
+    """
+    if rows <= forest.range_rows:
+        return forest.routes
+    together = (1 - np.arccos(np.clip(floor, 0.0, 0.999)) / np.pi) ** np.log2(rows / forest.range_rows)
+    needed = np.ceil(np.log(MISSED) / np.log1p(-together)) if together < 1 else 1
+    return int(max(forest.routes, min(MOST_ROUTES, needed)))
+
+
+def build(vectors: DataFrame, forest: Forest, key: str = "vec_id", embedding: str = "embedding", floor: float | None = None) -> Index | None:
+    """The index of all vectors that take part; None where there are none. With ``floor``, its routes follow the rows.
 
     Left out: null ids and vectors, all zeros, vectors with null or non-finite parts or
     of another length than most. A repeated id keeps all its rows.
@@ -119,6 +140,8 @@ def build(vectors: DataFrame, forest: Forest, key: str = "vec_id", embedding: st
     rows = source.count()
     if not rows:
         return None
+    if floor is not None:
+        forest = replace(forest, routes=routes_for(rows, floor, forest))
     # A share of the hash range, so that no task gathers candidates of all others.
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < F.lit(max(1, int((1 << 32) * min(1.0, SAMPLE_ROWS / rows))))
     sample = source.where(share if rows > SAMPLE_ROWS else F.lit(True)).select(F.col("vec").cast("array<float>").alias("vec")).toArrow().column("vec").combine_chunks()
@@ -298,20 +321,22 @@ def ranges(rows: int, forest: Forest) -> int:
     return 1 if rows <= forest.range_rows else -(-rows * forest.routes // forest.range_rows)
 
 
-def _ranges(index: Index, run, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _ranges(index: Index, run, schema: str, extra: tuple[str, ...] = (), first: int = 0, count: int | None = None) -> DataFrame:
     """``run(route, ids, x, axes, answers, more)`` on tasks that each hold one range of one or more routing trees.
 
     Ties of the string are cut by id. Rows come in id order; ``answers`` says which of
-    them a task answers for, ``more`` holds the ``extra`` columns.
+    them a task answers for, ``more`` holds the ``extra`` columns. With ``count``, only so
+    many routing trees from ``first`` on.
     """
-    f = index.forest
+    f = index.forest if count is None else replace(index.forest, routes=count)
     n = ranges(index.rows, f)
     copies = max(1, min(COPIES, index.rows // COPY_ROWS)) if n == 1 else 1
     if n == 1:
         each = index.reps.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("key"), "id", "code", *extra)
         ranged = each.repartitionByRange(copies, "key")
     else:
-        ranged = index.reps.select(F.explode("keys").alias("key"), "id", "code", *extra).repartitionByRange(n, "key", "id")
+        keys = F.col("keys") if count is None else F.slice("keys", first + 1, count)
+        ranged = index.reps.select(F.explode(keys).alias("key"), "id", "code", *extra).repartitionByRange(n, "key", "id")
     dim, axes = index.dim, index.axes.astype(np.float32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +374,16 @@ def neighbour_pairs(index: Index, k: int, floor: float) -> DataFrame:
         a, b, cos = nearest(x, np.nonzero(asks)[0], axes, k, floor, wide, f.seed + route)
         yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(cos.astype(np.float64))], names=["a", "b", "cos"])
 
+    schema = "a long, b long, cos double"
+    if one or f.routes <= AT_ONCE:
+        found = _ranges(index, run, schema, extra)
+    else:
+        index.reps, found = stage(index.reps, "reps"), None
+        for first in range(0, f.routes, AT_ONCE):
+            part = stage(_ranges(index, run, schema, extra, first, min(AT_ONCE, f.routes - first)), "near")
+            found = part if found is None else found.unionByName(part)
+            index.reps.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of a pass go when its plan is collected
     # One copy of a pair from several ranges differs in the last digits at most.
-    found = _ranges(index, run, "a long, b long, cos double", extra)
     return found if one else found.groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
 
@@ -426,7 +459,7 @@ def top_k(vectors: DataFrame, k: int = 5, floor: float = 0.88, forest: Forest =
     with cosine 1. Vectors that take no part (see ``build``) give no row; an empty
     table gives none. ``exact`` compares everything, block by block.
     """
-    index = build(vectors, forest, key, embedding)
+    index = build(vectors, forest, key, embedding, None if exact else floor)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "id long, rank int, neighbour long, cos double")
     near = (exact_pairs if exact else neighbour_pairs)(index, k, floor).where(F.col("cos") >= floor)

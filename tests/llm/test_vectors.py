@@ -46,6 +46,21 @@ def test_top_k_against_brute_force(spark):
     assert len(want & got) / len(got) > 0.97
 
 
+def test_pairs_meet_in_many_ranges(spark):
+    """Pairs little above the floor, in a table cut into 40 ranges in each routing tree: three routes lose a sixth of them."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=(1200, 32))
+    two = one + rng.normal(size=one.shape) * 0.48
+    x = np.concatenate([one, two])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = (x[:1200] * x[1200:]).sum(axis=1)
+    want = {(i, i + 1200) for i in np.nonzero((cos >= 0.88) & (cos < 0.92))[0]}
+    forest = vc.Forest(range_rows=60)
+    got = {(r.id, r.neighbour) for r in vc.top_k(frame(spark, list(enumerate(x.tolist()))), 5, 0.88, forest).collect()}
+    assert len(want) > 500 and len(want & got) / len(want) > 0.95
+    assert [vc.routes_for(n, 0.88, vc.Forest()) for n in (900, 50_000, 200_000, 2_000_000, 17_000_000)] == [3, 3, 3, 7, 13]
+
+
 def test_clusters_against_brute_force(spark):
     rows = world(seed=2)
     ids, x = matrix(rows)
