@@ -362,3 +362,9 @@ def test_cosines_round_as_in_sql(spark):
     said = spark.createDataFrame([("assign:g", '{"verdict": "adopt", "cde_id": 1}')], "id string, answer string")
     r = px.assign(groups, candidates, said).first()
     assert (r.chosen_cos, r.top1_cos) == (0.7645, 0.7645)
+
+
+@pytest.mark.parametrize("name", ["refinement_axes", "group_candidates", "outcome_shares"])
+def test_results_read_no_vectors_again(spark, name):
+    plan = st.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan
